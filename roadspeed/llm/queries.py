@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pii, quality, simhash
+from . import decontaminate, language, pii, quality, simhash, tokens, warc
 from .common import read, sha256_hex
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.length_report(read(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256_hex(F.col("base_spans")).alias("base_sha256"), "spans", "n_added")
@@ -29,6 +33,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.convert_pages(spark, read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", warc.hex_digest(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
@@ -37,7 +46,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op4_pii, op6_simhash, op10_language)
+    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op6_simhash, op8_warc, op10_language)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+            SELECT page_id, octet_length(body) AS payload_bytes, payload_digest,
+                   max(page_id) OVER (PARTITION BY payload_digest, octet_length(body)) AS first
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+        FROM g
+    """,
+}
