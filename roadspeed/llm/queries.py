@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pii, quality, simhash, tokens, warc
+from . import decontaminate, html, language, pii, quality, simhash, tokens, warc
 from .common import read, sha256_hex
 
 
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256_hex(F.col("base_spans")).alias("base_sha256"), "spans", "n_added")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -46,7 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op6_simhash, op8_warc, op10_language)
+    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op8_warc, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {
