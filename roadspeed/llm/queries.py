@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, pii, quality, simhash, tokens, warc
+from . import decontaminate, html, language, pieces, pii, quality, simhash, tokens, warc
 from .common import read, sha256_hex
 
 
@@ -37,6 +37,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(read(spark, sf_dir, "documents"), keep=("text",))
+    same = pieces.decode(F.col("ids")) == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return found.select("doc_id", "n_tokens", "n_chunks", "ids", same.alias("round_trip"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.convert_pages(spark, read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", warc.hex_digest(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
@@ -50,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op8_warc, op10_language)
+    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op7_pieces, op8_warc, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {
