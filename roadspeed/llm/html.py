@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DEPTH = 32
+#: Most template hashes that are broadcast; beyond them the pages are joined by host.
+BROADCAST_HASHES = 2_000_000
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -224,8 +226,10 @@ def templates(parsed: DataFrame, min_pages: int = 10, share: float = 0.5) -> Dat
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5) -> DataFrame:
     """One row per page row: id, url, text, n_chars, n_template_blocks (blocks that went with the site's template)."""
-    parsed = cut(parse_pages(pages, id_col, url_col, html_col))
-    met = parsed.join(templates(parsed, min_pages, share).withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    parsed = parse_pages(pages, id_col, url_col, html_col)  # parsed twice: cheaper than to store or to shuffle all texts
+    found = cut(templates(parsed, min_pages, share).withColumnRenamed("host", "_host"))
+    found = F.broadcast(found) if (found.agg(F.sum(F.size("hashes") + 8)).first()[0] or 0) <= BROADCAST_HASHES else found
+    met = parsed.join(found, F.col("host") == F.col("_host"), "left")
     own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("hashes")), F.lit(False)))
     text = F.array_join(F.transform(own, lambda b: b["text"]), "\n\n")
     out = met.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), (F.size("blocks") - F.size(own)).cast("long").alias("n_template_blocks"))
