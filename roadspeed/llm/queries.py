@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, pieces, pii, quality, simhash, tokens, warc
+from . import decontaminate, html, language, pieces, pii, quality, simhash, suffixes, tokens, warc
 from .common import read, sha256_hex
 
 
@@ -48,6 +48,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", warc.hex_digest(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
@@ -56,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op7_pieces, op8_warc, op10_language)
+    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op7_pieces, op8_warc, op9_suffixes, op10_language)
 }
 
 ORACLE_SQL: dict[str, str] = {
