@@ -120,38 +120,49 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")))["n"]
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """One row per document row: id, n_words, n_hit, n_items, items (sorted as strings), spans (of words), contaminated (at least a ``share``-th of its words hit)."""
+def _searches(docs: DataFrame, benchmark: DataFrame, text: Column, window: int, max_patterns: int, item_col: str, item_text_col: str) -> list[Column]:
+    """A struct n_words, spans, items for each block of patterns; one empty block if there is no pattern."""
     sc = docs.sparkSession.sparkContext
 
-    def searcher(block: dict[Pattern, list[str]]):
+    def searcher(block: dict[Pattern, list[str]]) -> Column:
         held = sc.broadcast(Searcher(block))
 
-        @F.pandas_udf(f"n_words long, spans {_SPANS}, items array<string>")
         def search(texts: pd.Series) -> pd.DataFrame:
             rows = []
-            for text in texts:
-                words = words_of(text)
+            for t in texts:
+                words = words_of(t)
                 spans, items = held.value.search(words)
                 rows.append((len(words), [{"s": s, "e": e} for s, e in spans], sorted(items)))
             return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-        return search(F.col("_text"))
+        return F.pandas_udf(search, f"n_words long, spans {_SPANS}, items array<string>")(text)
+
+    return [searcher(b) for b in pattern_blocks(benchmark, window, max_patterns, item_col, item_text_col)] or [searcher({})]
+
+
+def _is_contaminated(n_words: Column, n_hit: Column, share: int) -> Column:
+    return (n_hit > 0) & (n_hit * share >= n_words)
 
-    found = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    n = 0
-    for block in pattern_blocks(benchmark, window, max_patterns, item_col, item_text_col):
-        found = found.withColumn(f"_b{n}", searcher(block))
-        n += 1
-    if not n:
-        found, n = found.withColumn("_b0", searcher({})), 1
-    each = lambda field: [F.col(f"_b{i}")[field] for i in range(n)]
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: Column, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, item_col: str = "item_id", item_text_col: str = "text"
+) -> Column:
+    """Whether at least a ``share``-th of the words of a text is hit, as a column of ``docs``."""
+    found = _searches(docs, benchmark, text, window, max_patterns, item_col, item_text_col)
+    return _is_contaminated(found[0]["n_words"], _covered(F.concat(*[x["spans"] for x in found])), share)
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """One row per document row: id, n_words, n_hit, n_items, items (sorted as strings), spans (of words), contaminated (at least a ``share``-th of its words hit)."""
+    searches = _searches(docs, benchmark, F.col("_text"), window, max_patterns, item_col, item_text_col)
+    found = docs.select(F.col(id_col), F.col(text_col).alias("_text")).select(id_col, *[x.alias(f"_b{i}") for i, x in enumerate(searches)])
+    each = lambda field: [F.col(f"_b{i}")[field] for i in range(len(searches))]
     out = found.select(
         id_col, F.col("_b0")["n_words"].alias("n_words"), F.concat(*each("spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*each("items")))).alias("items")
     )
     n_hit = _covered(F.col("spans"))
     return out.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated")
+        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", _is_contaminated(F.col("n_words"), n_hit, share).alias("contaminated")
     )

@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The documents whose id is the smallest of their component, all columns kept."""
+    """The documents whose id is the smallest of their component, all columns kept; of repeated rows one stays."""
     found = near_duplicates(docs, id_col, text_col, distance)
     first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(first, docs[id_col] == first["_kept_id"], "left_semi")
+    return docs.join(first, docs[id_col] == first["_kept_id"], "left_semi").dropDuplicates([id_col])
 
