@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,31 +249,49 @@ def scan(giants: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     return traced.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"), F.count("*").alias("n_chunks"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``size`` bytes: lists of ids take many times the room of their text."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, keep: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, keep: tuple[str, ...] = (), check: bool = False
 ) -> DataFrame:
-    """One row per document row: id, the columns in ``keep``, ids, n_tokens, n_chunks (1 if the library took the whole text)."""
+    """One row per document row: id, the columns in ``keep``, ids, n_tokens, n_chunks (1 if the library took the whole text).
+
+    ``check`` adds round_trip: whether the ids decode to the text (U+2581 as a blank), decoded where they were encoded.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     large = F.coalesce(F.length("_text") > giant, F.lit(False))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(path).sp
-        for batch in batches:
-            ids = sp.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)
+        for batch in _slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = sp.encode(texts, num_threads=1)
+            same = [pa.array([sp.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)])] if check else []
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.ListArray.from_arrays(pa.array(offsets), values)], names)
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.ListArray.from_arrays(pa.array(offsets), values), *same], names)
 
     kept = [f"_k{i}" for i in range(len(keep))]
-    names = ["_id", *kept, "ids"]
+    names = ["_id", *kept, "ids", *(["round_trip"] if check else [])]
     small = rows.filter(~large)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.select("_id", *kept).schema)
-    done = small.mapInArrow(whole, f"{schema}, ids array<int>").withColumn("n_chunks", F.lit(1).cast("long"))
+    done = small.mapInArrow(whole, f"{schema}, ids array<int>" + ", round_trip boolean" * check).withColumn("n_chunks", F.lit(1).cast("long"))
     key = F.sha2("_text", 256)
     giants = rows.filter(large).withColumn("key", key)
     scanned = scan(giants.groupBy("key").agg(F.any_value("_text").alias("text")), path, chunk)
-    both = done.unionByName(giants.join(scanned, "key").select(*names, "n_chunks"))
-    return both.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "ids", F.size("ids").cast("long").alias("n_tokens"), "n_chunks")
+    met = giants.join(scanned, "key")
+    met = met.withColumn("round_trip", decode(F.col("ids"), path) == F.translate("_text", SPACE, " ")) if check else met
+    both = done.unionByName(met.select(*names, "n_chunks"))
+    return both.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "ids", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", *names[len(kept) + 2 :])
 
 
 def decode(ids: Column, path: str = MODEL) -> Column:

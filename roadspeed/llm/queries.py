@@ -38,9 +38,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pieces.encode(read(spark, sf_dir, "documents"), keep=("text",))
-    same = pieces.decode(F.col("ids")) == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
-    return found.select("doc_id", "n_tokens", "n_chunks", "ids", same.alias("round_trip"))
+    return pieces.encode(read(spark, sf_dir, "documents"), check=True)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

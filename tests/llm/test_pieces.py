@@ -86,7 +86,7 @@ def test_encode(spark):
     texts = [None, "", " ", text_of(1, 30), text_of(2, 3000), text_of(2, 3000), "z" * 30_000, text_of(3, 9000)]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(4, texts[4], "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    out = pieces.encode(df, giant=5_000, chunk=700, keep=("text",))
+    out = pieces.encode(df, giant=5_000, chunk=700, keep=("text",), check=True)
     found = out.withColumn("back", pieces.decode(out["ids"])).collect()
     assert len(found) == len(rows)
     sp = sentencepiece.SentencePieceProcessor(model_proto=PROTO)
@@ -95,5 +95,6 @@ def test_encode(spark):
         assert list(r.ids) == sp.encode(t)
         assert r.n_tokens == len(r.ids)
         assert r.back == t.replace("▁", " ")
+        assert r.round_trip
         assert (r.n_chunks > 1) == (len(t) > 5_000)
     assert pieces.encode(df.filter("false")).count() == 0
