@@ -336,8 +336,8 @@ add("infer_horizon", "horizon_min@i", lambda s, d: P.infer_horizon(_drift(s, d,
 add("reconstruct_target", _KEYS + "y_total@d", lambda s, d: P.reconstruct_target(_drift(s, d).withColumn("z", (F.col("y_pred") - F.col("value")) / 2), "z", "value", std=2.0), _DRIFT, "SELECT sensor_id, date, (y_pred - value) / 2 * 2 + value AS y_total FROM p")
 add("residual_table", _KEYS + "residual_target@d model_pred@d model_delta@d", lambda s, d: P.residual_table(_drift(s, d)), _DRIFT, "SELECT sensor_id, date, y - y_pred AS residual_target, y_pred AS model_pred, y_pred - value AS model_delta FROM p")
 add("residual_correction", _KEYS + "y_corr@d", lambda s, d: P.residual_correction(_drift(s, d).withColumn("r", F.lit(0.3) * (F.col("value") - F.col("y_pred"))), "r", 3.0), _DRIFT, "SELECT sensor_id, date, CASE WHEN abs(0.3 * (value - y_pred)) > 3 THEN y_pred + 0.3 * (value - y_pred) ELSE y_pred END AS y_corr FROM p")
-_odd = lambda s, d: T.predictions(s, d).filter("model = 'drift' and horizon = 1").withColumn("y_pred", F.round("y_pred", 3) + F.lit(0.00031415926))  # noqa: E731  no rounding ties
-_ODD = T.PREDICTIONS + ", p AS (SELECT sensor_id, date, value, y, round(y_pred, 3) + 0.00031415926 AS y_pred FROM predictions WHERE model = 'drift' AND horizon = 1)"
+_odd = lambda s, d: T.predictions(s, d).filter("model = 'drift' and horizon = 1").withColumn("y_pred", F.col("y_pred") + F.lit(0.00031415926))  # noqa: E731  no rounding ties
+_ODD = T.PREDICTIONS + ", p AS (SELECT sensor_id, date, value, y, y_pred + 0.00031415926 AS y_pred FROM predictions WHERE model = 'drift' AND horizon = 1)"
 _NAIVE = ", c1 AS (SELECT * REPLACE (round_even(CASE WHEN abs((y_pred - value) / nullif(value, 0)) > 0.5 THEN value + 0.00001 ELSE y_pred END, 2) AS y_pred) FROM p)"
 _oddv = lambda s, d: _odd(s, d).withColumn("value", F.col("value") + F.lit(0.00001))
 _ODDV = _ODD.replace("date, value, y,", "date, value + 0.00001 AS value, y,")
