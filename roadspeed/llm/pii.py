@@ -222,24 +222,32 @@ def find_pii(text: Column) -> Column:
     return F.pandas_udf(_spans, _SCHEMA)(text)
 
 
-def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _masked(text: str, spans: list[Span]) -> str:
+    """The text with its spans, in order of start, as ``<kind>``."""
+    parts, end = [], 0
+    for kind, s, e in spans:
+        if e > end:
+            if s >= end:
+                parts += [text[end:s], f"<{kind}>"]
+            end = e
+    return "".join([*parts, text[end:]])
+
+
+def _redacted(texts: pd.Series) -> pd.Series:
     out = []
-    for text, found in zip(texts, spans, strict=True):
-        if text and found:
-            parts, end = [], 0
-            for kind, s, e in (x.split(":") for x in found.split(",")):
-                if int(e) > end:
-                    if int(s) >= end:
-                        parts += [text[end : int(s)], f"<{kind}>"]
-                    end = int(e)
-            text = "".join([*parts, text[end:]])
+    for text in texts:
+        if text and (found := (base := detect_spans(text)) + added_spans(text, base)):
+            text = _masked(text, order(found))
         out.append(text)
     return pd.Series(out, dtype=object)
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by ``<kind>``; overlapping spans become one. A null text stays null."""
-    return F.pandas_udf(_redacted, "string")(text, spans)
+def redact(text: Column) -> Column:
+    """The text with every span that ``find_pii`` finds replaced by ``<kind>``; overlapping spans become one. A null text stays null.
+
+    Finding and replacing are one function: as two, each task would hold two Python workers with the same texts.
+    """
+    return F.pandas_udf(_redacted, "string")(text)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

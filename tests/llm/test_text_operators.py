@@ -140,7 +140,7 @@ def test_pii_clean_text_and_columns(spark):
     rows = pii.detect(docs_of(spark, texts)).orderBy("doc_id").collect()
     assert [r.spans for r in rows] == ["", "", "", "", "email:2:8", "ip:0:7"]
     df = docs_of(spark, texts)
-    hidden = df.select(pii.redact(df["text"], pii.find_pii(df["text"])["spans"]).alias("t")).collect()
+    hidden = df.select(pii.redact(df["text"]).alias("t")).collect()
     assert [r.t for r in hidden][2:] == [None, "", "x <email> y", "<ip>"]
 
 
