@@ -37,16 +37,12 @@ class Model:
 
     def __post_init__(self) -> None:
         self.code = np.full(0x110000, _STRANGE, np.uint8)
-        self.letters = np.zeros(0x110000, bool)
         for c in range(0x110000):
             if not chr(c).isalpha():
                 self.code[c] = _BREAK
-            else:
-                self.letters[c] = True
         for i, c in enumerate(self.alphabet):
             self.code[ord(c)] = _FIRST + i
         self.width = _FIRST + len(self.alphabet)
-        self.flat = [t.ravel() for t in self.tables]
 
 
 def symbols(text: str, model: Model) -> np.ndarray:
@@ -100,7 +96,7 @@ def phrases(model: Model, lanes: np.ndarray) -> np.ndarray:
     out = np.empty((len(model.tables), lanes.shape[1]), np.int64)
     some = (lanes[0] != _PAD).astype(np.int64) if len(lanes) else np.zeros(lanes.shape[1], np.int64)
     steps = [row.astype(np.int64) for row in lanes]
-    for k, table in enumerate(model.flat):
+    for k, table in enumerate(t.ravel() for t in model.tables):  # views: kept in the model, they would be sent to tasks as copies
         n, state = some.copy(), np.zeros(lanes.shape[1], np.int64)
         for symbol in steps:
             state *= model.width
@@ -188,7 +184,6 @@ def build(texts: dict[str, list[str]], chars_per_lang: int, max_alphabet: int =
         if (code >= _STRANGE).any():
             model.languages.append(lang)
             model.tables.append(suffix_automaton(code, model.width))
-    model.flat = [t.ravel() for t in model.tables]
     return model
 
 
