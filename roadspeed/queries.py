@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import clean as C
@@ -28,19 +28,25 @@ ORACLE_SQL: dict[str, str] = {}
 
 _KEYS = "sensor_id date@t "
 _W = " WINDOW w AS (PARTITION BY sensor_id ORDER BY date)"
+#: Added before rounding, in units of the last digit, on both sides: means of short decimals often lie just on a tie, where the last bit of a sum, which depends on the order of rows, would decide.
+_OFF_TIES = 0.0123456789
+
+
+def _rounded(c: Column, digits: int) -> Column:
+    return F.round(c.cast("double") * F.lit(10.0**digits) + F.lit(_OFF_TIES)) / F.lit(10.0**digits)
 
 
 def _shown(df: DataFrame, spec: str) -> DataFrame:
     out = []
     for name, _, kind in (x.partition("@") for x in spec.split()):
         c = F.col(f"`{name}`")
-        c = {"t": lambda c=c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "d": lambda c=c: F.round(c.cast("double"), 6), "f": lambda c=c: F.round(c.cast("double"), 3), "i": lambda c=c: c.cast("long"), "": lambda c=c: c}[kind]()
+        c = {"t": lambda c=c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "d": lambda c=c: _rounded(c, 6), "f": lambda c=c: _rounded(c, 3), "i": lambda c=c: c.cast("long"), "": lambda c=c: c}[kind]()
         out.append(c.alias(name))
     return df.select(*out)
 
 
 def _select(spec: str) -> str:
-    kinds = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "d": "round({0}::double, 6) + 0.0", "f": "round({0}::double, 3) + 0.0", "i": "{0}::bigint", "": "{0}"}
+    kinds = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "d": f"round({{0}}::double * 1e6 + {_OFF_TIES}) / 1e6 + 0.0", "f": f"round({{0}}::double * 1e3 + {_OFF_TIES}) / 1e3 + 0.0", "i": "{0}::bigint", "": "{0}"}
     return ", ".join(f"{kinds[k].format(chr(34) + n + chr(34))} AS \"{n}\"" for n, _, k in (x.partition("@") for x in spec.split()))
 
 
