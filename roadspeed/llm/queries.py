@@ -75,4 +75,61 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
         FROM g
     """,
+    "op2_decontaminate": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), b AS (
+            SELECT item_id::varchar AS item_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), bw AS (
+            SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM b WHERE len(words) > 0
+        ), p AS (
+            SELECT DISTINCT item_id, least(13, len(words)) AS m, array_to_string(words[i : i + 12], ' ') AS pattern FROM bw
+        ), dw AS (
+            SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d
+        ), w AS MATERIALIZED (
+            SELECT rid, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ahead FROM dw
+        ), lengths AS MATERIALIZED (
+            SELECT DISTINCT m FROM p
+        ), x AS MATERIALIZED (
+            SELECT rid, i, m, array_to_string(ahead[1 : m], ' ') AS pattern FROM w JOIN lengths ON len(ahead) >= m
+        ), o AS MATERIALIZED (
+            SELECT rid, i, m, item_id FROM x JOIN p USING (m, pattern)
+        ), hit AS (
+            SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT rid, i, m FROM o)) GROUP BY rid
+        ), items AS (
+            SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT rid, item_id FROM o) GROUP BY rid
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+    """,
+    "op9_suffixes": """
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS body, length(hex(encode(coalesce(text, '')))) // 2 AS n_bytes FROM documents
+        ), s AS MATERIALIZED (
+            SELECT rid, unnest(range(0, n_bytes - 399)) AS i FROM d WHERE n_bytes >= 400
+        ), h AS MATERIALIZED (
+            SELECT rid, i, md5_number(substr(body, 2 * i + 1, 800)) AS m FROM s JOIN d USING (rid)
+        ), again AS (
+            SELECT m FROM h GROUP BY m HAVING count(*) > 1
+        ), r AS (
+            SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM h SEMI JOIN again USING (m)
+        ), g AS (
+            SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM r
+        ), spans AS (
+            SELECT rid, run, min(i) AS a, max(i) + 400 AS e FROM g GROUP BY rid, run
+        ), gaps AS (
+            SELECT rid, a, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans
+        ), cut AS (
+            SELECT rid, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(body, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+            FROM gaps JOIN d USING (rid) GROUP BY rid
+        )
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(body, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (rid)
+    """,
 }
