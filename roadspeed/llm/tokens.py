@@ -80,10 +80,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: docs_over (longer than it), tokens_cut, tokens_lost. Every limit is answered, histogram length or not."""
     asked = sums.sparkSession.createDataFrame([(c,) for c in limits], "context long")
-    # The shortest length beyond the limit holds the suffix that is cut.
-    beyond = sums.join(F.broadcast(asked), F.col("n_tokens") > F.col("context")).groupBy("context").agg(F.min(F.struct("n_tokens", "docs_from", "tokens_from")).alias("s"))
-    total = sums.agg(F.max("tokens_total").alias("tokens_total"))
-    out = asked.join(beyond, "context", "left").crossJoin(F.broadcast(total))
+    # The shortest length beyond the limit holds the suffix that is cut. Each length meets each limit in its own row's array, so nothing is joined.
+    each = sums.withColumn("context", F.explode(F.array(*map(F.lit, limits)).cast("array<long>")))
+    beyond = F.when(F.col("n_tokens") > F.col("context"), F.struct("n_tokens", "docs_from", "tokens_from"))
+    out = asked.join(each.groupBy("context").agg(F.min(beyond).alias("s"), F.max("tokens_total").alias("tokens_total")), "context", "left")
     docs_over, lost = F.coalesce("s.docs_from", F.lit(0)), F.coalesce(F.col("s.tokens_from") - F.col("s.docs_from") * F.col("context"), F.lit(0))
     return out.select("context", docs_over.alias("docs_over"), (F.coalesce("tokens_total", F.lit(0)) - lost).alias("tokens_cut"), lost.alias("tokens_lost"))
 

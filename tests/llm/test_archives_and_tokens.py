@@ -26,6 +26,13 @@ def test_histogram_answers(spark):
     assert got == {q: ordered[max(0, -int(-q * 200 // 1) - 1)] for q in shares}
 
 
+def test_histogram_of_no_documents(spark):
+    sums = tokens.suffix_sums(tokens.histogram(spark.createDataFrame([], "doc_id long, n_tokens long")))
+    assert sums.count() == 0
+    assert [tuple(r) for r in tokens.totals_at(sums, [0, 10]).orderBy("context").collect()] == [(0, 0, 0, 0), (10, 0, 0, 0)]
+    assert tokens.totals_at(sums, []).count() == tokens.quantiles(sums, [0.5]).count() == 0
+
+
 def test_token_lengths(spark):
     encode = tokens.encoding(tokens.VOCABULARY)
     texts = ["Hello wörld <|endoftext|>", None, "", "a" * 5000, "x\n\n y"]
