@@ -108,19 +108,30 @@ _DIGITS = {w: str(d) for names in DIGIT_NAMES.values() for d, w in enumerate(nam
 _SIGNS = {w: sign for sign, names in SIGN_NAMES.items() for w in names.split()}
 _BRACKETED = re.compile(r"[ \t]?[\[({<][ \t]?(@|\.|" + "|".join(_SIGNS) + r")[ \t]?[\])}>][ \t]?", re.I)
 _ENTITY = re.compile(r"&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);", re.I)
-_ADDRESS = re.compile(  # a bare "at" counts only with a bare "dot" behind it, else every "look at x.y" would be an address
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]++(?:dot|punkt|point|punto)[ \t]++)[A-Za-z0-9_%+-]++)*?[ \t]++(?:at|arroba|arobase)[ \t]++[A-Za-z0-9-]++"
-    r"(?:(?:\.|[ \t]++(?:dot|punkt|point|punto)[ \t]++)[A-Za-z0-9-]++)*?(?:[ \t]++(?:dot|punkt|point|punto)[ \t]++)[A-Za-z0-9-]++(?:(?:\.|[ \t]++(?:dot|punkt|point|punto)[ \t]++)[A-Za-z0-9-]++)*", re.I,
+# Bracketed signs stand as runs of \x01 (at) and \x02 (dot) here, so that offsets stay and forms can mix in one address.
+_AT, _HIDDEN_DOT = r"[ \t]++(?:at|arroba|arobase)[ \t]++", r"(?:[ \t]++(?:dot|punkt|point|punto)[ \t]++|\x02++)"
+_MORE = rf"(?:(?:\.|{_HIDDEN_DOT})[A-Za-z0-9-]++)"
+_ADDRESS = re.compile(  # a bare "at" counts only with a hidden dot behind it, else every "look at x.y" would be an address
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{_HIDDEN_DOT})[A-Za-z0-9_%+-]++)*?"
+    rf"(?:{_AT}[A-Za-z0-9-]++{_MORE}*?{_HIDDEN_DOT}[A-Za-z0-9-]++{_MORE}*|\x01++[A-Za-z0-9-]++{_MORE}+)", re.I,
 )
 _LAST = re.compile("[a-z0-9-]+$")
-# Endings that make "x at y dot z" an address rather than prose.
-TOP_DOMAINS = frozenset("com org net edu gov info biz io ai dev app co me eu us uk de fr es it nl at ch be ca au jp cn ru br mx in pl se test example".split())
-_BARE_DOT = re.compile(r"@[A-Za-z0-9.-]++(?:[ \t]++(?:dot|punkt|point|punto)[ \t]++[A-Za-z0-9-]++)+", re.I)
+# Endings that make "x at y dot z" an address rather than prose: general ones, and those of countries that are
+# no common words (not "to", "so", "la"). A bracketed sign, or a literal @ before a domain without a dot, lets any ending count.
+TOP_DOMAINS = frozenset(
+    ("com org net edu gov mil int info biz name pro mobi app dev xyz online site shop store tech cloud blog club live news email agency top icu vip test example "
+    "io ai co me eu us uk de fr es it nl at ch be ca au jp cn ru br mx in pl se ac ad ae af ag ao aq ar aw ax az ba bb bd bf bg bh bi bj bm bn bo bs bt bw bz "
+    "cc cd cf cg ci ck cl cm cr cu cv cw cx cy cz dj dk dm dz ec ee eg er fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu "
+    "id ie il iq ir je jm jo ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly mc md mg mh mk ml mm mn mo mp mq mr ms mt mv mw mz nc nf ng ni np nr nz "
+    "om pa pe pf pg ph pk pm pn pr ps pt pw py qa ro rs rw sb sc sd sg sh sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz "
+    "ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw").split()
+)
+_BARE_DOT = re.compile(rf"@[A-Za-z0-9.-]++(?:{_HIDDEN_DOT}[A-Za-z0-9-]++)+", re.I)
 _BARE_SIGN = re.compile(r"[ \t]++(" + "|".join(_SIGNS) + r")[ \t]++", re.I)
 _NUMBER_WORD = "(?:" + "|".join(sorted({*_DIGITS}, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]++)?(?:{_NUMBER_WORD}|[0-9]++)(?:(?:[ \t,.()-]{{1,3}}|[ \t]++(?:dot|punkt|point|punto|dash|hyphen)[ \t]++)(?:{_NUMBER_WORD}|[0-9]++)(?!\w))+", re.I)
 _PIECE = re.compile(rf"{_NUMBER_WORD}(?!\w)|plus|dot|punkt|point|punto|dash|hyphen|[ \t]+|[^ \t]", re.I)
-_DIGIT_BYTES = frozenset(w.encode() for w in _DIGITS)
+_SPELLED_BYTES = frozenset(w.encode() for w in (*_DIGITS, *"plus dot punkt point punto dash hyphen".split()))
 _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _HAS_BARE = re.compile(r"[ \t](?:dot|punkt|point|punto)[ \t]", re.I)
 
@@ -130,13 +141,23 @@ def _rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), _SIGNS.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(text)] if any(b in text for b in "[({<") else []
     if "&" in text:
         out += [(m.start(), m.end(), "@" if m[0].lower() in ("&commat;",) or "64" in m[0] or "40" in m[0] else ".") for m in _ENTITY.finditer(text)]
-    if _HAS_BARE.search(text):
-        for area in (*_ADDRESS.finditer(text), *_BARE_DOT.finditer(text)):
-            if _LAST.search(area[0].lower())[0] in TOP_DOMAINS:
-                out += [(m.start(), m.end(), _SIGNS[m[1].lower()]) for m in _BARE_SIGN.finditer(text, *area.span())]
-    if sum(map(_DIGIT_BYTES.__contains__, low.encode().translate(_APART).split())) >= 4:
+    bare, view = _HAS_BARE.search(text), text
+    if out and (bare or any(sign == "." for _, _, sign in out)):
+        parts, end = [], 0
+        for s, e, sign in sorted(out):
+            if s >= end and sign in "@.":
+                parts += [text[end:s], ("\x01" if sign == "@" else "\x02") * (e - s)]
+                end = e
+        view = "".join([*parts, text[end:]])
+    if bare or view is not text:
+        for area in (*_ADDRESS.finditer(view), *_BARE_DOT.finditer(view)):
+            found, last = area[0], _LAST.search(area[0].lower())[0]
+            known = "\x01" in found or "\x02" in found or "@" in found and "." not in found
+            if last in TOP_DOMAINS or known and last.isalpha() and len(last) > 1:
+                out += [(m.start(), m.end(), _SIGNS[m[1].lower()]) for m in _BARE_SIGN.finditer(view, *area.span())]
+    if not _SPELLED_BYTES.isdisjoint(low.encode().translate(_APART).split()):
         for area in _SPELLED.finditer(text):
-            names = 0
+            names = signs = 0
             parts = []
             for m in _PIECE.finditer(text, *area.span()):
                 w = m[0].lower()
@@ -144,14 +165,29 @@ def _rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
                     names += 1
                     parts.append((m.start(), m.end(), _DIGITS[w]))
                 elif w in _SIGNS:
+                    signs += 1
                     parts.append((m.start(), m.end(), _SIGNS[w]))
                 elif w == "," or w.isspace():
                     parts.append((m.start(), m.end(), ""))
-            if names >= 4:
+            if names >= 4 or names + signs and _holds(text, area.span(), parts):
                 out += parts
     return sorted(out)
 
 
+def _holds(text: str, span: tuple[int, int], parts: list[tuple[int, int, str]]) -> bool:
+    """Whether a stretch with few digit names is an address, a number of a card or of a phone only once it is rewritten.
+
+    A number that is whole without its names counts as it stands: the next word may be French "un" or English "one".
+    """
+    start = span[0] - (text[span[0] - 1 : span[0]] == "+")
+    made, end = [], start
+    for s, e, new in parts:
+        made += [text[end:s], new]
+        end = e
+    plain = {kind for kind, _, _ in detect_spans(text[start : span[1]])}
+    return any(kind not in plain for kind, _, _ in detect_spans("".join([*made, text[end : span[1]]])))
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
     """Normalised text with the heads of its segments: positions in it, in the source, and the source length of a rewritten one (0: copied).
 
