@@ -3,13 +3,14 @@
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else goes. Suffix arrays of whole shards would sort
 every byte of the corpus, so the work is first cut down to what can match, without loss:
 
-1. Anchors. The 32-byte string with the smallest hash in a window of ``LENGTH`` bytes is its anchor. Equal windows have equal
+1. Anchors. The 64-byte string with the smallest hash in a window of ``LENGTH`` bytes is its anchor. Equal windows have equal
    anchors at equal offsets. Consecutive windows with one anchor form a unit. Spark counts units by anchor: windows of an
    anchor that occurs once are unique; units that are equal as a whole are repeated as a whole.
 2. Shards. What is left are anchors with several different units. One copy of each different unit is sent by anchor to a
-   shard, where a suffix array is built by Larsson-Sadakane refinement in numpy (eight bytes at first, then doubling; only
-   groups not yet apart are sorted again), and Kasai's method gives the common prefixes of neighbours. Windows whose common
-   prefix with a neighbour is LENGTH or more are repeated.
+   shard. Equal windows lie at equal offsets from their anchor, so a range of ``RANGE`` offsets is sorted only if the bytes
+   that all its windows share occur twice there. A suffix array is built by Larsson-Sadakane refinement in numpy (eight bytes
+   at first, then doubling; only groups not yet apart are sorted again), and Kasai's method gives the common prefixes of
+   neighbours. Windows whose common prefix with a neighbour is LENGTH or more are repeated.
 3. Hot anchors. An anchor with more than ``HOT`` different units is no shard of its own: equal windows lie at equal offsets
    from the anchor, so its units are split into aligned ranges of offsets, halved from round to round, and counted by the
    bytes that all windows of a range share, as in step 1. This takes the place of merging shards pairwise by binary search,
@@ -22,6 +23,7 @@ each removed as a whole if they have LENGTH bytes; matches never cross documents
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LENGTH = 400
-GRAM = 32
+GRAM = 64
 HOT = 4096
+#: Offsets from the anchor of one range of windows inside a shard.
+RANGE = 64
 SHARD_BYTES = 1_000_000
 #: Bytes hashed at once; a longer document is hashed in pieces that overlap.
 _PIECE = 1_000_000
@@ -251,16 +255,43 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 _LEFT = "anchor long, key binary, first long, n long, place long, many boolean, part binary"
 
 
+def likely_runs(units: list[tuple], length: int, size: int = RANGE) -> list[tuple]:
+    """The runs of windows of an anchor's units whose shared bytes occur twice: key, first, n, many, bytes.
+
+    units: key, first, n, place, many, bytes. Ranges of offsets are aligned at the anchor, neighbouring ones are joined again.
+    """
+    size = min(size, length)
+    ranges, times = [], Counter()
+    for key, first, n, place, many, part in units:
+        own = []
+        for j in range((place - first) // size, (place - first - n + 1) // size - 1, -1):
+            head = place - j * size
+            mark = (j, part[head - first : head - size + 1 + length - first])
+            times[mark] += 1
+            own.append((mark, max(first, head - size + 1), min(first + n - 1, head)))
+        ranges.append((key, first, many, part, own))
+    out = []
+    for key, first, many, part, own in ranges:
+        runs: list[list[int]] = []
+        for mark, lo, hi in own:
+            if times[mark] > 1:
+                if runs and runs[-1][1] + 1 == lo:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+        out += [(key, lo, hi - lo + 1, many, part[lo - first : hi + length - first]) for lo, hi in runs]
+    return out
+
+
 def _shards(length: int, shard_bytes: int):
     """Repeated runs of windows of units that come sorted by anchor; a shard holds whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        group: dict[tuple, tuple] = {}  # keyed, since a row of the table may be repeated
         shard: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            seen = {(k, f): (k, f, n, many, part) for k, f, n, many, part in shard}  # a repeated row of the table
-            rows = list(seen.values())
+            rows = list(shard)
             keys, firsts, counts = [], [], []
             if rows:
                 n = np.array([r[2] for r in rows])
@@ -276,17 +307,21 @@ def _shards(length: int, shard_bytes: int):
             shard.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], ["key", "first", "n"])
 
-        last = None
+        last, held = None, 0
         for batch in batches:
             for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != last:
-                    if sum(len(r[-1]) for r in shard) + sum(len(r[-1]) for r in group) > shard_bytes and shard:
+                    more = likely_runs(list(group.values()), length)
+                    size = sum(len(r[-1]) for r in more)
+                    if shard and held + size > shard_bytes:
                         yield out()
-                    shard += group
-                    group = []
+                        held = 0
+                    shard += more
+                    held += size
+                    group = {}
                     last = anchor
-                group.append(tuple(row))
-        shard += group
+                group[row[0], row[1]] = tuple(row)
+        shard += likely_runs(list(group.values()), length)
         yield out()
 
     return run
@@ -342,7 +377,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_b
     size = 1 << (length - GRAM if length > GRAM else 1).bit_length()
     while True:
         cold = parts.filter(F.col("others") <= hot).repartition("anchor").sortWithinPartitions("anchor")
-        found.append(cold.select("anchor", "key", "first", "n", "many", "part").mapInArrow(_shards(length, shard_bytes), "key binary, first long, n long"))
+        found.append(cold.select("anchor", "key", "first", "n", "place", "many", "part").mapInArrow(_shards(length, shard_bytes), "key binary, first long, n long"))
         large = parts.filter(F.col("others") > hot)
         if size == 1 or large.isEmpty():
             break
