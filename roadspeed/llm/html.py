@@ -1,17 +1,20 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed into a tree once. Elements that are never article text (scripts, menus, forms and so on, by tag, role or
-class) go at once. Every remaining element subtree that holds text is hashed; Spark counts, for each host, on how many
-pages of different text each hash occurs. Subtrees that recur on many pages of their host are its template: their blocks go.
+Each page is parsed into a tree. Every element subtree that holds text is hashed; Spark counts, for each host and for each
+section of a host (the first step of the path), on how many pages of different text each hash occurs. Subtrees that recur on
+many pages are the site's template and are deleted. Elements that are never article text (scripts, menus, forms and so on,
+by tag, role or class) go as well, for pages and hosts that are too few to count.
 
 Counting is keyed by host and hash, so a host with a third of all pages is summed in parts before it is shuffled. What a
-host's pages are joined with is its list of template hashes, each of which is on ``share`` of its pages or more, so the
-list is at most 1 / share times as long as a page has subtrees.
+host's pages are joined with is its list of template hashes, each of which is on a fixed share of its pages or more, so the
+list is at most 1 / share times as long as a page has subtrees. Pages are parsed again to delete them: cheaper than to store
+or to shuffle the trees.
 
 Defined cases: null or empty html, and pages of nothing but boilerplate, give an empty text; a page without a host belongs
-to the host ""; pages of equal text count once, so copies of an article do not make it a template; tags left open end with
-their parent; repeated rows are returned as often as they occur. If a page has an article or main element, only text inside
-such elements counts. Only the ``DEPTH`` nearest ancestors of a block can be templates. Other columns are left out.
+to the host ""; pages of equal text count once, so copies of an article do not make it a template; inside an article or main
+element a template needs half of the pages, since passages may recur there; tags left open end with their parent; repeated
+rows are returned as often as they occur. If a page has article or main elements, only text inside them counts, but for
+teasers: they hold less than a third of what is left, and the rest is long enough for a story. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-DEPTH = 32
+#: Article and main elements are teasers if they hold less than this part of what is left of a page, and the rest has STORY characters.
+MAIN_SHARE, STORY = 1 / 3, 200
 #: Most template hashes that are broadcast; beyond them the pages are joined by host.
 BROADCAST_HASHES = 2_000_000
 
@@ -41,10 +46,15 @@ BLOCKS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|banner|notice\w*|popup|modal|overlay|newsletter|subscribe\w*|sidebar|side-?bar|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|share|sharing|social|related|recommend\w*|widget|login|signup|toolbar|pagination|pager|skip-?link)(?:$|[\s_-])", re.I,
+# A class or id is cut into words. It names boilerplate if its last word does, after general words for boxes.
+_BOILERPLATE_WORD = re.compile(
+    r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|banner|notices?|popup|modal|overlay|newsletter|subscribe\w*|sidebar|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|header|masthead|comments?|disqus|reply|replies|share|sharing|social|related|recommend\w*|widgets?|login|signup|toolbar|pagination|pager|skiplink)\Z", re.I,
 )
+_BOXES = frozenset("area bar block body box button buttons container content form group inner item items link links list outer panel post posts section side slot text thread unit wrap wrapper".split())
+_STATES = frozenset("has is hide no show with without".split())  # "has-sidebar" speaks of something else on the page
+_ARTICLE_WORDS = frozenset("article blog card chapter content entry post section story table title".split())
+_WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: What an opening tag ends: (its name, names that it ends, names that it does not look past).
 _ITEMS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -59,23 +69,40 @@ _ENDS_P = BLOCKS - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot",
 _SCOPE = frozenset("table td th caption article main section aside nav header footer form div blockquote li body html".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HOST = r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?/?([^/?#]*)"
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match((url or "").strip())
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
+
+
+def section_of(url: Column) -> Column:
+    """The first step of the path."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 2)
 
 
 class _Element:
-    __slots__ = ("name", "drop", "main", "parts", "digest", "parent")
+    __slots__ = ("name", "drop", "main", "parts", "digest", "parent", "holds", "gone")
 
     def __init__(self, name: str, parent: _Element | None, drop: bool, main: bool):
         self.name, self.parent, self.drop, self.main = name, parent, drop, main
         self.parts: list[str] = []
         self.digest = 0
+        self.holds = self.gone = False  # whether there is text in it; whether a template holds it
+
+
+def _names_boilerplate(own: str, inside: bool) -> bool:
+    """Whether a class list or id names boilerplate. Headers inside an article hold its title."""
+    for name in own.split():
+        words = [w.lower() for w in _WORDS_OF_NAME.findall(name)]
+        while words and (words[-1] in _BOXES or words[-1].isdigit()):
+            words.pop()
+        if words and _BOILERPLATE_WORD.match(words[-1]) and _STATES.isdisjoint(words):
+            if words[-1] != "header" or not inside and _ARTICLE_WORDS.isdisjoint(words):
+                return True
+    return False
 
 
 def _boilerplate(name: str, attributes: str, parent: _Element) -> bool:
@@ -83,22 +110,23 @@ def _boilerplate(name: str, attributes: str, parent: _Element) -> bool:
         return True
     if not attributes or name in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(found.get("style", "")):
+        return True
     if found.get("role", "").lower() in DROPPED_ROLES:
         return True
     own = f"{found.get('class', '')} {found.get('id', '')}"
-    if name in MAIN and not parent.main:  # the outermost article keeps names such as "has-sidebar"; a comment is no article
+    if name in MAIN and not parent.main:  # the outermost article keeps names such as "related"; a comment is no article
         return bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", own, re.I))
-    return bool(own.strip() and BOILERPLATE.search(own))
+    return _names_boilerplate(own, parent.main)
 
 
-def parse(html: str) -> list[tuple[str, list[int], bool]]:
-    """Blocks in page order: text, digests of the subtrees around it (nearest first), whether an article or main element is around it."""
+def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
+    """Blocks that are no boilerplate, in page order, with their elements; all elements that hold text, inner ones first."""
     root = _Element("", None, False, False)
     stack = [root]
     blocks: list[tuple[str, _Element]] = []
+    elements: list[_Element] = []
     held: list[str] = []
     owner = root
 
@@ -116,6 +144,10 @@ def parse(html: str) -> list[tuple[str, list[int], bool]]:
                 flush()
             e.digest = xxhash.xxh64_intdigest("\x00".join([e.name, *e.parts]))
             stack[-1].parts.append(f"<{e.digest:x}")
+            if e.holds:
+                stack[-1].holds = True
+                if e.name not in ("html", "body"):
+                    elements.append(e)
 
     def find(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -127,15 +159,20 @@ def parse(html: str) -> list[tuple[str, list[int], bool]]:
 
     def text(raw: str) -> None:
         nonlocal owner
+        if not raw:
+            return
         top = stack[-1]
-        if not top.drop and raw:
-            clean = unescape(raw) if "&" in raw else raw
-            if not held or not clean.isspace():
-                base = next((e for e in reversed(stack) if e.name in BLOCKS), root)
-                if base is not owner:
-                    flush()
-                    owner = base
+        clean = unescape(raw) if "&" in raw else raw
+        blank = clean.isspace()
+        if not blank or not top.drop and not held:
+            base = next((e for e in reversed(stack) if e.name in BLOCKS), root)
+            base.holds |= not blank
+            if base is not owner and not top.drop:
+                flush()
+                owner = base
+        if not top.drop:
             held.append(clean)
+        if not blank:
             top.parts.append(" ".join(clean.split()))
 
     at, n = 0, len(html)
@@ -182,55 +219,84 @@ def parse(html: str) -> list[tuple[str, list[int], bool]]:
             at = end.start() if end else n
     close(1)
     flush()
-    out = []
-    for words, e in blocks:
-        around, main = [], e.main
-        while e is not None and e.parent is not None and len(around) < DEPTH:
-            if e.name not in ("html", "body"):
-                around.append(e.digest - (1 << 64) if e.digest >> 63 else e.digest)
-            e = e.parent
-        out.append((words, around, main))
-    return [b for b in out if b[2]] if any(b[2] for b in out) else out
+    return blocks, elements
+
 
+def _key(e: _Element) -> int:
+    """The hash that is counted, as a signed long: that of the subtree, and whether it is inside an article."""
+    h = e.digest ^ (0x9E3779B97F4A7C15 if e.main else 0)
+    return h - (1 << 64) if h >> 63 else h
 
-_SCHEMA = "page_id long, url string, host string, text_hash long, blocks array<struct<text: string, around: array<long>>>"
 
+def main_text(html: str, templates: set[int]) -> tuple[str, int]:
+    """Text of a page without the subtrees in ``templates``, and the number of the outermost ones that went."""
+    blocks, elements = parse(html)
+    n = 0
+    if templates:
+        for e in reversed(elements):  # a parent comes before its children
+            above = e.parent is not None and e.parent.gone
+            e.gone = above or _key(e) in templates
+            n += e.gone and not above
+    left = [(t, e.main) for t, e in blocks if not e.gone]
+    inside, outside = (sum(len(t) for t, main in left if main is side) for side in (True, False))
+    only = inside and (outside < STORY or inside >= MAIN_SHARE * (inside + outside))
+    return "\n\n".join(t for t, main in left if main or not only), n
 
-def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page row: page_id, url, host, text_hash (of all blocks), blocks."""
-    kind = pages.schema[id_col].dataType.simpleString()
+
+_SCHEMA = "host string, section string, text_hash long, inside boolean, hash long"
+
+
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, section, text_hash (of the page's text), inside (an article), hash: the different subtrees of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
         for batch in batches:
-            ids, urls, hosts, hashes, blocks = batch.column(0), [], [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = parse(html.as_py() or "")
-                urls.append(url)
-                hosts.append(host_of(url))
-                hashes.append(xxhash.xxh64_intdigest("\n\n".join(t for t, _, _ in found)) - (1 << 63))
-                blocks.append([{"text": t, "around": a} for t, a, _ in found])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(blocks, block)], ["page_id", "url", "host", "text_hash", "blocks"])
-
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, _SCHEMA.replace("page_id long", f"page_id {kind}"))
-
-
-def templates(parsed: DataFrame, min_pages: int = 10, share: float = 0.5) -> DataFrame:
-    """host, hashes: the subtrees on ``min_pages`` pages and ``share`` of the pages of a host or more; pages of equal text count once."""
-    texts = parsed.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    around = F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash")
-    counts = parsed.select("host", "text_hash", around).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    often = counts.join(texts, "host").filter(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5) -> DataFrame:
-    """One row per page row: id, url, text, n_chars, n_template_blocks (blocks that went with the site's template)."""
-    parsed = parse_pages(pages, id_col, url_col, html_col)  # parsed twice: cheaper than to store or to shuffle all texts
-    found = cut(templates(parsed, min_pages, share).withColumnRenamed("host", "_host"))
+            texts, inside, hashes, counts = [], [], [], []
+            for html in batch.column(2):
+                blocks, elements = parse(html.as_py() or "")
+                found = {_key(e): e.main for e in elements}
+                texts.append(xxhash.xxh64_intdigest("\n\n".join(t for t, _ in blocks)) - (1 << 63))
+                inside += found.values()
+                hashes += found
+                counts.append(len(found))
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [*(c.take(of) for c in (batch.column(0), batch.column(1), pa.array(texts, pa.int64()))), pa.array(inside, pa.bool_()), pa.array(hashes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
+
+    return pages.select(host_of(F.col(url_col)).alias("_h"), section_of(F.col(url_col)).alias("_s"), html_col).mapInArrow(run, _SCHEMA)
+
+
+def templates(trees: DataFrame, min_pages: int = 10, share: float = 0.2, inside_share: float = 0.5) -> DataFrame:
+    """host, hashes: the subtrees on ``min_pages`` pages or more that are on ``share`` of the pages of the host, or on ``inside_share`` of a section.
+
+    Inside an article the share is ``inside_share`` for both. Pages of equal text count once.
+    """
+    pages = trees.select("host", "section", "text_hash").distinct()
+    by_section = pages.groupBy("host", "section").agg(F.count("*").alias("_ps"))
+    by_host = by_section.groupBy("host").agg(F.sum("_ps").alias("_ph"))
+    counts = trees.distinct().groupBy("host", "section", "inside", "hash").agg(F.count("*").alias("n"))
+    often = counts.groupBy("host", "inside", "hash").agg(F.sum("n").alias("n"), F.max_by("section", F.struct("n", "section")).alias("section"), F.max("n").alias("ns"))
+    often = often.filter(F.col("n") >= min_pages).join(by_host, "host").join(by_section, ["host", "section"])
+    of_host = F.col("n") >= F.col("_ph") * F.when(F.col("inside"), inside_share).otherwise(share)
+    of_section = (F.col("ns") >= min_pages) & (F.col("ns") >= F.col("_ps") * inside_share)
+    return often.filter(of_host | of_section).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+
+
+def extract(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.2, inside_share: float = 0.5
+) -> DataFrame:
+    """One row per page row: id, url, text, n_chars, n_templates (outermost subtrees that went with the site's template)."""
+    found = cut(templates(subtrees(pages, url_col, html_col), min_pages, share, inside_share).withColumnRenamed("host", "_host"))
     found = F.broadcast(found) if (found.agg(F.sum(F.size("hashes") + 8)).first()[0] or 0) <= BROADCAST_HASHES else found
-    met = parsed.join(found, F.col("host") == F.col("_host"), "left")
-    own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("hashes")), F.lit(False)))
-    text = F.array_join(F.transform(own, lambda b: b["text"]), "\n\n")
-    out = met.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), (F.size("blocks") - F.size(own)).cast("long").alias("n_template_blocks"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(id_col, url_col, "text", "n_chars", "n_template_blocks")
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    met = rows.join(found, host_of(F.col("_url")) == F.col("_host"), "left").select("_id", "_url", "_html", "hashes")
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [main_text(html.as_py() or "", set(known or ())) for html, known in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            texts, counts = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["_id", "_url", "text", "n_templates"])
+
+    done = met.mapInArrow(run, f"_id {kind}, _url string, text string, n_templates long")
+    return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_templates")

@@ -1,6 +1,6 @@
 """Main text: the parser on hand-made pages, the templates against brute force."""
 
-from collections import defaultdict
+import re
 
 import pytest
 
@@ -8,7 +8,10 @@ from roadspeed.llm import html
 
 
 def texts(page):
-    return [t for t, _, _ in html.parse(page)]
+    """Text blocks of a page of its own, without templates."""
+    found, n = html.main_text(page, set())
+    assert n == 0
+    return found.split("\n\n") if found else []
 
 
 @pytest.mark.parametrize(
@@ -29,6 +32,11 @@ def texts(page):
         ('<p title="a>b">q</p><p>un<i>der</i>line</p>', ["q", "underline"]),
         ("<style>p{}</style><noscript>n</noscript><p>k</p><script>unclosed <p>x", ["k"]),
         ("<div role=navigation>n</div><div>a<div>b</div>c</div>", ["a", "b", "c"]),
+        ("<p title='the hidden truth' data-x='display:none'>seen</p><p style='color:red;display: none'>no</p><p aria-hidden=true>no</p><p HIDDEN>no</p>", ["seen"]),
+        ("<div class='post-header'><h1>Title</h1></div><div class='page-header'>no</div><p class='share-price'>up</p>", ["Title", "up"]),
+        ("<article><div class=header>T</div><div class='related-work'>w</div><div class='relatedPosts'>no</div><p class='intro'>p<span class=share-buttons>no</span>q</p></article>", ["T", "w", "pq"]),
+        (f"<div><p>{'A long story. ' * 20}</p></div><article>Next</article>", [("A long story. " * 20).strip(), "Next"]),
+        ("<div id=cookie-banner-2>no</div><div class='ad-slot'>no</div><div class='UserComments'>no</div><div class=has-comments>ok</div>", ["ok"]),
     ],
 )
 def test_parse(page, expected):
@@ -42,32 +50,54 @@ def test_long_and_broken_pages():
     assert texts("<" * 50_000 + "x") == ["<" * 50_000 + "x"]
 
 
+STRIP = re.compile(r"<[^>]+>")
+
+
 def test_templates(spark):
-    pages = []
-    for i in range(40):
-        host = "big.example" if i % 4 else "small.example"
-        legal = "<div><p>All rights are ours.</p></div>" if host == "big.example" else "<div><p>Small print.</p></div>"
-        pages.append((i, f"https://{host}/{i}", f"<body><div><p>Welcome to {host}</p></div><div><p>Story {i} &amp; more</p><p>Same line</p></div>{legal}", "x"))
-    pages += [(100 + i, "http://copy.example/", "<article><p>One article, many copies</p></article>", "x") for i in range(30)]
-    pages += [(200, None, None, "x"), (201, "no host", "", "x"), (202, "http://big.example", "<p>Welcome to big.example</p>", "x"), (202, "http://big.example", "<p>Welcome to big.example</p>", "x")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    """Pages of known parts: what a person would keep is known without the parser."""
+    pages, expected = [], {}
+
+    def add(i, url, parts, kept):
+        pages.append((i, url, "<body>" + "".join(parts) + "</body>", "x", "h", "b"))
+        expected[i] = "\n\n".join(STRIP.sub("", x) for x in kept)
+
+    welcome, legal, small = "<div><p>Welcome here</p></div>", "<div><p>All rights are ours.</p></div>", "<div><p>Small print.</p></div>"
+    for i in range(30):  # on all pages of the host
+        story = [f"<p>Story {i} and more</p>", f"<p>Same day {i % 29}</p>"]
+        add(i, f"https://big.example/{i}", [welcome, "<div>", *story, "</div>", legal], story)
+    for i in range(100, 109):  # a host of nine pages has no template
+        add(i, f"https://small.example/{i}", [small, f"<p>Tale {i}</p>"], [small, f"<p>Tale {i}</p>"])
+    for i in range(200, 260):  # three layouts of a third each, no sign in the path
+        box = f"<div><p>Layout {i % 3}</p></div>"
+        add(i, f"https://three.example/{i}/x", [box, f"<p>Tale {i}</p>"], [f"<p>Tale {i}</p>"])
+    for i in range(300, 400):  # a section of fifteen pages among a hundred; half of its pages in an article
+        box, own = "<div><p>Only in this section</p></div>", i < 315
+        add(i, f"https://parts.example:80/{'rare' if own else 'often'}/{i}", [box * own, f"<article><p>Tale {i}</p>", "<p>A line that recurs</p>" * (i % 3 == 0), "</article>"], [f"<p>Tale {i}</p>", *["<p>A line that recurs</p>"] * (i % 3 == 0)])
+    for i in range(500, 530):
+        add(i, "http://copy.example/", ["<article><p>One article, many copies</p></article>"], ["One article, many copies"])
+    deep = "<div>" * 60 + "<p>Far below</p>" + "</div>" * 60
+    for i in range(600, 620):  # sixty elements deep
+        add(i, "http://deep.example/a", [f"<section>{deep}</section>", f"<p>Tale {i}</p>"], [f"<p>Tale {i}</p>"])
+    for i in range(700, 703):
+        pages.append((i, [None, "no host", "http://big.example"][i - 700], [None, "", welcome][i - 700], "x", "h", "b"))
+        expected[i] = ""
+    pages += [pages[0], pages[-1]]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string, host string, hashes string")
     rows = html.extract(df).collect()
     assert len(rows) == len(pages)
+    for r in rows:
+        assert r.text == expected[r.page_id], r.page_id
+        assert r.n_chars == len(r.text)
     by = {r.page_id: r for r in rows}
-    seen = defaultdict(set)
-    for i, url, page, _ in pages:
-        for t, around, _ in html.parse(page or ""):
-            for h in around:
-                seen[(html.host_of(url), h)].add(tuple(texts(page)))
-    for i, url, page, _ in pages:
-        host = html.host_of(url)
-        total = len({tuple(texts(p or "")) for _, u, p, _ in pages if html.host_of(u) == host})
-        kept = [t for t, around, _ in html.parse(page or "") if not any(len(seen[(host, h)]) >= max(10, total / 2) for h in around)]
-        assert by[i].text == "\n\n".join(kept)
-        assert by[i].n_chars == len(by[i].text)
-        assert by[i].url == url
-    assert by[1].text == "Story 1 & more"
-    assert by[100].text == "One article, many copies"
+    assert (by[1].n_templates, by[100].n_templates, by[200].n_templates, by[300].n_templates, by[600].n_templates) == (2, 0, 1, 1, 1)
+    assert {r.page_id: r.url for r in rows} == {p[0]: p[1] for p in pages}
+
+
+def test_template_list_joined_beyond_the_broadcast_limit(spark, monkeypatch):
+    pages = [(i, "http://a.example/", f"<div>Top</div><p>Tale {i}</p>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
+    assert sorted(r.text for r in html.extract(df).collect()) == sorted(f"Tale {i}" for i in range(20))
 
 
 def test_no_pages(spark):
