@@ -7,12 +7,13 @@ The suffix sums have two levels, so that no task holds a histogram that grows wi
 ``BLOCK``, sums run inside each block, and only one row for each block is summed in order.
 
 Defined cases: a null or empty text has no tokens and counts as a document of length 0; repeated rows count each time; an
-empty table has an empty histogram. Special-token strings in a text are ordinary text.
+empty table has an empty histogram. Special-token strings in a text are ordinary text. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
+from decimal import Decimal
 from functools import lru_cache
 
 import pandas as pd
@@ -20,6 +21,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
 #: Fixed value: the pattern that cuts text into the stretches that byte-pair merges stay inside.
@@ -55,9 +58,10 @@ def histogram(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """For each length n_tokens: n_docs, docs_from (documents as long or longer), tokens_from (their tokens), docs_total, tokens_total, tokens_cut.
+    """For each length n_tokens: n_docs, docs_from (documents as long or longer), tokens_from (their tokens), docs_total, tokens_total, tokens_cut, docs_up_to.
 
-    ``tokens_cut`` is the corpus size if every document is truncated at that length.
+    ``tokens_cut`` is the corpus size if every document is truncated at that length; the first length with a ``docs_up_to``
+    of at least a share of ``docs_total`` is the quantile of that share.
     """
     rows = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("_bd"), F.sum("_tokens").alias("_bt"))
@@ -74,7 +78,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_from = F.sum("n_docs").over(inside) + F.col("_docs_above")
     tokens_from = F.sum("_tokens").over(inside) + F.col("_tokens_above")
     out = rows.join(above, "block").select("n_tokens", "n_docs", docs_from.alias("docs_from"), tokens_from.alias("tokens_from"), "docs_total", "tokens_total")
-    return out.withColumn("tokens_cut", F.col("tokens_total") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens"))
+    out = out.withColumn("tokens_cut", F.col("tokens_total") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens"))
+    return out.withColumn("docs_up_to", F.col("docs_total") - F.col("docs_from") + F.col("n_docs"))
 
 
 def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
@@ -89,12 +94,14 @@ def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """The smallest length that at least a share q of the documents do not exceed, for each q in (0, 1]."""
-    asked = sums.sparkSession.createDataFrame([(q,) for q in shares], "q double")
-    up_to = F.col("docs_total") - F.col("docs_from") + F.col("n_docs")
-    return sums.join(F.broadcast(asked), up_to >= F.ceil(F.col("q") * F.col("docs_total"))).groupBy("q").agg(F.min("n_tokens").alias("n_tokens"))
+    """The smallest length that at least a share q of the documents do not exceed, for each q in (0, 1], as written in decimals."""
+    exact = [F.struct(F.lit(q).cast("double").alias("q"), F.lit(Decimal(str(q))).cast("decimal(18,17)").alias("share")) for q in shares]
+    if not shares:
+        return sums.select(F.lit(0.0).alias("q"), "n_tokens").limit(0)
+    each = sums.select("n_tokens", "docs_up_to", "docs_total", F.explode(F.array(*exact)).alias("_q"))
+    return each.filter(F.col("docs_up_to") >= F.col("_q.share") * F.col("docs_total")).groupBy("_q.q").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def length_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """The suffix sums of the documents' lengths."""
-    return suffix_sums(histogram(lengths(docs, id_col, text_col, path)))
+    return suffix_sums(cut(histogram(lengths(docs, id_col, text_col, path))))  # read twice, for both levels

@@ -10,8 +10,10 @@ Spark does all reading and writing, so archives may lie in any store that Spark
 separator hold the exact bytes of UTF-8 records, and each file ends at a record.
 
 Defined cases: a null payload is empty; payloads under ``MIN_REVISIT`` bytes are never revisits; ties do not occur, the
-largest id is the response; repeated (id, payload) rows are each written. A record whose header line does not fit its
-version raises ValueError. Other columns are left out.
+largest id is the response; repeated (id, payload) rows are each written, all as the type of their page, and a revisit of
+repeated responses names the record id that they share. Without an id a page is written and read back with a null id; it is
+a response only if no page with an id has its payload. A record whose header line does not fit its version raises
+ValueError. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 MIN_REVISIT = 1000
-#: Rough bytes of records in one archive file.
+#: Rough bytes of records in one archive file, and the most records in a WARC file.
 FILE_BYTES = 32_000_000
+FILE_RECORDS = 10_000
 _DATE = "20240101000000"
 _BLANK = re.compile(r"[\x00-\x20\x7f]+|\s+")  # header fields are parted by blanks, so a URL can't hold any
 _VERSION_FIELDS = {
@@ -207,7 +210,7 @@ def mark_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame
         .select(F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes"), "first")
     )
     met = records.join(firsts, (F.col("sha1") == F.col("_sha1")) & (F.col("payload_bytes") == F.col("_bytes")), "left").drop("_sha1", "_bytes")
-    own = F.col("first.page_id") == F.col("page_id")
+    own = F.col("first.page_id").eqNullSafe(F.col("page_id"))
     return met.withColumn("first", F.when(~own, F.col("first")))
 
 
@@ -228,7 +231,7 @@ def warc_text(records: DataFrame) -> Column:
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Gzipped WARC files of marked records."""
-    records.select(warc_text(records).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").mode("overwrite").text(path)
+    records.select(warc_text(records).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
 
 
 _WARC_SCHEMA = "record_type string, record_id string, refers_to_id string, uri string, date string, payload_digest string, page_id long, payload binary"
@@ -277,7 +280,7 @@ def convert_pages(spark: SparkSession, pages: DataFrame, path: str | None = None
     back = read_warc(spark, path)
     # A revisit has its length from the response that it names, as a reader of the archive would find it.
     rows = back.select("page_id", "record_type", "record_id", "refers_to_id", "payload_digest", F.octet_length("payload").cast("long").alias("n"))
-    responses = rows.filter("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("_n"))
+    responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.max("page_id").alias("refers_to"), F.max("n").alias("_n"))
     met = rows.join(responses, rows["refers_to_id"] == responses["_id"], "left")
     return met.select("page_id", "record_type", F.coalesce("n", "_n").alias("payload_bytes"), "payload_digest", "refers_to", "record_id")
 

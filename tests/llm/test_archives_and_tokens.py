@@ -1,11 +1,14 @@
 """Token histograms and the archive converter against brute force and round trips."""
 
+import base64
 import hashlib
 import random
 
 import pytest
 
-from roadspeed.llm import tokens, warc
+from roadspeed.llm import queries, tokens, warc
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_histogram_answers(spark):
@@ -24,6 +27,26 @@ def test_histogram_answers(spark):
     got = {x.q: x.n_tokens for x in tokens.quantiles(sums, shares).collect()}
     ordered = sorted(sizes)
     assert got == {q: ordered[max(0, -int(-q * 200 // 1) - 1)] for q in shares}
+    hundred = tokens.suffix_sums(tokens.histogram(spark.createDataFrame([(i, i) for i in range(1, 101)], "doc_id long, n_tokens long")))
+    assert {x.q: x.n_tokens for x in tokens.quantiles(hundred, [k / 100 for k in range(1, 101)]).collect()} == {k / 100: k for k in range(1, 101)}
+
+
+def test_token_query(spark):
+    """The query's rows from the lengths of all texts, counted one by one."""
+    encode = tokens.encoding(tokens.VOCABULARY).encode_ordinary
+    sizes = [len(encode(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = {r.n_tokens: r for r in queries.op3_token_counts(spark, SF).collect()}
+    assert set(found) == set(sizes)
+    for c, r in found.items():
+        expected = (sizes.count(c), sum(n >= c for n in sizes), sum(n for n in sizes if n >= c), len(sizes), sum(sizes), sum(min(n, c) for n in sizes), sum(n <= c for n in sizes))
+        assert (r.n_docs, r.docs_from, r.tokens_from, r.docs_total, r.tokens_total, r.tokens_cut, r.docs_up_to) == expected
+
+
+def test_tokens_of_long_and_repeated_rows(spark):
+    rows = [(1, "word " * 200_000, 5, 0, "b")] * 2 + [(2, None, 5, 0, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_docs int, n_tokens int, block string")
+    found = sorted(tuple(r)[:2] for r in tokens.length_report(df).collect())
+    assert found == [(0, 1), (len(tokens.encoding(tokens.VOCABULARY).encode_ordinary("word " * 200_000)), 2)]
 
 
 def test_histogram_of_no_documents(spark):
@@ -88,3 +111,21 @@ def test_round_trip(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.convert_pages(spark, pages, str(tmp_path / "w")).count() == 0
+
+
+def test_repeated_rows_and_missing_ids(spark, tmp_path):
+    """Each row gives one row, whatever is repeated; a page without an id is a response only where no page with one has its payload."""
+    x, y, z = "x" * 1200, "y" * 1500, "z" * 1000
+    rows = [(3, x), (5, x), (5, x), (7, y), (None, x), (None, z), (None, z), (9, "short"), (9, "short"), (8, "short"), (None, None), (5, y)]
+    df = spark.createDataFrame([(i, f"http://a/{i}", h, "n", "b") for i, h in rows], "page_id long, url string, html string, first string, sha1 string")
+    found = warc.convert_pages(spark, df, str(tmp_path / "w")).collect()
+    assert len(found) == len(rows)
+    key = lambda r: tuple(str(v) for v in r)
+    digest = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    expected = []
+    for i, h in rows:
+        top = max((j for j, g in rows if g == h and j is not None), default=None)
+        revisit = len(h or "") >= 1000 and i != top
+        expected.append((i, len(h or ""), digest(h), "revisit" if revisit else "response", top if revisit else None))
+    got = [(r.page_id, r.payload_bytes, base64.b32decode(r.payload_digest[5:]).hex(), r.record_type, r.refers_to) for r in found]
+    assert sorted(got, key=key) == sorted(expected, key=key)
