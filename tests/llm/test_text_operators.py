@@ -144,31 +144,6 @@ def test_pii_clean_text_and_columns(spark):
     assert [r.t for r in hidden][2:] == [None, "", "x <email> y", "<ip>"]
 
 
-def brute_phrases(text, corpus):
-    """Longest-match phrases of a coded sequence."""
-    n, i = 0, 0
-    while i < len(text):
-        k = 1
-        while i + k < len(text) and text[i : i + k + 1] in corpus:
-            k += 1
-        n, i = n + 1, i + k
-    return n
-
-
-def test_language_phrases():
-    r = random.Random(5)
-    train = {"aa": ["".join(r.choice("abcd ") for _ in range(400))], "bb": ["".join(r.choice("cdef ") for _ in range(400))]}
-    model = language.build(train, 10_000)
-    texts = ["".join(r.choice("abcdefz ,") for _ in range(r.randint(1, 300))) for _ in range(30)]
-    counts, sizes = language.cross_parse(texts, model)
-    for k, lang in enumerate(model.languages):
-        corpus = bytes(language.symbols(train[lang][0] + " ", model))
-        for i, t in enumerate(texts):
-            code = bytes(language.symbols(t, model))
-            assert len(code) == sizes[i]
-            assert counts[k, i] == brute_phrases(code, corpus)
-
-
 def test_language_predicts(spark):
     r = random.Random(6)
     say = {"xx": ["foo", "bar", "bazle", "quxt"], "yy": ["lorem", "ipsum", "dolor", "amet"]}
