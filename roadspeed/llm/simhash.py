@@ -11,12 +11,13 @@ is a cell of its own, so no task holds a hot cell. A task emits one edge for eac
 pairs. Components come from star contraction in Spark, with checkpoints in the shared folder.
 
 Defined cases: a null, empty or wordless text has fingerprint zero, which is linked like any other; fewer words than a
-shingle has are one shingle; repeated rows share their fingerprint. Ids must not be null. Other columns are left out.
+shingle has are one shingle; repeated rows share their fingerprint. Ids may be of any type that has an order; a missing one
+is no smallest id, and a component without any id has none. Other columns are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,27 +33,39 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 CELL = 1024
+BROADCAST_ROWS = 1_000_000
 _SEGMENTS = 32
 _LOW_BITS = 0x5555555555555555
 
 
-def hash_text(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, in order, in parts of at most 65,536; nothing for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+        return
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=False)], np.uint64)
+    for at in range(0, len(ends), 1 << 16):
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=False)], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned 64-bit number whose bits are set in over half of the hashes; 0 for none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist())
 
 
+def hash_text(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([hash_text(t) for t in texts], np.uint64).view(np.int64))
 
@@ -68,6 +81,11 @@ def embed(fp: Column) -> Column:
     return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # a sum that can't overflow
 
 
+def embedding(fps: np.ndarray) -> np.ndarray:
+    """``embed`` for an array of unsigned fingerprints."""
+    return (fps & np.uint64(_LOW_BITS)) + ((fps >> np.uint64(1)) & np.uint64(_LOW_BITS))
+
+
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Manhattan distance of packed embeddings: |x - y| of two-bit counts, which are at most 2."""
     low, high = np.uint64(_LOW_BITS), np.uint64(_LOW_BITS << 1)
@@ -95,8 +113,7 @@ def links_in(nodes: np.ndarray, fps: np.ndarray, right: np.ndarray, distance: in
 
     If some rows are on the right, only links between left and right rows count: the two chunks have cells of their own.
     """
-    low = np.uint64(_LOW_BITS)
-    vectors = (fps & low) + ((fps >> np.uint64(1)) & low)
+    vectors = embedding(fps)
     a = np.flatnonzero(~right)
     b = np.flatnonzero(right) if right.any() else a
     near = manhattan(vectors[a][:, None], vectors[b]) <= distance
@@ -150,18 +167,27 @@ def _cell_edges(distance: int):
     return edges
 
 
+def deal_cells(rows: DataFrame, keys: list[Column], by: Column, cell: int) -> DataFrame:
+    """Rows of cells with their number of rows, n, plus ``_cell`` and ``_right``.
+
+    A cell with more than ``cell`` rows is dealt into chunks by a hash of ``by``, and each pair of chunks is a cell of its own.
+    """
+    chunks = F.ceil(F.col("n") / cell).cast("int")
+    own = F.pmod(F.xxhash64(by), chunks).cast("int")
+    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.withColumn("_cell", F.xxhash64(*keys, F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return dealt.withColumn("_right", F.col("_own") > F.col("_other"))
+
+
 def link(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
     """Edges u < v that connect what links of at most ``distance`` bits connect. fps: node, fp, each fingerprint once."""
     choices = masks(bands_for(fps.count()), distance)
     vector = embed(F.col("fp"))
     cells = fps.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), vector.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(choices)])).alias("c")).select("node", "fp", "c.*")
     full = cells.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / cell).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    shared = cells.join(full, ["choice", "key"]).select("node", "fp", "choice", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    rows = shared.select(F.xxhash64("choice", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "fp", (F.col("own") > F.col("other")).alias("right"))
+    rows = deal_cells(cells.join(full, ["choice", "key"]), [F.col("choice"), F.col("key")], F.col("fp"), cell).select(F.col("_cell").alias("cell"), "node", "fp", F.col("_right").alias("right"))
     found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_edges(distance), "u long, v long")
-    return found.distinct()
+    return cut(found.distinct())  # read more than once
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -190,19 +216,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
-    """One row per document row: id, fp (signed long), fingerprint (16 hex digits), component_id."""
-    known = cut(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
-    nodes = cut(known.groupBy("fp").agg(F.min("_id").alias("node")))
-    linked = components(link(nodes, distance, cell))
-    by_fp = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return known.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", hexed.alias("fingerprint"), "component_id")
+def row_of(id_col: str, text_col: str) -> Column:
+    """What orders rows in a group: whether the id is missing, the id, a hash of the text."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """node (the fingerprint), row of every document row, and node, component of the fingerprints that are linked."""
+    known = cut(docs.select(row_of(id_col, text_col).alias("row"), fingerprint(F.col(text_col)).alias("node")))
+    fps = known.groupBy("node").agg(F.first("node").alias("fp"))
+    return known, components(link(cut(fps), distance, cell))
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The documents whose id is the smallest of their component, all columns kept; of repeated rows one stays."""
-    found = near_duplicates(docs, id_col, text_col, distance)
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(first, docs[id_col] == first["_kept_id"], "left_semi").dropDuplicates([id_col])
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+    """One row per document row: id, fp (signed long), fingerprint (16 hex digits), component_id."""
+    known, linked = groups(docs, id_col, text_col, distance, cell)
+    least = known.groupBy("node").agg(F.min("row.id").alias("least")).join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = cut(least)
+    first = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    hexed = F.lpad(F.lower(F.hex("node")), 16, "0")
+    met = known.join(least.join(first, "component").select("node", "component_id"), "node")
+    return met.select(F.col("row.id").alias(id_col), F.col("node").alias("fp"), hexed.alias("fingerprint"), "component_id")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most BROADCAST_ROWS rows: else what it is joined with is shuffled once."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def keep_first(docs: DataFrame, known: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each group, all columns kept: that with the smallest id, a missing one counting as the largest, then with the smallest hash of its text; of repeated rows one."""
+    rows = known.groupBy("node", "row").agg(F.count("*").alias("times")).join(linked, "node", "left").select("row", "times", F.coalesce("component", "node").alias("component"))
+    rows = cut(rows)
+    first = rows.groupBy("component").agg(F.min("row").alias("first"))
+    marked = rows.join(first, "component").select("row.id", "row.mark", (F.col("row") == F.col("first")).alias("kept"), "times")
+    # Most rows are neither gone nor repeated, and are not moved for either.
+    odd = small(cut(marked.filter("NOT kept OR times > 1").select(F.col("id").alias("_odd_id"), F.col("mark").alias("_odd_mark"), "kept")))
+    same = docs[id_col].eqNullSafe(odd["_odd_id"]) & (F.xxhash64(docs[text_col]) == odd["_odd_mark"])
+    single = docs.join(odd, same, "left_anti")
+    repeated = docs.join(odd.filter(odd["kept"]), same, "left_semi")
+    return single.unionByName(repeated.withColumn("_mark_of_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_mark_of_text"]).drop("_mark_of_text"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+    """The first document of each component, see ``keep_first``."""
+    return keep_first(docs, *groups(docs, id_col, text_col, distance, cell), id_col, text_col)
