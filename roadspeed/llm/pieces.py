@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding, giant documents by a max-plus parallel scan.
 
 Documents of ordinary length go to the public library as they are. A giant document is split into chunks at fixed places.
-The state of a cut is how many characters the token that straddles it reaches into the next chunk. Each chunk yields its
-transfer matrix: for every state at its start and its end the best score of the tokens between (-inf: none). Matrices are
-combined associatively (max-plus product), first inside blocks of chunks, then over the blocks of a document; the states at
-all cuts follow, and each chunk is backtraced independently between its two states.
+The states of a cut are the tokens that may stand there. Each chunk yields its transfer matrix: for every state at its start
+and its end the best score of the tokens between (-inf: none). Matrices are combined associatively (max-plus product), first
+inside blocks of chunks, then over the blocks of a document; the states at all cuts follow, and each chunk is backtraced
+independently between its two states.
 
-What tokens may stand in a chunk depends on the model. For a unigram model all pieces of the vocabulary compete with their
-scores. Byte-pair merges are not a shortest path over scores: their tokens are fixed inside each stretch between two places
-that no piece of the vocabulary can cross (before a blank after a non-blank), so the tokens of the merges are the only ones
-with a finite score there, and the scan joins the chunks without regard to where they were cut.
+All pieces of the vocabulary compete. In a unigram model they have their scores, and a state is how many characters the token
+that straddles a cut reaches into the next chunk. Byte-pair merges leave no two tokens side by side that they would have
+merged otherwise, and any tokens of which each neighbouring pair is left as it is are the result of the merges. So each pair
+of neighbours has a score of 0 or -inf, and a state is a token that covers the character before the cut. No piece holds some
+pairs of characters; no token crosses there, so the paths between two such places do not depend on what is around them.
 
 Defined cases: a null or empty text has no tokens and decodes to ""; repeated rows have equal tokens; U+2581 in a text
 decodes to a blank, as in the library. Models need byte fallback. Other columns are left out but for those named in ``keep``.
@@ -17,7 +18,6 @@ decodes to a blank, as in the library. Models need byte fallback. Other columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,9 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a document is giant, those of one chunk, and chunks of one block.
 GIANT, CHUNK, BLOCK = 50_000, 16_384, 64
 SPACE = "▁"
-_SAFE = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 #: Fixed value: what the public library takes off the lowest score for a character without a piece.
 _UNKNOWN_PENALTY = 10.0
+#: Pairs of tokens and short stretches that a worker remembers.
+_KEPT = 1_000_000
 
 Edge = tuple[int, int, tuple[int, ...], float]
 
@@ -90,40 +91,12 @@ class Pieces:
         self.scores = {p: sp.get_score(i) for p, i in plain}
         self.reach = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
-        self.prefix = sp.normalize("a").startswith(SPACE)
-        self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-
-    def cuts(self, text: str) -> list[int]:
-        """Places that no piece crosses, both ends of the text among them."""
-        return [0, *([] if self.crossing else (m.start() for m in _SAFE.finditer(text))), len(text)]
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.left_alone: dict[tuple[str, str], bool] = {}
+        self.stretches: dict[str, tuple[int, ...]] = {}
 
     def edges(self, text: str, lead: int, n: int) -> Iterator[Edge]:
-        """Tokens that start in the n characters behind ``lead``: start, end (from ``lead`` on), ids, score; in order of start."""
-        return self._merged(text, lead, n) if self.merges else self._all(text, lead, n)
-
-    def _merged(self, text: str, lead: int, n: int) -> Iterator[Edge]:
-        marks = self.cuts(text)
-        stretches = [text[a:b] for a, b in zip(marks, marks[1:], strict=False) if a < b]
-        sources = [(s[1:] if self.prefix else s).replace(SPACE, " ") for s in stretches]
-        at = -lead
-        for stretch, source, ids in zip(stretches, sources, self.sp.encode(sources, num_threads=1), strict=True):
-            if not source:  # the library gives nothing for an empty text, yet here is a blank
-                ids = [self.ids[stretch]]
-            elif self.prefix and not stretch.startswith(SPACE):
-                raise ValueError("a stretch must start with a blank")
-            i = 0
-            while i < len(ids):
-                k = 1
-                if (lead_byte := self.bytes.get(ids[i])) is not None:
-                    k = 1 if lead_byte < 0xC0 else 2 if lead_byte < 0xE0 else 3 if lead_byte < 0xF0 else 4
-                    size = 1
-                else:
-                    size = len(self.sp.id_to_piece(ids[i]))
-                if 0 <= at < n:
-                    yield at, at + size, tuple(ids[i : i + k]), 0.0
-                at, i = at + size, i + k
-
-    def _all(self, text: str, lead: int, n: int) -> Iterator[Edge]:
+        """Tokens of a unigram model that start in the n characters behind ``lead``: start, end (from ``lead`` on), ids, score; in order of start."""
         for i in range(n):
             single = False
             for size in range(1, min(self.reach, len(text) - lead - i) + 1):
@@ -135,19 +108,142 @@ class Pieces:
                 yield i, i + 1, tuple(self.byte_ids[b] for b in text[lead + i].encode()), self.unknown
 
     def chunks(self, text: str, size: int) -> Iterator[tuple[int, int, int, str]]:
-        """Number, lead, length and text (with what is around it as far as its tokens reach) of each chunk of a normalised text."""
-        count = max(1, len(text) // max(size, self.reach))
-        marks = np.array(self.cuts(text)) if self.merges else None
+        """Number, lead, length and text (with what is around it as far as a token may reach) of each chunk of a normalised text."""
+        count = max(1, len(text) // max(size, self.reach + 1))
         for k in range(count):
             a, b = len(text) * k // count, len(text) * (k + 1) // count
-            if marks is None:
-                left, right = a, min(len(text), b + self.reach)
-            else:
-                left, right = int(marks[np.searchsorted(marks, a, "right") - 1]), int(marks[np.searchsorted(marks, b, "left")])
-            yield k, a - left, b - a, text[left:right]
+            left = max(0, a - self.reach)
+            yield k, a - left, b - a, text[left : b + self.reach]
+
+    def merged(self, text: str) -> list[str]:
+        """The tokens that the merges leave of a short text: the best piece first, the leftmost of equal ones."""
+        parts = list(text)
+        while True:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def alone(self, before: str, piece: str) -> bool:
+        """Whether the merges leave two neighbours, or with nothing before a piece, as they are."""
+        key = (before, piece)
+        known = self.left_alone.get(key)
+        if known is None:
+            if len(self.left_alone) > _KEPT:
+                self.left_alone.clear()
+            known = self.left_alone[key] = self.merged(before + piece) == [x for x in key if x]
+        return known
+
+    def safe(self, text: str, at: int) -> bool:
+        """Whether no token can cross a place."""
+        return not 0 < at < len(text) or text[at - 1 : at + 1] not in self.pairs
+
+    def cover(self, text: str, at: int) -> list[tuple[int, str]]:
+        """The states of a cut: end and piece of the tokens that hold the character before it; one without a piece where none can cross."""
+        if self.safe(text, at):
+            return [(at, "")]
+        out = []
+        for a in range(max(0, at - self.reach), at):
+            for e in range(at, min(len(text), a + self.reach) + 1):
+                if (piece := text[a:e]) in self.ids and self.alone("", piece) or e - a == 1:
+                    out.append((e, piece))
+        return out
+
+    def flow(self, text: str, sources: list[tuple[int, str, int]], end: int) -> dict[int, dict[str, tuple[int, str]]]:
+        """By place, then by the token that ends there: the sources (bits) that reach it, and a token before it. Sources: place, token before it, bit."""
+        seen: dict[int, dict[str, tuple[int, str]]] = {}
+        for at, piece, bit in sources:
+            held = seen.setdefault(at, {})
+            held[piece] = (held.get(piece, (0, ""))[0] | bit, "")
+        for at in range(min(seen), end):
+            if not (here := seen.get(at)):
+                continue
+            for size in range(1, min(self.reach, end - at) + 1):
+                piece = text[at : at + size]
+                if size > 1 and (piece not in self.ids or not self.alone("", piece)):
+                    continue
+                for before, (bits, _) in here.items():
+                    if not before or self.alone(before, piece):
+                        ahead = seen.setdefault(at + size, {})
+                        known = ahead.get(piece)
+                        ahead[piece] = (bits | known[0], known[1]) if known else (bits, before)
+        return seen
+
+    def path(self, text: str, at: int, before: str, end: int, last: str = "") -> list[str]:
+        """Tokens from a place to another one, behind ``before``; the last one is given, or any."""
+        if at == end:
+            return []
+        seen = self.flow(text, [(at, before, 1)], end)
+        piece, out = last or next(iter(seen[end])), []
+        while end > at:
+            out.append(piece)
+            end, piece = end - len(piece), seen[end][piece][1]
+        return out[::-1]
+
+    def number(self, piece: str) -> tuple[int, ...]:
+        known = self.ids.get(piece)
+        return (known,) if known is not None else tuple(self.byte_ids[b] for b in piece.encode())
+
+    def stretch(self, text: str) -> tuple[int, ...]:
+        """Ids of a text that no token crosses at its ends nor can be cut inside."""
+        known = self.stretches.get(text)
+        if known is None:
+            known = tuple(chain.from_iterable(map(self.number, self.path(text, 0, "", len(text)))))
+            if len(text) < 64:
+                if len(self.stretches) > _KEPT:
+                    self.stretches.clear()
+                self.stretches[text] = known
+        return known
+
+    def _inside(self, text: str, a: int, b: int) -> tuple[int, int] | None:
+        """The first and the last place between a and b that no token can cross."""
+        first = next((i for i in range(a, b + 1) if self.safe(text, i)), None)
+        return None if first is None else (first, next(i for i in range(b, first - 1, -1) if self.safe(text, i)))
+
+    def merge_transfer(self, text: str, lead: int, n: int) -> np.ndarray:
+        """``transfer`` for merges: 0 where tokens lead from a state to another, else -inf."""
+        left, right = self.cover(text, lead), self.cover(text, lead + n)
+        sources = [(e, piece, 1 << i) for i, (e, piece) in enumerate(left)]
+        out = np.full((len(left), len(right)), -np.inf)
+        if safe := self._inside(text, lead, lead + n):
+            into = self.flow(text, sources, safe[0]).get(safe[0], {})
+            reached = np.array([any(bits >> i & 1 for bits, _ in into.values()) for i in range(len(left))])
+            ahead = self.flow(text, [(safe[1], "", 1)], max(e for e, _ in right))
+            ends = np.array([piece in ahead.get(e, {}) or not piece for e, piece in right])
+            out[np.ix_(reached, ends)] = 0
+        else:
+            ahead = self.flow(text, sources, max(e for e, _ in right))
+            for j, (e, piece) in enumerate(right):
+                bits = ahead.get(e, {}).get(piece, (0, ""))[0]
+                out[[i for i in range(len(left)) if bits >> i & 1], j] = 0
+        return out
+
+    def merge_trace(self, text: str, lead: int, n: int, start: int, end: int) -> list[int]:
+        """``trace`` for merges: the tokens behind the one of the first state, with that of the second."""
+        at, before = self.cover(text, lead)[start]
+        to, last = self.cover(text, lead + n)[end]
+        out: list[int] = []
+        safe = self._inside(text, at, to - len(last))
+        first, final = safe or (to, to)
+        for piece in self.path(text, at, before, first, "" if safe else last):
+            out += self.number(piece)
+        if safe:
+            while first < final:
+                after = next(i for i in range(first + 1, final + 1) if self.safe(text, i))
+                out += self.stretch(text[first:after])
+                first = after
+            for piece in self.path(text, final, "", to, last):
+                out += self.number(piece)
+        return out
 
     def transfer(self, text: str, lead: int, n: int) -> np.ndarray:
         """Best score from each state at the start to each state at the end of a chunk."""
+        if self.merges:
+            return self.merge_transfer(text, lead, n)
         best = np.full((n + self.reach, self.reach), -np.inf)
         best[np.arange(self.reach), np.arange(self.reach)] = 0
         for s, e, _, score in self.edges(text, lead, n):
@@ -156,6 +252,8 @@ class Pieces:
 
     def trace(self, text: str, lead: int, n: int, start: int, end: int) -> list[int]:
         """Ids of the best path between two states."""
+        if self.merges:
+            return self.merge_trace(text, lead, n, start, end)
         best, back = [-np.inf] * (n + self.reach), [None] * (n + self.reach)
         best[start] = 0.0
         for edge in self.edges(text, lead, n):
@@ -195,27 +293,30 @@ def states(matrices: list[np.ndarray], start: int, end: int) -> list[tuple[int,
     return out[::-1]
 
 
-def _matrix(values: np.ndarray) -> np.ndarray:
-    side = round(len(values) ** 0.5)
-    return np.asarray(values, float).reshape(side, side)
+def _matrix(values: np.ndarray, rows: int) -> np.ndarray:
+    return np.asarray(values, float).reshape(rows, -1)
+
+
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [_matrix(m, k) for m, k in zip(pdf["matrix"], pdf["rows"], strict=True)]
 
 
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
-    first, *rest = (_matrix(m) for m in pdf.sort_values("chunk")["matrix"])
+    first, *rest = _matrices(pdf.sort_values("chunk"))
     for m in rest:
         first = combine(first, m)
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "block": [pdf["block"].iloc[0]], "matrix": [first.ravel()]})
+    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "block": [pdf["block"].iloc[0]], "rows": [len(first)], "matrix": [first.ravel()]})
 
 
 def _block_states(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("block")
-    found = states([_matrix(m) for m in pdf["matrix"]], 0, 0)
+    found = states(_matrices(pdf), 0, 0)
     return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "start": [s for s, _ in found], "end": [e for _, e in found]})
 
 
 def _chunk_states(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("chunk")
-    found = states([_matrix(m) for m in pdf["matrix"]], int(pdf["start"].iloc[0]), int(pdf["end"].iloc[0]))
+    found = states(_matrices(pdf), int(pdf["start"].iloc[0]), int(pdf["end"].iloc[0]))
     return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "s": [s for s, _ in found], "e": [e for _, e in found]})
 
 
@@ -227,13 +328,14 @@ def scan(giants: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, lead, n, part in p.chunks(p.sp.normalize(text.as_py()), chunk):
-                    matrix = p.transfer(part, lead, n).ravel()
-                    yield pa.RecordBatch.from_pylist([{"key": key, "chunk": k, "block": k // BLOCK, "lead": lead, "n": n, "part": part, "matrix": matrix.tolist()}], schema=arrow)
-
-    arrow = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("block", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()), ("part", pa.string()), ("matrix", pa.list_(pa.float64()))])
-    parts = cut(giants.select("key", "text").mapInArrow(split, "key string, chunk long, block long, lead long, n long, part string, matrix array<double>"))
-    light = parts.select("key", "block", "chunk", "matrix")
-    blocks = light.groupBy("key", "block").applyInPandas(_product, "key string, block long, matrix array<double>")
+                    matrix = p.transfer(part, lead, n)
+                    row = {"key": key, "chunk": k, "block": k // BLOCK, "lead": lead, "n": n, "part": part, "rows": len(matrix), "matrix": matrix.ravel().tolist()}
+                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    arrow = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("block", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()), ("part", pa.string()), ("rows", pa.int64()), ("matrix", pa.list_(pa.float64()))])
+    parts = cut(giants.select("key", "text").mapInArrow(split, "key string, chunk long, block long, lead long, n long, part string, rows long, matrix array<double>"))
+    light = parts.select("key", "block", "chunk", "rows", "matrix")
+    blocks = light.groupBy("key", "block").applyInPandas(_product, "key string, block long, rows long, matrix array<double>")
     ends = blocks.groupBy("key").applyInPandas(_block_states, "key string, block long, start long, end long")
     at = light.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(_chunk_states, "key string, chunk long, s long, e long")
 

@@ -98,3 +98,52 @@ def test_encode(spark):
         assert r.round_trip
         assert (r.n_chunks > 1) == (len(t) > 5_000)
     assert pieces.encode(df.filter("false")).count() == 0
+
+
+def mixed(seed, n, letters):
+    r = random.Random(seed)
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("letters", ["ab", "aA▁ ", "the inrs", "日本語学校のはをにが東京都", "0123456789abcdef", "ёжик <0x41>", "ééa😀"])
+def test_merges_without_blanks_to_cut_at(letters):
+    """Any place may be a cut: the states hold the tokens that may stand there, and one path is left over."""
+    p = pieces.Pieces(PROTO)
+    for seed in range(12):
+        text = mixed(seed, 240, letters)
+        ids, best = run_scan(p, text, 17)
+        assert ids == p.sp.encode(text)
+        assert best == 0
+    p.left_alone.clear()
+
+
+def test_matrices_hold_alternatives():
+    """At a cut inside a word many tokens may stand; the scan rules all but one path out."""
+    p = pieces.Pieces(PROTO)
+    text = p.sp.normalize("internationalisation of governmental representatives " * 3)
+    parts = list(p.chunks(text, 24))
+    matrices = [p.transfer(t, lead, n) for _, lead, n, t in parts]
+    assert max(max(m.shape) for m in matrices) > 3
+    assert sum(int((m == 0).sum()) for m in matrices) > len(matrices)
+
+
+def test_bytes_carried_by_a_long_text_without_blanks():
+    p = pieces.Pieces(PROTO)
+    text = mixed(1, 120_001, "日本語学校のはをにが東京都駅前で食べ物")
+    normal = p.sp.normalize(text)
+    parts = list(p.chunks(normal, pieces.CHUNK))
+    assert len(parts) == 7
+    assert sum(len(t) for _, _, _, t in parts) <= 1.1 * len(normal)
+    assert run_scan(p, text, pieces.CHUNK)[0] == p.sp.encode(text)
+
+
+def test_query_takes_the_scan_for_all_but_short_documents(spark):
+    """Every document above a small limit goes through the scan, whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=PROTO)
+    rows = pieces.encode(docs, giant=600, chunk=250, keep=("text",), check=True).collect()
+    assert len(rows) == docs.count()
+    assert sum(r.n_chunks > 1 for r in rows) == sum(len(r.text or "") > 600 for r in rows) > 100
+    for r in rows:
+        assert list(r.ids) == sp.encode(r.text or "")
+        assert r.round_trip
