@@ -15,6 +15,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,9 +112,12 @@ _ENTITY = re.compile(r"&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);", re.I
 # Bracketed signs stand as runs of \x01 (at) and \x02 (dot) here, so that offsets stay and forms can mix in one address.
 _AT, _HIDDEN_DOT = r"[ \t]++(?:at|arroba|arobase)[ \t]++", r"(?:[ \t]++(?:dot|punkt|point|punto)[ \t]++|\x02++)"
 _MORE = rf"(?:(?:\.|{_HIDDEN_DOT})[A-Za-z0-9-]++)"
-_ADDRESS = re.compile(  # a bare "at" counts only with a hidden dot behind it, else every "look at x.y" would be an address
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{_HIDDEN_DOT})[A-Za-z0-9_%+-]++)*?"
-    rf"(?:{_AT}[A-Za-z0-9-]++{_MORE}*?{_HIDDEN_DOT}[A-Za-z0-9-]++{_MORE}*|\x01++[A-Za-z0-9-]++{_MORE}+)", re.I,
+# An address is found from its sign: the domain behind it, the local part before it in the reversed text, so each stretch is read once.
+_SIGN_AND_DOMAIN = re.compile(  # a bare "at" counts only with a hidden dot behind it, else every "look at x.y" would be an address
+    rf"(?<![ \t]){_AT}[A-Za-z0-9-]++{_MORE}*?{_HIDDEN_DOT}[A-Za-z0-9-]++{_MORE}*|(?<!\x01)\x01++[A-Za-z0-9-]++{_MORE}+", re.I,
+)
+_LOCAL_REVERSED = re.compile(
+    r"[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]++(?:tod|tknup|tniop|otnup)[ \t]++|\x02++)[A-Za-z0-9_%+-]++)*(?![A-Za-z0-9._%+-])", re.I,
 )
 _LAST = re.compile("[a-z0-9-]+$")
 # Endings that make "x at y dot z" an address rather than prose: general ones, and those of countries that are
@@ -126,8 +130,11 @@ TOP_DOMAINS = frozenset(
     "om pa pe pf pg ph pk pm pn pr ps pt pw py qa ro rs rw sb sc sd sg sh sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz "
     "ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw").split()
 )
+#: Endings that are common words too: without a bracketed sign they count only if no further word follows on the line.
+_WORD_ENDINGS = frozenset("in me us it at be de es no is as so to am my".split())
+_NEXT_WORD = re.compile(r"[ \t]+\w")
 _BARE_DOT = re.compile(rf"@[A-Za-z0-9.-]++(?:{_HIDDEN_DOT}[A-Za-z0-9-]++)+", re.I)
-_BARE_SIGN = re.compile(r"[ \t]++(" + "|".join(_SIGNS) + r")[ \t]++", re.I)
+_BARE_SIGN = re.compile(r"(?<![ \t])[ \t]++(" + "|".join(_SIGNS) + r")[ \t]++", re.I)
 _NUMBER_WORD = "(?:" + "|".join(sorted({*_DIGITS}, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]++)?(?:{_NUMBER_WORD}|[0-9]++)(?:(?:[ \t,.()-]{{1,3}}|[ \t]++(?:dot|punkt|point|punto|dash|hyphen)[ \t]++)(?:{_NUMBER_WORD}|[0-9]++)(?!\w))+", re.I)
 _PIECE = re.compile(rf"{_NUMBER_WORD}(?!\w)|plus|dot|punkt|point|punto|dash|hyphen|[ \t]+|[^ \t]", re.I)
@@ -136,6 +143,16 @@ _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _HAS_BARE = re.compile(r"[ \t](?:dot|punkt|point|punto)[ \t]", re.I)
 
 
+def _addresses(view: str) -> Iterator[tuple[int, int]]:
+    """Spans of disguised addresses, leftmost first, without overlap."""
+    back, n, end = None, len(view), 0
+    for m in _SIGN_AND_DOMAIN.finditer(view):
+        back = view[::-1] if back is None else back
+        if m.start() >= end and (local := _LOCAL_REVERSED.match(back, n - m.start(), n - end)):
+            yield n - local.end(), m.end()
+            end = m.end()
+
+
 def _rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
     """Source spans with what stands for them in the normalised text; they may overlap."""
     out = [(m.start(), m.end(), _SIGNS.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(text)] if any(b in text for b in "[({<") else []
@@ -150,11 +167,13 @@ def _rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
                 end = e
         view = "".join([*parts, text[end:]])
     if bare or view is not text:
-        for area in (*_ADDRESS.finditer(view), *_BARE_DOT.finditer(view)):
-            found, last = area[0], _LAST.search(area[0].lower())[0]
+        for start, end in (*_addresses(view), *(m.span() for m in _BARE_DOT.finditer(view))):
+            found = view[start:end]
+            last = _LAST.search(found.lower())[0]
             known = "\x01" in found or "\x02" in found or "@" in found and "." not in found
-            if last in TOP_DOMAINS or known and last.isalpha() and len(last) > 1:
-                out += [(m.start(), m.end(), _SIGNS[m[1].lower()]) for m in _BARE_SIGN.finditer(view, *area.span())]
+            listed = last in TOP_DOMAINS and ("@" in found or last not in _WORD_ENDINGS or not _NEXT_WORD.match(view, end))
+            if listed or known and last.isalpha() and len(last) > 1:
+                out += [(m.start(), m.end(), _SIGNS[m[1].lower()]) for m in _BARE_SIGN.finditer(view, start, end)]
     if not _SPELLED_BYTES.isdisjoint(low.encode().translate(_APART).split()):
         for area in _SPELLED.finditer(text):
             names = signs = 0
@@ -229,10 +248,15 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if (normal := normalise(text)) is None:
         return []
     out: list[Span] = []
+    starts = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}
+    ends = {kind: list(accumulate((e for k, _, e in base if k == kind), max)) for kind in KINDS}
+    furthest = dict.fromkeys(KINDS, -1)  # spans come in order of start
     for kind, s, e in detect_spans(normal[0]):
         a, b = _source(normal, s, e)
-        if not any(k == kind and x <= a and b <= y for k, x, y in (*base, *out)):
+        before = bisect_right(starts[kind], a)
+        if furthest[kind] < b and not (before and ends[kind][before - 1] >= b):
             out.append((kind, a, b))
+            furthest[kind] = b
     return out
 
 
