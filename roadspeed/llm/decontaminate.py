@@ -7,8 +7,9 @@ skipped because no pattern can end there; where it says 0, the patterns in the b
 The benchmark is a stated query set: the driver takes it in blocks of at most ``max_patterns`` patterns, one broadcast
 each, and every block is searched in all documents. Documents are never shuffled.
 
-Defined cases: a null or empty document has no words and no hit; a null or wordless item, or one without an id, has no
-pattern; an item repeated under one id counts once; repeated document rows are judged one by one. Other columns are left out.
+Defined cases: a null or empty document has no words and no hit; a null or wordless item has no pattern; the words of an
+item without an id are hits, but it cannot be listed and is not counted; an item repeated under one id counts once; repeated
+document rows are judged one by one. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -101,9 +102,9 @@ class Searcher:
 def pattern_blocks(benchmark: DataFrame, window: int, max_patterns: int, id_col: str, text_col: str) -> Iterator[dict[Pattern, list[str]]]:
     """Patterns with their items, in blocks; one item may be in two blocks."""
     block: dict[Pattern, set[str]] = defaultdict(set)
-    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).filter(F.col(id_col).isNotNull()).toLocalIterator():
+    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         for p in patterns_of(text, window):
-            block[p].add(item)
+            block[p].update(() if item is None else (item,))
             if len(block) >= max_patterns:
                 yield {k: sorted(v) for k, v in block.items()}
                 block.clear()

@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
         ), b AS (
             SELECT item_id::varchar AS item_id,
                    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+            FROM benchmark WHERE text IS NOT NULL
         ), bw AS (
             SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM b WHERE len(words) > 0
         ), p AS (
@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
         ), hit AS (
             SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT rid, i, m FROM o)) GROUP BY rid
         ), items AS (
-            SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT rid, item_id FROM o) GROUP BY rid
+            SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT rid, item_id FROM o WHERE item_id IS NOT NULL) GROUP BY rid
         )
         SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
