@@ -1,59 +1,139 @@
-"""Recurrences without a Spark built-in: exponential means and the Kalman smoother, as small vectorised helpers by sensor."""
+"""Recurrences without a Spark built-in: exponential means and the Kalman smoother.
+
+Rows are hashed by sensor and sorted by (sensor, date); a Python worker reads them in Arrow batches and carries only the
+state of the sensor that it is in from one batch to the next. So a sensor may be as long as it likes: no task holds one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.base import COLS, Cols
 
+#: Rows after which the variances of a random-walk filter are taken as steady; they settle within some fifty rows.
+STEADY = 256
+#: Longest gap whose rows are told apart; the old weight is nothing by then.
+_GAP = 4096
+
+
+def _sorted_pass(df: DataFrame, run: Callable[[pd.DataFrame, object], object], names: list[str], drop: tuple[str, ...] = (), backward: bool = False, hashed: bool = False, cols: Cols = COLS) -> DataFrame:
+    """``run`` gets the consecutive rows of one sensor in a batch, in which it sets the columns ``names``, and its state (None at first); it returns the next state.
+
+    ``hashed``: the rows of a sensor are in one partition already.
+    """
+    order = [F.col(cols.sensor), F.desc(cols.date) if backward else F.asc(cols.date)]
+    rows = (df if hashed else df.repartition(cols.sensor)).sortWithinPartitions(*order)
+    schema = T.StructType([f for f in df.schema if f.name not in (*names, *drop)] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sensor, state = None, None
+        for pdf in batches:
+            keys = pdf[cols.sensor].fillna("\x00").to_numpy(object)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            parts = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if keys[a] != sensor:
+                    sensor, state = keys[a], None
+                part = pdf.iloc[a:b].copy()
+                state = run(part, state)
+                parts.append(part)
+            yield pd.concat(parts)[schema.names] if parts else pdf.reindex(columns=schema.names)
+
+    return rows.mapInPandas(each, schema)
 
-def _added(df: DataFrame, *names: str) -> T.StructType:
-    return T.StructType([f for f in df.schema if f.name not in names] + [T.StructField(n, T.DoubleType()) for n in names])
+
+def _ewm(x: np.ndarray, alpha: float, state: tuple[float, int] | None) -> tuple[np.ndarray, tuple[float, int] | None]:
+    """Exponential means of more values, from the mean so far and the number of missing values behind it."""
+    head = [] if state is None else [state[0], *[np.nan] * min(state[1], _GAP)]
+    whole = np.concatenate([head, x])
+    y = pd.Series(whole).ewm(alpha=alpha, adjust=False, ignore_na=False).mean().to_numpy()
+    known = np.flatnonzero(~np.isnan(whole))
+    after = None if not len(known) else (float(y[-1]), len(whole) - 1 - int(known[-1]) + (state[1] - min(state[1], _GAP) if state and known[-1] == 0 else 0))
+    return y[len(head) :], after
 
 
 def ewma(df: DataFrame, name: str, alpha: float, cols: Cols = COLS, value: str | None = None) -> DataFrame:
     """Exponential mean y = (1 - a) y' + a x of each sensor; a gap keeps y and lets the old weight decay."""
+    return ewmas(df, {name: alpha}, cols, value)
+
+
+def ewmas(df: DataFrame, means: dict[str, float], cols: Cols = COLS, value: str | None = None) -> DataFrame:
+    """Exponential means in one pass: a column for each name, with its factor a."""
     source = value or cols.value
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cols.date, kind="stable")
-        return pdf.assign(**{name: pdf[source].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=False).mean()})
+    def run(part: pd.DataFrame, state: dict | None) -> dict:
+        x, after = part[source].to_numpy(float, na_value=np.nan), {}
+        for name, alpha in means.items():
+            part[name], after[name] = _ewm(x, alpha, (state or {}).get(name))
+        return after
 
-    return df.groupBy(cols.sensor).applyInPandas(run, _added(df, name))
+    return _sorted_pass(df, run, list(means), cols=cols)
 
 
-def _smooth(y: np.ndarray, mean: float, var: float, q: float) -> np.ndarray:
-    """Random-walk Kalman filter, then the Rauch-Tung-Striebel smoother. The first state has the prior (mean, var)."""
-    n = len(y)
-    state, cov, ahead = np.empty(n), np.empty(n), np.empty(n)
-    m, p = mean, var
-    for i in range(n):
-        if i:
-            p += q
-        ahead[i] = p
-        gain = p / (p + var) if p + var else 0.0
+def _forward(y: np.ndarray, mean: float, var: float, q: float, state: tuple[int, float, float] | None) -> tuple[np.ndarray, np.ndarray, tuple[int, float, float]]:
+    """Random-walk filter: means, the gains by which the smoother will go back from the next row, and rows seen, mean, variance so far."""
+    n, m, p = state or (0, mean, var)
+    out, back = np.empty(len(y)), np.empty(len(y))
+    for i in range(len(y)):
+        if n >= STEADY and var:
+            # From here the gain is a constant, and the filter an exponential mean.
+            gain = (p + q) / (p + q + var)
+            out[i:] = pd.Series(np.concatenate([[m], y[i:]])).ewm(alpha=gain, adjust=False).mean().to_numpy()[1:]
+            back[i:] = p / (p + q) if p + q else 0.0
+            return out, back, (n + len(y) - i, float(out[-1]), p)
+        ahead = p + q if n else p
+        gain = ahead / (ahead + var) if ahead + var else 0.0
         m += gain * (y[i] - m)
-        p *= 1 - gain
-        state[i], cov[i] = m, p
-    for i in range(n - 2, -1, -1):
-        c = cov[i] / ahead[i + 1] if ahead[i + 1] else 0.0
-        state[i] += c * (state[i + 1] - state[i])
-    return state
+        p = ahead * (1 - gain)
+        out[i], back[i] = m, p / (p + q) if p + q else 0.0
+        n += 1
+    return out, back, (n, m, p)
+
+
+def _backward(m: np.ndarray, back: np.ndarray, after: float | None) -> np.ndarray:
+    """Rauch-Tung-Striebel smoother over rows from the last to the first: s = m + back (s' - m)."""
+    out, s, i = np.empty(len(m)), after, 0
+    while i < len(m):
+        same = np.flatnonzero(back[i:] != back[i])
+        to = i + int(same[0]) if len(same) else len(m)
+        if s is not None and to - i > 1 and back[i]:
+            out[i:to] = pd.Series(np.concatenate([[s], m[i:to]])).ewm(alpha=1 - back[i], adjust=False).mean().to_numpy()[1:]
+        elif s is None:
+            to = i + 1
+            out[i] = m[i]
+        else:
+            out[i:to] = [s := m[k] + back[k] * (s - m[k]) for k in range(i, to)]
+        s, i = out[to - 1], to
+    return out
 
 
 def kalman(df: DataFrame, stats: DataFrame, name: str, q: float = 1.0, cols: Cols = COLS, value: str | None = None) -> DataFrame:
-    """Random-walk smoother of each sensor; observation noise and first variance are the train variance. ``stats``: sensor, mean, var."""
+    """Random-walk smoother of each sensor; observation noise and first variance are the train variance. ``stats``: sensor, mean, var.
+
+    A missing value is the one before it, at the start the first one that there is.
+    """
     source = value or cols.value
+    known = stats.select(F.col(cols.sensor).alias("_s"), F.col("mean").alias("_mean"), F.col("var").alias("_var"))
+    firsts = df.filter(F.col(source).isNotNull()).groupBy(F.col(cols.sensor).alias("_f")).agg(F.min_by(source, cols.date).alias("_first"))
+    filled = F.coalesce(F.last(source, ignorenulls=True).over(Window.partitionBy(cols.sensor).orderBy(cols.date)), F.col("_first"))
+    met = df.join(known, df[cols.sensor] == F.col("_s")).drop("_s").join(firsts, df[cols.sensor] == F.col("_f"), "left").drop("_f").withColumn("_y", filled).drop("_first")
+
+    def filter_rows(part: pd.DataFrame, state: tuple | None) -> tuple:
+        y = part["_y"].to_numpy(float, na_value=np.nan)
+        part["_m"], part["_back"], state = _forward(y, float(part["_mean"].iloc[0]), float(part["_var"].iloc[0]), q, state)
+        return state
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cols.date, kind="stable")
-        y = pdf[source].astype(float).ffill().bfill()
-        mean, var = float(pdf["_mean"].iloc[0]), float(pdf["_var"].iloc[0])
-        return pdf.drop(columns=["_mean", "_var"]).assign(**{name: _smooth(y.to_numpy(), mean, var, q)})
+    def smooth_rows(part: pd.DataFrame, state: float | None) -> float:
+        part[name] = _backward(part["_m"].to_numpy(), part["_back"].to_numpy(), state)
+        return float(part[name].iloc[-1])
 
-    known = stats.select(cols.sensor, F.col("mean").alias("_mean"), F.col("var").alias("_var"))
-    return df.join(known, cols.sensor).groupBy(cols.sensor).applyInPandas(run, _added(df, name))
+    filtered = _sorted_pass(met, filter_rows, ["_m", "_back"], ("_mean", "_var", "_y"), cols=cols)
+    return _sorted_pass(filtered, smooth_rows, [name], ("_m", "_back"), backward=True, hashed=True, cols=cols)

@@ -37,16 +37,6 @@ def minutes(n: int | Column) -> Column:
     return F.make_dt_interval(mins=F.lit(n) if isinstance(n, int) else n)
 
 
-def clean_null(c: Column) -> Column:
-    """NaN as null."""
-    return F.when(~F.isnan(c), c)
-
-
-def by_sensor(df: DataFrame, cols: Cols = COLS) -> DataFrame:
-    """Hash the rows by sensor once; windows and sensor-first joins behind it reuse the exchange."""
-    return df.repartition(cols.sensor)
-
-
 def require(df: DataFrame, *names: str) -> DataFrame:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import ewma
+from ..functions.kernels import ewma, ewmas
 from .base import COLS, Cols, minutes
 
 
@@ -202,7 +202,7 @@ def short_term_dynamics(df: DataFrame, w: int = 3, z_windows: tuple[int, ...] =
     out = out.withColumn("jerk", F.try_divide(F.col("acceleration") - F.lag("acceleration", w).over(s), span))
     z = {f"short_z_{k}": _against(cols.value, cols.trailing(k), k)[f"z_{k}"] for k in z_windows}
     out = out.withColumns(z | {"dist_to_roll_min": F.col(cols.value) - F.min(cols.value).over(cols.trailing(w))})
-    out = ewma(ewma(out, "_fast", 2 / (fast + 1), cols), "_slow", 2 / (slow + 1), cols)
+    out = ewmas(out, {"_fast": 2 / (fast + 1), "_slow": 2 / (slow + 1)}, cols)
     drop = F.least(*[F.col(k) for k in z]) < z_drop
     return out.withColumns({"ema_spread": F.col("_fast") - F.col("_slow"), "drop_warning": F.coalesce(drop, F.lit(False)).cast("int")}).drop("_fast", "_slow", "_ms", "step_s")
 

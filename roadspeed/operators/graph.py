@@ -185,7 +185,3 @@ def prediction_parity(a: DataFrame, b: DataFrame, column: str = "y_pred_total",
     side = b.select(cols.sensor, "prediction_time", F.col(column).alias("_b"))
     gap = F.abs(F.col(column) - F.col("_b"))
     return a.join(side, [cols.sensor, "prediction_time"]).agg(F.count("*").alias("n_common"), F.avg(gap).alias("mean_abs_diff"), F.max(gap).alias("max_abs_diff"))
-
-
-def last_of(w: Window) -> Window:
-    return w.rowsBetween(Window.unboundedPreceding, 0)

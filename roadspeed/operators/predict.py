@@ -86,12 +86,6 @@ def to_wide(df: DataFrame, sensors: list[str], cols: Cols = COLS) -> DataFrame:
     return wide.join(flags, cols.date).select(cols.date, *sensors, cols.test)
 
 
-def to_arrays(df: DataFrame, cols: Cols = COLS) -> DataFrame:
-    """date, values: one array by date in order of sensor, for more sensors than columns can be."""
-    pairs = F.array_sort(F.collect_list(F.struct(cols.sensor, cols.value)))
-    return df.groupBy(cols.date).agg(F.transform(pairs, lambda x: x[cols.value]).alias("values"))
-
-
 def sanitize_wide(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """The datetime column, numeric columns and a boolean test_set."""
     times = [c for c, t in df.dtypes if t.startswith("timestamp") or t == "date"]
@@ -112,10 +106,16 @@ def melt_external_predictions(wide: DataFrame, sensors: list[str], name: str = "
     return long.select("_p.*", f"{name}_date", "gman_target_date")
 
 
-def predictions_to_wide(df: DataFrame, sensors: list[str], mean: bool = False, cols: Cols = COLS) -> DataFrame:
-    """date, prediction_time and s, s_pred, s_at_issued_time for each sensor; repeated keys keep the last or the mean."""
+def predictions_to_wide(df: DataFrame, sensors: list[str], mean: bool = False, order: str | None = None, cols: Cols = COLS) -> DataFrame:
+    """date, prediction_time and s, s_pred, s_at_issued_time for each sensor; repeated keys keep the last value in order of the column ``order``, or the mean.
+
+    The last value that is not missing counts, for each measure by itself. Rows of a table have no order of their own, so
+    repeated keys need ``order`` or ``mean``.
+    """
     keys = [cols.date, "prediction_time", cols.sensor]
-    best = (lambda c: F.avg(c)) if mean else (lambda c: F.max_by(c, F.struct(cols.value, "y", "y_pred")))
+    if not mean and order is None and not df.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError("repeated keys: name the column that orders them, or take the mean")
+    best = (lambda c: F.avg(c)) if mean else (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))) if order else (lambda c: F.max(c))
     one = df.groupBy(*keys).agg(best("y").alias("_y"), best("y_pred").alias("_p"), best(cols.value).alias("_v"))
     at = lambda s, c: F.max(F.when(F.col(cols.sensor) == s, F.col(c))).cast("float")
     columns = [x for s in sensors for x in (at(s, "_y").alias(s), at(s, "_p").alias(f"{s}_pred"), at(s, "_v").alias(f"{s}_at_issued_time"))]
@@ -194,13 +194,47 @@ def standardize(df: DataFrame, train: DataFrame, columns: list[str], minmax: boo
     return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"_a_{c}"), by(c)) for c in columns}).drop(*[f"_{k}_{c}" for c in columns for k in "ab"])
 
 
-def correlation_select(df: DataFrame, columns: list[str], threshold: float, cols: Cols = COLS) -> DataFrame:
-    """column, correlation of those whose absolute Pearson correlation with the value reaches the threshold; one pass for all."""
-    one = df.agg(*[F.corr(c, cols.value).alias(c) for c in columns])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("correlation")) for c in columns])).alias("_c")).select("_c.*")
+def average_ranks(long: DataFrame) -> DataFrame:
+    """column, v, rank of the different values v of each column: ranks from 1, ties share their mean rank.
+
+    Values are counted, and the counts are summed in two levels: over ranges of values, found by a sketch, then inside each
+    range, so that no task orders a whole column.
+    """
+    counts = long.groupBy("column", "v").agg(F.count("*").alias("n"))
+    bounds = long.groupBy(F.col("column").alias("_c")).agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)]).alias("_b"))  # a row by column
+    ranged = counts.join(F.broadcast(bounds), F.col("column") == F.col("_c")).select("column", "v", "n", F.size(F.filter("_b", lambda b: b < F.col("v"))).alias("range"))
+    sums = ranged.groupBy("column", "range").agg(F.sum("n").alias("_s"))
+    below = F.coalesce(F.sum("_s").over(Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy("column", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(sums.withColumn("_below", below), ["column", "range"]).select("column", "v", (F.col("_below") + inside - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def correlation_select(df: DataFrame, columns: list[str], threshold: float, method: str = "pearson", cols: Cols = COLS) -> DataFrame:
+    """column, correlation of those whose absolute correlation with the value reaches the threshold, over the rows without missing values.
+
+    Pearson's take one pass for all columns; ``spearman`` is the correlation of ranks.
+    """
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"no method {method}")
+    rows = df.select(*dict.fromkeys((*columns, cols.value))).dropna()
+    if method == "pearson":
+        one = rows.agg(*[F.corr(c, cols.value).alias(c) for c in columns])
+        long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("correlation")) for c in columns])).alias("_c")).select("_c.*")
+    else:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_c")
+        pairs = rows.select(cells, F.col(cols.value).cast("double").alias("y")).select("_c.*", "y")
+        of_y = average_ranks(rows.select(F.lit("y").alias("column"), F.col(cols.value).cast("double").alias("v"))).select(F.col("v").alias("y"), F.col("rank").alias("_y"))
+        ranked = pairs.join(average_ranks(pairs.select("column", "v")), ["column", "v"]).join(of_y, "y")
+        long = ranked.groupBy("column").agg(F.corr("rank", "_y").alias("correlation"))
     return long.filter(F.abs("correlation") >= threshold)
 
 
+def keep_correlated(df: DataFrame, columns: list[str], threshold: float, method: str = "pearson", cols: Cols = COLS) -> DataFrame:
+    """The keys, the value and the selected columns."""
+    kept = {r[0] for r in correlation_select(df, columns, threshold, method, cols).collect()}  # one row for each column at most
+    return df.select(cols.sensor, cols.date, cols.value, *[c for c in columns if c in kept])
+
+
 # Metrics
 def _finite(*names: str) -> Column:
     out = F.lit(True)
@@ -289,8 +323,3 @@ def metrics_long(metrics: DataFrame, kind: str, keys: list[str] | None = None) -
     long = metrics.select(*(keys or []), *[F.col(c).cast("double").alias(c) for c in names]).unpivot(keys or [], names, "metric", "value")
     return long.withColumn("type", F.lit(kind))
 
-
-def latest(df: DataFrame, cols: Cols = COLS) -> DataFrame:
-    """The newest row of each sensor."""
-    w = Window.partitionBy(cols.sensor).orderBy(F.desc(cols.date))
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 _LAG = re.compile(r"(?:relative_)?diff_lag(\d+)$")
 _NEIGHBOR = re.compile(r"(?:down|up)stream_sensor_(?:congested_)?(\d+)$")
-_FLAG = re.compile(r"(?:is|has)_|.*_flag$|test_set$|fast_drop$")
-_INT = re.compile(r"(?:hour|day|month|sensor_uid|horizon)$")
+# Types of feature columns by name.
+_FLOAT = re.compile(r"(?:value|longitude|latitude|gman_prediction|lag\d+|relative_diff_lag\d+|downstream_sensor_\d+|upstream_sensor_\d+)$|prev_wd_|weather_")
+_TINY = ("hour", "day", "is_saturday", "is_sunday", "is_congested", "is_outlier")
+_INT = ("sensor_uid",)
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_BITS = (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63))
 
 
 def limit_columns(df: DataFrame, lags: int, neighbors: int) -> DataFrame:
@@ -24,13 +28,30 @@ def limit_columns(df: DataFrame, lags: int, neighbors: int) -> DataFrame:
     return df.select(*[c for c in df.columns if kept(c)])
 
 
+def _smallest(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """The smallest type that holds the values of integer columns (one pass over the table)."""
+    if not names:
+        return {}
+    ends = df.agg(*[f(f"`{c}`").alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    fits = lambda c, bits: -(1 << bits) <= (ends[f"lo_{c}"] or 0) and (ends[f"hi_{c}"] or 0) < 1 << bits
+    return {c: next(t for t, bits in _BITS if fits(c, bits)) for c in names}
+
+
 def dtype_rules(df: DataFrame) -> dict[str, str]:
-    """Type by column name: flags tinyint, calendar and ids int, other measures float."""
-    out = {}
+    """Type by column name for the columns that are listed; of the others, doubles become floats and integers the smallest type that holds them."""
+    out, rest = {}, []
     for name, kind in df.dtypes:
-        if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal"):
-            out[name] = "tinyint" if _FLAG.match(name) else "int" if _INT.match(name) else "float"
-    return out
+        if kind.startswith("timestamp") or kind == "date":
+            continue
+        if name in _TINY:
+            out[name] = "tinyint"
+        elif name in _INT:
+            out[name] = "int"
+        elif _FLOAT.match(name) or kind in ("float", "double") or kind.startswith("decimal"):
+            out[name] = "float"
+        elif kind in _WHOLE:
+            rest.append(name)
+    return out | _smallest(df, rest)
 
 
 def enforce_dtypes(df: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -40,13 +61,8 @@ def enforce_dtypes(df: DataFrame, rules: dict[str, str] | None = None) -> DataFr
 
 def optimize_dtypes(df: DataFrame) -> DataFrame:
     """Integer columns in the smallest type that holds their values (one pass over the table), doubles as floats."""
-    whole = [c for c, t in df.dtypes if t in ("smallint", "int", "bigint")]
-    ends = df.agg(*[f(c).alias(f"{k}_{c}") for c in whole for k, f in (("lo", F.min), ("hi", F.max))]).first() if whole else {}
     kinds = {c: "float" for c, t in df.dtypes if t == "double"}
-    for c in whole:
-        lo, hi = ends[f"lo_{c}"] or 0, ends[f"hi_{c}"] or 0
-        kinds[c] = next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << bits) <= lo and hi < 1 << bits)
-    return enforce_dtypes(df, kinds)
+    return enforce_dtypes(df, kinds | _smallest(df, [c for c, t in df.dtypes if t in _WHOLE[1:]]))
 
 
 def dtype_table(df: DataFrame) -> DataFrame:

@@ -73,6 +73,35 @@ def _read_csv(spark: SparkSession, d: str) -> DataFrame:
     return IO.read_readings_csv(spark, path, ("incremental_id", "date", "sensor_id", "value", "temperature"))
 
 
+def _read_default_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A file of all raw columns, read by the names that a file has by default."""
+    weather = {n: (F.col("incremental_id") % (k + 2)).cast("double") for k, n in enumerate(IO.RAW_FIELDS[6:])}
+    raw = T.readings_raw(spark, d).withColumns({"longitude": F.lit(23.5), "latitude": F.lit(37.25)} | weather).select(*[f"`{n}`" for n in IO.RAW_FIELDS])
+    raw.write.csv(path := scratch(spark, "csv"))
+    found = IO.read_readings_csv(spark, path)
+    return found.withColumnsRenamed({"Ice_cover_surface": "ice", "v-component_of_wind_height_above_ground": "wind"})
+
+
+def _write_records(spark: SparkSession, d: str) -> DataFrame:
+    """The file that the sink wrote, read back."""
+    IO.write_records_json(T.readings(spark, d).withColumn("value", F.round("value", 1)), path := scratch(spark, "records"), 30_000)
+    return spark.read.text(path)
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """Feature columns in their types, with the types as text; ``code`` does not fit a float."""
+    rows = X.calendar_features(T.readings(spark, d)).withColumns({"code": F.unix_seconds("date") * 7, "small": F.hour("date") * 5, "lag1": F.col("value")})
+    typed = H.enforce_dtypes(rows)
+    kinds = ",".join(f"{c}:{t}" for c, t in typed.dtypes if c in ("value", "hour", "day", "is_saturday", "code", "small", "lag1"))
+    return typed.withColumns({"kinds": F.lit(kinds), "value": F.round("value", 2)})
+
+
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of which some came twice; the later row lacks its value."""
+    again = _drift(spark, d).filter("hour(date) % 3 = 0").withColumns({"y_pred": F.col("y_pred") - 5, "value": F.lit(None).cast("double"), "seq": F.lit(2)})
+    return again.unionByName(_drift(spark, d).withColumn("seq", F.lit(1)))
+
+
 def _read_graph(spark: SparkSession, d: str) -> DataFrame:
     edges, path = T.edges(spark, T.readings(spark, d)), scratch(spark, "graph")
     for x in ("down", "up"):
@@ -100,11 +129,15 @@ def _load_external(spark: SparkSession, d: str) -> DataFrame:
 
 add("read_readings", _KEYS + "value@d", _read_readings, T.READINGS, "SELECT * FROM readings")
 add("read_readings_csv", "incremental_id@i sensor_id value", _read_csv, T.RAW, "SELECT event_id AS incremental_id, sensor_id, value FROM raw")
+add(
+    "read_readings_csv_default", "incremental_id@i date@t sensor_id value longitude@d latitude@d ice@d wind@d", _read_default_csv, T.RAW,
+    "SELECT event_id AS incremental_id, date_trunc('millisecond', date) AS date, sensor_id, value, 23.5 AS longitude, 37.25 AS latitude, event_id % 17 AS ice, event_id % 24 AS wind FROM raw",
+)
 add("read_road_graph", "sensor_id direction k@i neighbor_id distance@d", _read_graph, T.EDGES, "SELECT * FROM edges")
 add("read_records_json", _KEYS + "value@d", _read_records, T.READINGS, "SELECT * FROM readings")
 add(
-    "write_records_json", "value", lambda s, d: IO.records_json(T.readings(s, d).withColumn("value", F.round("value", 1)), 200), T.READINGS,
-    "SELECT '{\"date\":\"' || strftime(date, '%Y-%m-%dT%H:%M:%SZ') || '\",\"sensor_id\":\"' || sensor_id || '\",\"value\":' || round(value, 1)::varchar || '}' AS value FROM (SELECT * FROM readings ORDER BY date, sensor_id LIMIT 200)",
+    "write_records_json", "value", _write_records, T.READINGS,
+    "SELECT '{\"date\":\"' || strftime(date, '%Y-%m-%dT%H:%M:%SZ') || '\",\"sensor_id\":\"' || sensor_id || '\",\"value\":' || round(value, 1)::varchar || '}' AS value FROM (SELECT * FROM readings ORDER BY date, sensor_id LIMIT 30000)",
 )
 add("write_compact_parquet", _KEYS + "n@i total@d", _compact, T.IRREGULAR, "SELECT sensor_id, date_trunc('minute', date) AS date, count(*) AS n, sum(round(value, 1)) AS total FROM irregular GROUP BY 1, 2")
 add("load_external_predictions", "sensor_id gman_prediction@d gman_prediction_date@t gman_target_date@t", _load_external, T.EXTERNAL, "SELECT * FROM external")
@@ -126,10 +159,15 @@ add(
     "limit_lag_adjacency_columns", _KEYS + "relative_diff_lag1@d relative_diff_lag2@d", lambda s, d: H.limit_columns(X.lag_features(T.readings(s, d), 4), lags=2, neighbors=0), T.READINGS,
     "SELECT sensor_id, date, coalesce((value - lag(value) OVER w) / (lag(value) OVER w + 1e-5), -1) AS relative_diff_lag1, coalesce((value - lag(value, 2) OVER w) / (lag(value, 2) OVER w + 1e-5), -1) AS relative_diff_lag2 FROM readings" + _W,
 )
-add("enforce_dtypes", _KEYS + "value@d hour@i is_saturday@i", lambda s, d: H.enforce_dtypes(X.calendar_features(T.readings(s, d))).withColumn("value", F.round("value", 2)), T.READINGS, "SELECT sensor_id, date, round(value::float, 2) AS value, hour(date) AS hour, (isodow(date) = 6)::int AS is_saturday FROM readings")
+add(
+    "enforce_dtypes", _KEYS + "value@d hour@i is_saturday@i code@i small@i kinds", _typed, T.READINGS,
+    "SELECT sensor_id, date, round(value::float, 2) AS value, hour(date) AS hour, (isodow(date) = 6)::int AS is_saturday, epoch(date)::bigint * 7 AS code, hour(date) * 5 AS small, "
+    "'value:float,hour:tinyint,day:tinyint,is_saturday:tinyint,code:bigint,small:tinyint,lag1:float' AS kinds FROM readings",
+)
 add("optimize_dtypes", "name kind", lambda s, d: H.dtype_table(H.optimize_dtypes(T.events(s, d).select("event_id", "user_id", (F.col("user_id") % 100).alias("small")))), "k AS (SELECT max(event_id) e, max(user_id) u, max(user_id % 100) s FROM events)", " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {c} <= 127 THEN 'tinyint' WHEN {c} <= 32767 THEN 'smallint' WHEN {c} <= 2147483647 THEN 'int' ELSE 'bigint' END AS kind FROM k" for n, c in (("event_id", "e"), ("user_id", "u"), ("small", "s"))))
 add("align_to_feature_list", "value@d hour@i nothing@d", lambda s, d: H.align_to_features(X.calendar_features(T.readings(s, d)), ["value", "hour", "nothing"]), T.READINGS, "SELECT value, hour(date) AS hour, 0 AS nothing FROM readings")
-add("sanitize_wide", "date@t S00@d S01@d", lambda s, d: P.sanitize_wide(T.wide_predictions(s, d).withColumn("note", F.lit("x"))), T.WIDE, "SELECT timestamp AS date, S00, S01 FROM wide")
+_ALL = " ".join(f"{x}@d" for x in T.SENSORS)
+add("sanitize_wide", "date@t " + _ALL, lambda s, d: P.sanitize_wide(T.wide_predictions(s, d).withColumn("note", F.lit("x"))), T.WIDE, "SELECT timestamp AS date, * EXCLUDE (timestamp) FROM wide")
 add("slice_test_raw", _KEYS + "value@d", lambda s, d: C.slice_test_raw(T.readings(s, d), F.lit("2024-01-21").cast("timestamp")), T.SPLIT, "SELECT * FROM split WHERE test_set")
 add(
     "train_test_tables", "part value@d target@d", lambda s, d: H.stacked(*S.train_test_tables(X.create_target(T.readings_split(s, d), 1), ["prediction_time", "target_total_speed", "target_speed_delta"])), T.SPLIT,
@@ -281,6 +319,15 @@ add("congestion_flag", _KEYS + "is_congested@i", _congested, T.SPLIT + _CONG, "S
 add("outlier_flag", _KEYS + "is_outlier@i", lambda s, d: X.outlier_flag(T.readings(s, d), X.fit_outlier(T.readings_split(s, d).filter("not test_set"))), T.SPLIT + ", q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT sensor_id, date, (value < lo OR value > hi)::int AS is_outlier FROM split, q")
 add("train_stats", "sensor_id min@d max@d var@d mean@d", lambda s, d: X.train_stats(T.readings_split(s, d).filter("not test_set")), T.SPLIT, "SELECT sensor_id, min(value) AS min, max(value) AS max, var_samp(value) AS var, avg(value) AS mean FROM split WHERE NOT test_set GROUP BY 1")
 add("correlation_select", "column correlation@d", lambda s, d: P.correlation_select(X.calendar_features(X.lag_features(T.readings(s, d), 3)), ["relative_diff_lag1", "relative_diff_lag2", "hour", "day"], 0.1), T.READINGS + ", f AS (SELECT *, coalesce((value - lag(value) OVER w) / (lag(value) OVER w + 1e-5), -1) AS a, coalesce((value - lag(value, 2) OVER w) / (lag(value, 2) OVER w + 1e-5), -1) AS b FROM readings" + _W + "), c AS (SELECT corr(a, value) AS a, corr(b, value) AS b, corr(hour(date), value) AS h, corr(isodow(date), value) AS d FROM f)", " UNION ALL ".join(f"SELECT '{n}' AS \"column\", {k} AS correlation FROM c WHERE abs({k}) >= 0.1" for n, k in (("relative_diff_lag1", "a"), ("relative_diff_lag2", "b"), ("hour", "h"), ("day", "d"))))
+_SPEARMAN = ["relative_diff_lag1", "relative_diff_lag2", "hour", "day"]
+add(
+    "correlation_select_spearman", "column correlation@d", lambda s, d: P.correlation_select(X.calendar_features(X.lag_features(T.readings(s, d), 3)), _SPEARMAN, 0.01, "spearman"),
+    T.READINGS + ", f AS (SELECT value, coalesce((value - lag(value) OVER w) / (lag(value) OVER w + 1e-5), -1) AS relative_diff_lag1, coalesce((value - lag(value, 2) OVER w) / (lag(value, 2) OVER w + 1e-5), -1) AS relative_diff_lag2, "
+    "hour(date) AS hour, isodow(date) AS day FROM readings" + _W + "), k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("value", *_SPEARMAN)) + " FROM f), "
+    "c AS (SELECT " + ", ".join(f"corr({c}, value) AS {c}" for c in _SPEARMAN) + " FROM k)",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS correlation FROM c WHERE abs({c}) >= 0.01" for c in _SPEARMAN),
+)
+add("keep_correlated", _KEYS + "value@d", lambda s, d: P.keep_correlated(X.calendar_features(T.readings(s, d)), ["hour", "is_saturday"], 2.0), T.READINGS, "SELECT * FROM readings")
 add("standardize", _KEYS + "value@d", lambda s, d: P.standardize(T.readings(s, d), T.readings_split(s, d).filter("not test_set"), ["value"]), T.SPLIT + ", m AS (SELECT avg(value) AS a, stddev_pop(value) AS b FROM split WHERE NOT test_set)", "SELECT sensor_id, date, (value - a) / b AS value FROM split, m")
 add("standardize_minmax", _KEYS + "value@d", lambda s, d: P.standardize(T.readings(s, d), T.readings(s, d), ["value"], minmax=True), T.READINGS, "SELECT sensor_id, date, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM readings")
 _target1 = lambda s, d: X.create_target(T.readings(s, d), 1)
@@ -290,16 +337,21 @@ add("split_date_gaps", "min_a@t max_a@t min_b@t max_b@t min_gap@d max_gap@d", la
 add("null_report", "sensor_id@i date@i value@i", lambda s, d: C.null_report(T.readings_full(s, d)), T.FULL, "SELECT count(*) FILTER (sensor_id IS NULL) AS sensor_id, count(*) FILTER (date IS NULL) AS date, count(*) FILTER (value IS NULL) AS value FROM readings_full")
 
 # 2.9 Reshape, windows as rows
-add("to_wide", "date@t S00@d S03@d S07@d test_set", lambda s, d: P.to_wide(T.readings_split(s, d), [f"S{i:02d}" for i in range(8)]), T.SPLIT, "SELECT date, max(value) FILTER (sensor_id = 'S00') AS S00, max(value) FILTER (sensor_id = 'S03') AS S03, max(value) FILTER (sensor_id = 'S07') AS S07, max(test_set) AS test_set FROM split GROUP BY 1")
+add("to_wide", f"date@t {_ALL} test_set", lambda s, d: P.to_wide(T.readings_split(s, d), T.SENSORS), T.SPLIT, "SELECT date, " + ", ".join(f"max(value) FILTER (sensor_id = '{x}') AS {x}" for x in T.SENSORS) + ", max(test_set) AS test_set FROM split GROUP BY 1")
+add(
+    "melt_external_predictions", "sensor_id gman_prediction@d gman_prediction_date@t gman_target_date@t", lambda s, d: P.melt_external_predictions(T.wide_predictions(s, d), T.SENSORS, minutes_per_step=60), T.WIDE,
+    " UNION ALL ".join(f"SELECT '{x}' AS sensor_id, {x}_pred AS gman_prediction, timestamp - INTERVAL 3 HOUR AS gman_prediction_date, timestamp AS gman_target_date FROM wide WHERE timestep = 2" for x in T.SENSORS),
+)
+_WIDE_COLUMNS = [(x, c, n) for x in T.SENSORS for c, n in (("y", ""), ("y_pred", "_pred"), ("value", "_at_issued_time"))]
 add(
-    "melt_external_predictions", "sensor_id gman_prediction@d gman_prediction_date@t gman_target_date@t", lambda s, d: P.melt_external_predictions(T.wide_predictions(s, d), ["S00", "S01"], minutes_per_step=60), T.WIDE,
-    " UNION ALL ".join(f"SELECT '{x}' AS sensor_id, {x}_pred AS gman_prediction, timestamp - INTERVAL 3 HOUR AS gman_prediction_date, timestamp AS gman_target_date FROM wide WHERE timestep = 2" for x in ("S00", "S01")),
+    "predictions_to_wide", "date@t prediction_time@t " + " ".join(f"{x}{n}@d" for x, _, n in _WIDE_COLUMNS), lambda s, d: H.rounded(P.predictions_to_wide(_repeated(s, d), T.SENSORS, order="seq"), 2),
+    T.PREDICTIONS + ", one AS (SELECT * REPLACE (CASE WHEN hour(date) % 3 = 0 THEN y_pred - 5 ELSE y_pred END AS y_pred) FROM predictions WHERE model = 'drift' AND horizon = 1)",
+    "SELECT date, prediction_time, " + ", ".join(f"round(max({c}) FILTER (sensor_id = '{x}')::float, 2) AS {x}{n}" for x, c, n in _WIDE_COLUMNS) + " FROM one GROUP BY 1, 2",
 )
-add("predictions_to_wide", "date@t prediction_time@t S00@d S00_pred@d S00_at_issued_time@d S01_pred@d", lambda s, d: H.rounded(P.predictions_to_wide(_drift(s, d), ["S00", "S01"]), 2), T.PREDICTIONS, "SELECT date, prediction_time, " + ", ".join(f"round(max({c}) FILTER (sensor_id = '{x}')::float, 2) AS {x}{n}" for x, c, n in (("S00", "y", ""), ("S00", "y_pred", "_pred"), ("S00", "value", "_at_issued_time"), ("S01", "y_pred", "_pred"))) + " FROM predictions WHERE model = 'drift' AND horizon = 1 GROUP BY 1, 2")
 _hist = lambda df, c: df.withColumn(c, F.concat_ws(",", F.transform(c, lambda x: F.format_string("%.4f", x))))
 add(
-    "seq_windows", _KEYS + "target_time@t history target@d", lambda s, d: _hist(P.seq_windows(T.readings(s, d),4, 2, 3), "history"), T.READINGS + ", r AS (SELECT * FROM readings), h AS (SELECT *, row_number() OVER w - 1 AS i, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS 3 PRECEDING) AS hist, lead(value, 2) OVER w AS t, lead(date, 2) OVER w AS tt FROM r" + _W + ")",
-    "SELECT sensor_id, date, tt AS target_time, array_to_string(list_transform(hist, lambda x: printf('%.4f', x)), ',') AS history, t - value AS target FROM h WHERE i >= 3 AND t IS NOT NULL AND (i - 3) % 3 = 0",
+    "seq_windows", _KEYS + "target_time@t history target@d", lambda s, d: _hist(P.seq_windows(T.readings(s, d), 4, 2), "history"), T.READINGS + ", r AS (SELECT * FROM readings), h AS (SELECT *, row_number() OVER w - 1 AS i, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS 3 PRECEDING) AS hist, lead(value, 2) OVER w AS t, lead(date, 2) OVER w AS tt FROM r" + _W + ")",
+    "SELECT sensor_id, date, tt AS target_time, array_to_string(list_transform(hist, lambda x: printf('%.4f', x)), ',') AS history, t - value AS target FROM h WHERE i >= 3 AND t IS NOT NULL",
 )
 add(
     "seq2seq_windows", "sensor_id start@t x y", lambda s, d: _hist(_hist(P.seq2seq_windows(T.readings(s, d),3, 2), "x"), "y"), T.READINGS + ", r AS (SELECT * FROM readings), h AS (SELECT *, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS BETWEEN 3 FOLLOWING AND 4 FOLLOWING) AS b FROM r)",
@@ -354,8 +406,31 @@ _E3 = ", numbered AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER
 add("correct_ewma", _KEYS + "y_pred@d", lambda s, d: P.correct_ewma(_odd(s, d)), "RECURSIVE " + _ODD + _E3.format(p="p"), "SELECT sensor_id, date, round_even(m, 2) AS y_pred FROM e")
 _bounds = lambda s, d: T.readings(s, d).groupBy("sensor_id").agg((F.min("value") + 5.0).alias("min"), (F.max("value") - 5.0).alias("max"))
 add("correct_clip", _KEYS + "y_pred@d", lambda s, d: P.correct_clip(_odd(s, d), _bounds(s, d)), _ODD + ", b AS (SELECT sensor_id, min(value) + 5 AS lo, max(value) - 5 AS hi FROM readings GROUP BY 1)", "SELECT sensor_id, date, round_even(greatest(lo, least(hi, y_pred)), 2) AS y_pred FROM p JOIN b USING (sensor_id)")
-add("correct_kalman", _KEYS + "y_pred@d", lambda s, d: P.correct_kalman(_odd(s, d), T.readings(s, d).groupBy("sensor_id").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))))
-add("correct_all", _KEYS + "y_pred@d", lambda s, d: P.correct_all(_oddv(s, d), _bounds(s, d)))
+add(
+    "correct_kalman", _KEYS + "y_pred@d", lambda s, d: P.correct_kalman(_odd(s, d), T.readings(s, d).groupBy("sensor_id").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))),
+    "RECURSIVE " + _ODD + """, stats AS (SELECT sensor_id, avg(value) AS mean, var_pop(value) AS var FROM readings GROUP BY 1),
+    n AS (SELECT p.sensor_id, date, y_pred AS y, mean, var, row_number() OVER (PARTITION BY p.sensor_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY p.sensor_id) AS last FROM p JOIN stats USING (sensor_id)),
+    f AS (SELECT sensor_id, date, rn, last, mean + (y - mean) / 2 AS m, var / 2 AS v FROM n WHERE rn = 1 UNION ALL
+          SELECT n.sensor_id, n.date, n.rn, n.last, f.m + (f.v + 1) / (f.v + 1 + n.var) * (n.y - f.m), (f.v + 1) * (1 - (f.v + 1) / (f.v + 1 + n.var)) FROM f JOIN n ON n.sensor_id = f.sensor_id AND n.rn = f.rn + 1),
+    b AS (SELECT sensor_id, date, rn, m AS s FROM f WHERE rn = last UNION ALL SELECT f.sensor_id, f.date, f.rn, f.m + f.v / (f.v + 1) * (b.s - f.m) FROM b JOIN f ON f.sensor_id = b.sensor_id AND f.rn = b.rn - 1)""",
+    "SELECT sensor_id, date, round_even(s, 2) AS y_pred FROM b",
+)
+
+
+def _half_even(x: str) -> str:
+    """Rounding to cents by the decimal digits of a double, as Spark does it; DuckDB rounds the binary product, which differs on ties."""
+    cents = f"(({x})::varchar::decimal(30, 17) * 100)"
+    return f"((floor({cents}) + CASE WHEN {cents} - floor({cents}) > 0.5 OR ({cents} - floor({cents}) = 0.5 AND floor({cents}) % 2 = 1) THEN 1 ELSE 0 END)::double / 100)"
+
+
+add(
+    "correct_all", _KEYS + "y_pred@d", lambda s, d: P.correct_all(_oddv(s, d), _bounds(s, d)),
+    "RECURSIVE " + _ODDV + _NAIVE + """, k AS (SELECT *, row_number() OVER w AS rn, lag(y_pred) OVER w AS y1, lag(y_pred, 2) OVER w AS y2 FROM c1 WINDOW w AS (PARTITION BY sensor_id ORDER BY date)),
+    c2 AS (SELECT sensor_id, date, rn, CASE rn WHEN 1 THEN y_pred WHEN 2 THEN """ + _half_even("0.5 * least(y1, y_pred) + 0.5 * greatest(y1, y_pred)") + """ ELSE greatest(least(y_pred, y1), least(greatest(y_pred, y1), y2)) END AS y_pred FROM k),
+    e AS (SELECT sensor_id, date, rn, y_pred AS m FROM c2 WHERE rn = 1 UNION ALL SELECT n.sensor_id, n.date, n.rn, e.m * 0.5 + 0.5 * n.y_pred FROM e JOIN c2 n ON n.sensor_id = e.sensor_id AND n.rn = e.rn + 1),
+    b AS (SELECT sensor_id, min(value) + 5 AS lo, max(value) - 5 AS hi FROM readings GROUP BY 1)""",
+    "SELECT sensor_id, date, " + _half_even("greatest(lo, least(hi, " + _half_even("m") + "))") + " AS y_pred FROM e JOIN b USING (sensor_id)",
+)
 
 # 2.11 Evaluation
 _METRICS = """count(*) AS n, avg(ae) AS mae, median(ae) AS median_ae, sqrt(avg(ae * ae)) AS rmse, avg(ae / greatest(abs(y), 0.01)) * 100 AS mape, avg(CASE WHEN abs(y) + abs(q) = 0 THEN ae ELSE ae / ((abs(y) + abs(q)) / 2) END) * 100 AS smape,
@@ -380,5 +455,7 @@ add("metrics_long", "type model metric value@d", lambda s, d: P.metrics_long(P.s
 # 2.12 Streaming
 add("stream_grid", _KEYS + "value@d", ST.grid_query, T.IRREGULAR + ", hours AS (SELECT sensor_id, date_trunc('hour', date) AS date, avg(value) AS value FROM irregular GROUP BY 1, 2)", "SELECT * FROM hours WHERE date + INTERVAL 1 HOUR <= (SELECT max(date) FROM irregular) - INTERVAL 1 HOUR")
 add("stream_flags", _KEYS + "is_congested@i is_outlier@i", ST.flags_query, T.SPLIT + _CONG + ", q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT sensor_id, date, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong, q")
-add("stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS, "SELECT sensor_id, date, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM readings QUALIFY row_number() OVER w > 2" + _W.replace("WINDOW", "WINDOW"))
-ORACLE_SQL["stream_score"] = f"WITH {T.READINGS}, s AS (SELECT sensor_id, date, row_number() OVER w AS rn, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM readings{_W}), result AS (SELECT * FROM s WHERE rn > 2) SELECT {_select(_KEYS + 'lag1@d lag2@d y_pred@d')} FROM result"
+add(
+    "stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS + ", s AS (SELECT sensor_id, date, row_number() OVER w AS rn, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM readings" + _W + ")",
+    "SELECT * FROM s WHERE rn > 2",
+)

@@ -10,8 +10,15 @@ from ..operators.base import COLS, Cols, require
 
 #: Fixed value: columns of a raw readings file, in the order of the file.
 RAW_FIELDS = (
-    "incremental_id", "date", "sensor_id", "longitude", "latitude", "value", "stations", "altimeter", "lifted_index_surface", "wind_speed_gust_surface", "temperature", "dew_point_temperature",
-    "precipitation", "total_precipitation", "relative_humidity", "low_cloud_cover", "medium_cloud_cover", "high_cloud_cover", "convective_cloud_cover", "visibility", "u-component_of_wind", "v-component_of_wind",
+    "incremental_id", "date", "sensor_id", "value", "longitude", "latitude",
+    "Per_cent_frozen_precipitation_surface", "Precipitable_water_entire_atmosphere_single_layer", "Precipitation_rate_surface_3_Hour_Average",
+    "Storm_relative_helicity_height_above_ground_layer", "Total_precipitation_surface_3_Hour_Accumulation", "Categorical_Rain_surface_3_Hour_Average",
+    "Categorical_Freezing_Rain_surface_3_Hour_Average", "Categorical_Ice_Pellets_surface_3_Hour_Average", "Categorical_Snow_surface_3_Hour_Average",
+    "Convective_Precipitation_Rate_surface_3_Hour_Average", "Convective_precipitation_surface_3_Hour_Accumulation",
+    "U-Component_Storm_Motion_height_above_ground_layer", "V-Component_Storm_Motion_height_above_ground_layer",
+    "Geopotential_height_highest_tropospheric_freezing", "Relative_humidity_highest_tropospheric_freezing", "Ice_cover_surface", "Snow_depth_surface",
+    "Water_equivalent_of_accumulated_snow_depth_surface", "Wind_speed_gust_surface",
+    "u-component_of_wind_maximum_wind", "u-component_of_wind_height_above_ground", "v-component_of_wind_maximum_wind", "v-component_of_wind_height_above_ground",
 )
 _GRAPH = "map<string, struct<down_sensor: array<string>, down_distance: array<double>>>"
 PAYLOAD = "struct<records: array<struct<date: string, sensor_id: string, value: double>>>"

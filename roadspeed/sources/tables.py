@@ -9,6 +9,7 @@ from ..operators.base import COLS, minutes
 
 #: Hourly rows.
 STEP_MIN = 60
+SENSORS = [f"S{i:02d}" for i in range(8)]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +92,11 @@ def step_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External predictions as a wide table: sample_nr, timestep 0..2, timestamp, S00, S00_pred, S01, S01_pred."""
-    full = readings_full(spark, sf_dir).filter("sensor_id in ('S00', 'S01')").groupBy("date").pivot("sensor_id", ["S00", "S01"]).agg(F.first("value"))
+    """External predictions as a wide table: sample_nr, timestep 0..2, timestamp, and s, s_pred of each sensor."""
+    full = readings_full(spark, sf_dir).groupBy("date").pivot("sensor_id", SENSORS).agg(F.first("value"))
     hour = F.floor((F.unix_seconds("date") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 3600)
-    return full.select((hour / 3).cast("int").alias("sample_nr"), (hour % 3).cast("int").alias("timestep"), F.col("date").alias("timestamp"), "S00", (F.col("S00") * 0.9).alias("S00_pred"), "S01", (F.col("S01") * 0.9).alias("S01_pred"))
+    columns = [c for x in SENSORS for c in (F.col(x), (F.col(x) * 0.9).alias(f"{x}_pred"))]
+    return full.select((hour / 3).cast("int").alias("sample_nr"), (hour % 3).cast("int").alias("timestep"), F.col("date").alias("timestamp"), *columns)
 
 
 # The same frames for the SQL side.
@@ -137,8 +139,7 @@ STEPS = READINGS + """, s0 AS (
            CASE k WHEN 1 THEN lead(value, 1) OVER w WHEN 2 THEN lead(value, 2) OVER w ELSE lead(value, 3) OVER w END AS y
     FROM readings CROSS JOIN (VALUES (1), (2), (3)) n(k) WINDOW w AS (PARTITION BY sensor_id, k ORDER BY date)
 ), steps AS (SELECT * FROM s0 WHERE y IS NOT NULL)"""
-WIDE = FULL + """, wide AS (
+WIDE = FULL + f""", wide AS (
     SELECT (epoch(date - TIMESTAMP '2024-01-01') / 3600)::bigint // 3 AS sample_nr, (epoch(date - TIMESTAMP '2024-01-01') / 3600)::bigint % 3 AS timestep, date AS timestamp,
-           max(value) FILTER (sensor_id = 'S00') AS S00, max(value) FILTER (sensor_id = 'S00') * 0.9 AS S00_pred,
-           max(value) FILTER (sensor_id = 'S01') AS S01, max(value) FILTER (sensor_id = 'S01') * 0.9 AS S01_pred
+           {", ".join(f"max(value) FILTER (sensor_id = '{x}') AS {x}, max(value) FILTER (sensor_id = '{x}') * 0.9 AS {x}_pred" for x in SENSORS)}
     FROM readings_full GROUP BY date)"""

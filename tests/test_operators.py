@@ -136,7 +136,7 @@ def test_windows(spark):
 
 def test_types(spark):
     df = spark.createDataFrame([(1, 300, 2.5, True)], "hour bigint, n bigint, v double, is_x boolean")
-    assert dict(shape.enforce_dtypes(df).dtypes) == {"hour": "int", "n": "float", "v": "float", "is_x": "tinyint"}
+    assert dict(shape.enforce_dtypes(df).dtypes) == {"hour": "tinyint", "n": "smallint", "v": "float", "is_x": "boolean"}
     assert dict(shape.optimize_dtypes(df).dtypes) == {"hour": "tinyint", "n": "smallint", "v": "float", "is_x": "boolean"}
     assert shape.align_to_features(df, ["v", "none"]).first() == (2.5, 0.0)
 
