@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -37,6 +38,26 @@ def minutes(n: int | Column) -> Column:
     return F.make_dt_interval(mins=F.lit(n) if isinstance(n, int) else n)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Session settings that the operators were planned for: one time zone, and joins on (sensor, date) that reuse an exchange by sensor."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, graph, split
-from ..operators.base import COLS, Cols
+from ..operators import clean, features, graph, predict, split
+from ..operators.base import COLS, Cols, minutes, shared_dir
 from ..sources import tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 @dataclass(frozen=True)
 class BuildConfig:
     """What goes into the training tables."""
@@ -39,51 +30,71 @@ class BuildConfig:
     separate: bool = True
 
 
-def base_features(df: DataFrame, edges: DataFrame, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
-    """Columns that do not depend on the horizon: smoothing, calendar, neighbours (of smoothed values), lags, congestion flag."""
-    smooth = clean.smooth_train_test_separately(df, config.smooth, cols=cols) if config.separate else clean.smooth_speeds(df, config.smooth, cols=cols)
+def smoothed(df: DataFrame, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
+    return clean.smooth_train_test_separately(df, config.smooth, cols=cols) if config.separate else clean.smooth_speeds(df, config.smooth, cols=cols)
+
+
+def base_features(df: DataFrame, edges: DataFrame, config: BuildConfig = BuildConfig(), congestion: DataFrame | None = None, cols: Cols = COLS) -> DataFrame:
+    """Columns that do not depend on the horizon: smoothing, calendar, neighbours (of smoothed values), lags, congestion flag.
+
+    ``congestion`` are stored thresholds; without any they are those of the train rows.
+    """
+    smooth = smoothed(df, config, cols)
     out = features.lag_features(smooth, config.lags, cols=cols)
     out = graph.adjacent_values(out, edges, config.neighbors, cols=cols)
-    out = features.congestion_flag(out, features.fit_congestion(smooth.filter(~F.col(cols.test)), cols=cols), cols=cols)
-    return features.calendar_features(out, cols)
+    known = features.fit_congestion(smooth.filter(~F.col(cols.test)), cols=cols) if congestion is None else congestion
+    return features.calendar_features(features.congestion_flag(out, known, cols=cols), cols)
 
 
-def finalise_for_horizon(base: DataFrame, horizon: int, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
-    """Previous-weekday value, cyclical time and target of one horizon."""
+def features_for_horizon(base: DataFrame, horizon: int, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
+    """Previous-weekday value and cyclical time of one horizon."""
     ahead = horizon * config.minutes_per_row
-    out = features.create_target(graph.previous_weekday_window(base, ahead, 0, 0, config.minutes_per_row, cols=cols), horizon, cols=cols)
+    out = graph.previous_weekday_window(base, ahead, 0, 0, config.minutes_per_row, cols=cols)
     return features.cyclical_time(out, ahead, cols=cols).withColumn("horizon", F.lit(horizon))
 
 
+def finalise_for_horizon(base: DataFrame, horizon: int, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
+    """Those, and the target."""
+    return features.create_target(features_for_horizon(base, horizon, config, cols), horizon, cols=cols)
+
+
 def build_training_tables(df: DataFrame, edges: DataFrame, path: str, horizons: list[int], config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> None:
     """Write the tables of all horizons, smallest first, partitioned by horizon and test_set; horizons that are already there are skipped.
 
-    The base is written once, hashed and sorted by sensor, and read for each horizon.
+    The base is written once, sorted by sensor inside its files, and read for each horizon.
     """
     spark = df.sparkSession
     base_path = f"{path}/base"
     if not _exists(spark, base_path):
-        base_features(df, edges, config, cols).sortWithinPartitions(cols.sensor, cols.date).write.parquet(base_path)
+        base_features(df, edges, config, cols=cols).sortWithinPartitions(cols.sensor, cols.date).write.parquet(base_path)
     for h in sorted(horizons):
         if not _exists(spark, f"{path}/tables/horizon={h}"):
             finalise_for_horizon(spark.read.parquet(base_path), h, config, cols).drop("horizon").write.partitionBy(cols.test).parquet(f"{path}/tables/horizon={h}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    """Whether Parquet files were written there, to the end."""
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").schema
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
-def feature_names(df: DataFrame) -> list[str]:
+def feature_names(df: DataFrame, cols: Cols = COLS) -> list[str]:
     """Numeric columns that are neither keys nor targets."""
-    out = {"horizon", "target", "target_total_speed", "target_speed_delta"}
+    out = {"horizon", "target", "target_total_speed", "target_speed_delta", cols.test}
     return [c for c, t in df.dtypes if t in ("int", "bigint", "float", "double", "tinyint") and c not in out]
 
 
-def fit_tree_model(train: DataFrame, names: list[str], target: str = "target", max_depth: int = 4, step_size: float = 0.1, max_iter: int = 10, seed: int = 42) -> PipelineModel:
-    """Boosted trees on the absolute loss; rows with a null feature keep the sentinel -1."""
+def fit_tree_model(
+    train: DataFrame, names: list[str], target: str = "target", max_depth: int = 4, step_size: float = 0.1, max_iter: int = 10, seed: int = 42, loss: str = "absolute"
+) -> PipelineModel:
+    """Boosted trees on the absolute or squared loss; rows with a null feature keep the sentinel -1."""
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    trees = GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxDepth=max_depth, stepSize=step_size, maxIter=max_iter, seed=seed)
+    trees = GBTRegressor(featuresCol="features", labelCol=target, lossType=loss, maxDepth=max_depth, stepSize=step_size, maxIter=max_iter, seed=seed)
     return Pipeline(stages=[assembler, trees]).fit(train.fillna(-1.0, names))
 
 
@@ -93,25 +104,36 @@ def batch_score(model: PipelineModel, df: DataFrame, names: list[str], cols: Col
     return out.withColumn("y_pred_total", F.col("prediction") + F.col(cols.value))
 
 
-GRID = tuple((d, s, n) for d in (2, 4, 6, 8) for s in (0.05, 0.1) for n in (10, 20, 40, 80))
+# Depths, step sizes and numbers of trees that are tried.
+GRID = tuple((d, s, n) for d in (10, 8, 6, 4) for s in (0.1, 0.01) for n in (1000, 750, 500, 250))
+
 
+def grid_search_ts(
+    df: DataFrame, names: list[str], grid: tuple[tuple[int, float, int], ...] = GRID, k: int = 3, target: str = "target", loss: str = "squared", at_once: int = 4, cols: Cols = COLS
+) -> tuple[DataFrame, PipelineModel]:
+    """Mean absolute error of every candidate over expanding folds, and the best one fitted again on all rows.
 
-def grid_search_ts(df: DataFrame, names: list[str], grid: tuple[tuple[int, float, int], ...] = GRID, k: int = 3, target: str = "target", cols: Cols = COLS) -> tuple[DataFrame, PipelineModel]:
-    """Mean absolute error of every candidate over expanding folds, and the best one fitted again on all rows."""
+    ``at_once`` fits are submitted side by side, so that the many small jobs of one leave no executor idle.
+    """
     spark = df.sparkSession
     folded = split.ts_folds(df, k, cols=cols).persist()
-    rows = []
-    for depth, step, n in grid:
-        errors = []
-        for fold in range(1, k + 1):
-            train, test = split.fold_tables(folded, fold)
-            scored = batch_score(fit_tree_model(train, names, target, depth, step, n), test, names, cols)
-            errors.append(scored.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0])
-        rows.append((depth, step, n, float(sum(errors) / k)))
+
+    def error(job: tuple[tuple[int, float, int], int]) -> float:
+        (depth, step, n), fold = job
+        train, test = split.fold_tables(folded, fold)
+        scored = batch_score(fit_tree_model(train, names, target, depth, step, n, loss=loss), test, names, cols)
+        return scored.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
+
+    try:
+        folded.count()
+        with ThreadPoolExecutor(at_once) as pool:
+            errors = list(pool.map(error, [(c, fold) for c in grid for fold in range(1, k + 1)]))
+    finally:
+        folded.unpersist()
+    rows = [(*c, float(sum(errors[i * k : (i + 1) * k]) / k)) for i, c in enumerate(grid)]
     best = min(rows, key=lambda r: (r[3], r[:3]))
-    folded.unpersist()
     table = spark.createDataFrame([(*r, r == best) for r in rows], "max_depth int, step_size double, max_iter int, mae double, best boolean")
-    return table, fit_tree_model(df, names, target, *best[:3])
+    return table, fit_tree_model(df, names, target, *best[:3], loss=loss)
 
 
 # Fitted states: one small table for each transformer
@@ -134,6 +156,55 @@ def apply_states(df: DataFrame, states: dict[str, DataFrame], cols: Cols = COLS)
     return features.outlier_flag(features.congestion_flag(out, states["congestion"], cols=cols), states["outlier"], cols)
 
 
+# A stored scorer: what new rows need to be scored as in training
+@dataclass(frozen=True)
+class Scorer:
+    """A model with the states of its features and the last rows before the new ones."""
+
+    model: PipelineModel
+    names: list[str]
+    horizon: int
+    config: BuildConfig
+    congestion: DataFrame
+    edges: DataFrame
+    history: DataFrame
+
+
+def fit_scorer(
+    df: DataFrame, edges: DataFrame, path: str, horizon: int = 1, config: BuildConfig = BuildConfig(), history_days: int = 15, max_depth: int = 4, step_size: float = 0.1, max_iter: int = 10, cols: Cols = COLS
+) -> None:
+    """Fit a model on the train rows and store it under ``path`` with all that its features depend on.
+
+    The last ``history_days`` of train rows are stored as they came: lags, neighbours and previous weekdays reach back no further.
+    """
+    train = df.filter(~F.col(cols.test))
+    table = finalise_for_horizon(base_features(df, edges, config, cols=cols), horizon, config, cols).filter(~F.col(cols.test)).persist()
+    names = feature_names(table, cols)
+    fit_tree_model(table, names, "target", max_depth, step_size, max_iter).write().overwrite().save(f"{path}/model")
+    table.unpersist()
+    features.fit_congestion(smoothed(df, config, cols).filter(~F.col(cols.test)), cols=cols).write.mode("overwrite").parquet(f"{path}/congestion")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    last = train.agg((F.max(cols.date) - minutes(history_days * 1440)).alias("_from"))  # one row
+    train.join(F.broadcast(last), F.col(cols.date) > F.col("_from")).drop("_from").write.mode("overwrite").parquet(f"{path}/history")
+    settings = json.dumps({"names": names, "horizon": horizon, "config": asdict(config)})
+    df.sparkSession.createDataFrame([(settings,)], "value string").write.mode("overwrite").text(f"{path}/settings")
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
+    tables_of = [spark.read.parquet(f"{path}/{x}") for x in ("congestion", "edges", "history")]
+    return Scorer(PipelineModel.load(f"{path}/model"), settings["names"], settings["horizon"], BuildConfig(**settings["config"]), *tables_of)
+
+
+def score_rows(new: DataFrame, scorer: Scorer, cols: Cols = COLS) -> DataFrame:
+    """Prediction frame of new rows (sensor, date, value): the features of training from the stored states and the history, then the stored model."""
+    rows = new.select(cols.sensor, cols.date, cols.value).withColumn(cols.test, F.lit(True))
+    whole = scorer.history.select(*rows.columns).unionByName(rows)
+    table = features_for_horizon(base_features(whole, scorer.edges, scorer.config, scorer.congestion, cols), scorer.horizon, scorer.config, cols)
+    scored = batch_score(scorer.model, table.filter(F.col(cols.test)), scorer.names, cols)
+    return predict.prediction_frame(scored, "prediction", scorer.horizon * scorer.config.minutes_per_row, cols)
+
+
 # Queries over the test tables
 def build_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
@@ -145,25 +216,42 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalise_for_horizon(base_features(tables.readings_split(spark, sf_dir), tables.edges(spark, tables.readings(spark, sf_dir)), BuildConfig(lags=6)), 1)
 
 
+def _stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, written once: it is read for each fit."""
+    _table(spark, sf_dir).write.parquet(path := f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
+    return spark.read.parquet(path)
+
+
 def fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir).persist()
+    df = _stored_table(spark, sf_dir)
     names = feature_names(df)
     return batch_score(fit_tree_model(df.filter("not test_set"), names), df.filter("test_set"), names)
 
 
+#: What the query tries: two of each setting of a smaller grid, since each fit of a thousand trees takes minutes.
+QUERY_GRID = tuple((d, s, n) for d in (2, 4) for s in (0.1, 0.3) for n in (2, 4))
+
+
 def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir).filter("not test_set").select("sensor_id", "date", "value", "hour", "relative_diff_lag1", "target")
-    return grid_search_ts(df, ["value", "hour", "relative_diff_lag1"], ((2, 0.1, 3), (3, 0.1, 3)))[0]
+    df = _stored_table(spark, sf_dir).filter("not test_set")
+    return grid_search_ts(df, feature_names(df), QUERY_GRID)[0]
 
 
 def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that was saved and loaded again."""
-    df = _table(spark, sf_dir).persist()
+    df = _stored_table(spark, sf_dir)
     names, path = feature_names(df), f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     fit_tree_model(df.filter("not test_set"), names, max_iter=5).save(path)
     return batch_score(PipelineModel.load(path), df.filter("test_set"), names)
 
 
+def new_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows scored from stored states alone."""
+    df, path = tables.readings_split(spark, sf_dir), f"{shared_dir(spark)}/scorer-{uuid.uuid4().hex}"
+    fit_scorer(df, tables.edges(spark, df), path, config=BuildConfig(lags=6), max_iter=5)
+    return score_rows(df.filter("test_set"), load_scorer(spark, path))
+
+
 def states_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, path = tables.readings_split(spark, sf_dir), f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
     save_states(fit_states(df.filter("not test_set")), path)

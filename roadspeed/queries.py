@@ -25,6 +25,7 @@ from .streaming import stream as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SPECS: dict[str, str] = {}
 
 _KEYS = "sensor_id date@t "
 _W = " WINDOW w AS (PARTITION BY sensor_id ORDER BY date)"
@@ -52,6 +53,7 @@ def _select(spec: str) -> str:
 
 def add(name: str, spec: str, fn: Callable[[SparkSession, str], DataFrame], ctes: str | None = None, body: str = "") -> None:
     """Register a query; ``body`` is the SQL of its rows, after the common table expressions."""
+    SPECS[name] = spec
     QUERIES[name] = lambda spark, sf_dir: _shown(fn(spark, sf_dir), spec)
     if ctes is not None:
         ORACLE_SQL[name] = f"WITH {ctes}, result AS ({body}) SELECT {_select(spec)} FROM result"
@@ -387,6 +389,7 @@ add(
 add("fit_tree_model", _KEYS + "prediction@d target@d", J.fit_query)
 add("grid_search_ts", "max_depth@i step_size@d max_iter@i mae@d best", J.grid_query)
 add("batch_score", _KEYS + "y_pred_total@d", J.score_query)
+add("score_new_rows", "input_time@t sensor_id prediction_time@t y_pred_delta@d y_pred_total@d", J.new_rows_query)
 add("fit_apply_states", _KEYS + "sensor_uid@i is_congested@i is_outlier@i", J.states_query, T.SPLIT + _CONG + ", u AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS uid FROM (SELECT DISTINCT sensor_id FROM split WHERE NOT test_set)), q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT c.sensor_id, c.date, coalesce(uid, -1) AS sensor_uid, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong c LEFT JOIN u USING (sensor_id), q WHERE test_set")
 _DRIFT = T.PREDICTIONS + ", p AS (SELECT * FROM predictions WHERE model = 'drift' AND horizon = 1)"
 add("prediction_frame", "input_time@t sensor_id prediction_time@t y_pred_delta@d y_pred_total@d", lambda s, d: P.prediction_frame(_drift(s, d).withColumn("delta", F.col("y_pred") - F.col("value")), "delta", 60), _DRIFT, "SELECT date AS input_time, sensor_id, date + INTERVAL 1 HOUR AS prediction_time, y_pred - value AS y_pred_delta, y_pred - value + value AS y_pred_total FROM p")
@@ -453,9 +456,44 @@ add("compare_models", "model horizon@i " + _MSPEC, lambda s, d: P.compare_models
 add("metrics_long", "type model metric value@d", lambda s, d: P.metrics_long(P.series_metrics(T.predictions(s, d), ["model"]), "test", ["model"]), T.PREDICTIONS + f", b AS (SELECT model, {_SERIES} FROM predictions GROUP BY 1)", " UNION ALL ".join(f"SELECT 'test' AS type, model, '{m}' AS metric, {m} AS value FROM b" for m in ("mae", "rmse", "mape", "smape")))
 
 # 2.12 Streaming
-add("stream_grid", _KEYS + "value@d", ST.grid_query, T.IRREGULAR + ", hours AS (SELECT sensor_id, date_trunc('hour', date) AS date, avg(value) AS value FROM irregular GROUP BY 1, 2)", "SELECT * FROM hours WHERE date + INTERVAL 1 HOUR <= (SELECT max(date) FROM irregular) - INTERVAL 1 HOUR")
-add("stream_flags", _KEYS + "is_congested@i is_outlier@i", ST.flags_query, T.SPLIT + _CONG + ", q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT sensor_id, date, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong, q")
+# Rows arrive in three slices, some late, some twice; what the watermark has passed by the slices before is dropped.
+_ARRIVE = """, arrivals AS (
+        SELECT * FROM (SELECT *, least(2, (day(date) - 1) // 10 + ({n} % 20 = 0)::int) AS slice, {n} AS n FROM {rows})
+        UNION ALL SELECT * FROM (SELECT *, least(2, (day(date) - 1) // 10 + ({n} % 20 = 0)::int) AS slice, {n} AS n FROM {rows}) WHERE n % 25 = 1
+    ), tops AS (SELECT slice, max(date) AS top FROM arrivals GROUP BY 1), marks AS (SELECT s.slice, max(t.top) AS passed FROM (SELECT unnest([0, 1, 2]) AS slice) s LEFT JOIN tops t ON t.slice < s.slice GROUP BY 1)"""
 add(
-    "stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS + ", s AS (SELECT sensor_id, date, row_number() OVER w AS rn, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM readings" + _W + ")",
-    "SELECT * FROM s WHERE rn > 2",
+    "stream_grid", _KEYS + "value@d", ST.grid_query, T.IRREGULAR + _ARRIVE.format(rows="irregular", n="event_id")
+    + ", hours AS (SELECT sensor_id, date_trunc('hour', date) AS date, avg(value) AS value FROM arrivals JOIN marks USING (slice) WHERE passed IS NULL OR date_trunc('hour', date) + INTERVAL 1 HOUR > passed - INTERVAL 1 HOUR GROUP BY 1, 2)",
+    "SELECT * FROM hours WHERE date + INTERVAL 1 HOUR <= (SELECT max(date) FROM irregular) - INTERVAL 1 HOUR",
 )
+add("stream_flags", _KEYS + "is_congested@i is_outlier@i", ST.flags_query, T.SPLIT + _CONG + ", q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT sensor_id, date, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong, q")
+_IN_ORDER = _ARRIVE.format(rows="readings", n="(epoch(date)::bigint // 3600 + sensor_id[2:3]::int)") + """, seen AS (
+        SELECT s.slice, r.sensor_id, max(a.date) AS last FROM (SELECT unnest([0, 1, 2]) AS slice) s CROSS JOIN (SELECT DISTINCT sensor_id FROM readings) r LEFT JOIN arrivals a ON a.sensor_id = r.sensor_id AND a.slice < s.slice GROUP BY 1, 2
+    ), taken AS (
+        SELECT DISTINCT a.sensor_id, a.date, a.value FROM arrivals a JOIN marks USING (slice) JOIN seen ON seen.slice = a.slice AND seen.sensor_id = a.sensor_id
+        WHERE (last IS NULL OR a.date > last) AND (passed IS NULL OR a.date > passed - INTERVAL 1 DAY)
+    ), s AS (SELECT sensor_id, date, row_number() OVER w AS rn, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM taken""" + _W + ")"
+add("stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS + _IN_ORDER, "SELECT * FROM s WHERE rn > 2")
+add("stream_model_score", "input_time@t sensor_id prediction_time@t y_pred_total@d", ST.model_query)
+
+# The same over suppliers as sensors, whose number and length grow with the tables
+_LARGE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "smooth_speeds": C.smooth_speeds,
+    "lag_features": X.lag_features,
+    "create_target": lambda df: X.create_target(df, 3),
+    "rolling_slope": X.rolling_slope,
+    "rolling_volatility": X.rolling_volatility,
+    "rolling_extrema": X.rolling_extrema,
+    "rolling_context": X.rolling_context,
+    "ewma_mean_slope": X.ewma_mean_slope,
+    "seq_windows": lambda df: _hist(P.seq_windows(df, 4, 2), "history"),
+}
+
+
+def _on_large(name: str, op: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[f"{name}_large"] = lambda spark, sf_dir: _shown(op(T.readings_large(spark, sf_dir)), SPECS[name])
+    ORACLE_SQL[f"{name}_large"] = ORACLE_SQL[name].replace(T.READINGS, T.READINGS_LARGE)
+
+
+for _name, _op in _LARGE.items():
+    _on_large(_name, _op)

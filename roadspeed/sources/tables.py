@@ -104,6 +104,9 @@ READINGS = """readings AS (
     SELECT 'S' || lpad((user_id % 8)::varchar, 2, '0') AS sensor_id, date_trunc('hour', ts) AS date,
            round(sum(round(value * 100)::bigint) / (100.0 * count(*)), 4)::double AS value
     FROM events GROUP BY 1, 2)"""
+READINGS_LARGE = """readings AS (
+    SELECT l_suppkey::varchar AS sensor_id, l_shipdate::timestamp AS date, round(sum(round(l_quantity * 100)::bigint) / (100.0 * count(*)), 4)::double AS value
+    FROM lineitem GROUP BY 1, 2)"""
 FULL = READINGS + """, readings_full AS (
     SELECT s.sensor_id, g.date, r.value
     FROM (SELECT 'S' || lpad(i::varchar, 2, '0') AS sensor_id FROM range(8) t(i)) s

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import features, predict
 from ..operators.base import COLS, Cols
 from ..plans import jobs
 from ..sources import tables
@@ -27,16 +29,21 @@ def stream_flags(readings: DataFrame, states: dict[str, DataFrame], cols: Cols =
     return jobs.apply_states(readings, states, cols)
 
 
-def stream_score(readings: DataFrame, lags: int = 2, drift: float = 0.5, cols: Cols = COLS) -> DataFrame:
-    """sensor, date, value, lag1.., y_pred of a drift model once a sensor has ``lags`` earlier rows.
+def stream_lags(readings: DataFrame, lags: int = 2, late: str = "1 day", expire: str = "30 days", cols: Cols = COLS) -> DataFrame:
+    """sensor, date, value, lag1.. of arriving rows, once a sensor has ``lags`` earlier rows.
 
     The state of a sensor is its last ``lags`` values and the last date. Rows of a batch are taken in order of time; a row
-    that is not newer than the last date is dropped, so lags never run backwards.
+    that is not newer than the last date is dropped, as are rows that the watermark (``late``) has passed, so lags never run
+    backwards. The state of a sensor that has been silent for ``expire`` of event time goes; it then begins anew.
     """
     names = [f"lag{i}" for i in range(1, lags + 1)]
-    schema = f"{cols.sensor} string, {cols.date} timestamp, {cols.value} double, " + ", ".join(f"{n} double" for n in names) + ", y_pred double"
+    schema = f"{cols.sensor} string, {cols.date} timestamp, {cols.value} double, " + ", ".join(f"{n} double" for n in names)
+    silence = pd.Timedelta(expire)
 
-    def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         rows = pd.concat(list(frames)).sort_values(cols.date, kind="stable")
         out = []
@@ -44,29 +51,77 @@ def stream_score(readings: DataFrame, lags: int = 2, drift: float = 0.5, cols: C
             if last is not None and date <= last:
                 continue
             if len(held) == lags:
-                out.append((key[0], date, value, *held, value + drift * (value - held[0])))
+                out.append((key[0], date, value, *held))
             held, last = [value, *held][:lags], date
         state.update((held, last))
+        due = int((pd.Timestamp(last, tz="UTC") + silence).timestamp() * 1000)
+        if due > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due)
         if out:
-            yield pd.DataFrame(out, columns=[cols.sensor, cols.date, cols.value, *names, "y_pred"])
+            yield pd.DataFrame(out, columns=[cols.sensor, cols.date, cols.value, *names])
+
+    grouped = readings.select(cols.sensor, cols.date, cols.value).withWatermark(cols.date, late).groupBy(cols.sensor)
+    return grouped.applyInPandasWithState(advance, schema, "held array<double>, last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_score(readings: DataFrame, lags: int = 2, drift: float = 0.5, cols: Cols = COLS) -> DataFrame:
+    """Those, and y_pred of a drift model."""
+    return stream_lags(readings, lags, cols=cols).withColumn("y_pred", F.col(cols.value) + F.lit(drift) * (F.col(cols.value) - F.col("lag1")))
+
+
+def lag_table(df: DataFrame, lags: int, horizon: int | None = None, cols: Cols = COLS) -> DataFrame:
+    """The rows of ``stream_lags`` from a table, with the target if a horizon is given: what a streaming model is fitted on."""
+    s = cols.series()
+    out = df.select(cols.sensor, cols.date, cols.value).withColumns({f"lag{i}": F.lag(cols.value, i).over(s) for i in range(1, lags + 1)} | {"_n": F.row_number().over(s)})
+    out = out if horizon is None else out.withColumn("target", F.lead(cols.value, horizon).over(s) - F.col(cols.value)).filter("target is not null")
+    return out.filter(F.col("_n") > lags).drop("_n")
+
+
+def model_features(df: DataFrame, lags: int, cols: Cols = COLS) -> DataFrame:
+    """Features by row alone, on tables and streams: relative differences and the calendar."""
+    value = F.col(cols.value)
+    relative = {f"relative_diff_lag{i}": (value - F.col(f"lag{i}")) / (F.col(f"lag{i}") + F.lit(1e-5)) for i in range(1, lags + 1)}
+    return features.calendar_features(df.withColumns(relative), cols)
+
+
+def fit_stream_model(train: DataFrame, path: str, lags: int = 2, horizon: int = 1, cols: Cols = COLS) -> None:
+    """Fit the tree model on the features that a stream can have, and store it."""
+    table = model_features(lag_table(train, lags, horizon, cols), lags, cols)
+    jobs.fit_tree_model(table, model_names(lags, cols), max_iter=5).write().overwrite().save(path)
 
-    grouped = readings.select(cols.sensor, cols.date, cols.value).groupBy(cols.sensor)
-    return grouped.applyInPandasWithState(score, schema, "held array<double>, last timestamp", "append", GroupStateTimeout.NoTimeout)
+
+def model_names(lags: int, cols: Cols = COLS) -> list[str]:
+    return [cols.value, "hour", "day", *[f"relative_diff_lag{i}" for i in range(1, lags + 1)]]
+
+
+def stream_model_score(readings: DataFrame, model: PipelineModel, lags: int = 2, horizon_min: int = 60, cols: Cols = COLS) -> DataFrame:
+    """Prediction frame of arriving rows by a stored model: lags from the state of their sensor, then features and trees row by row."""
+    table = model_features(stream_lags(readings, lags, cols=cols), lags, cols)
+    return predict.prediction_frame(jobs.batch_score(model, table, model_names(lags, cols), cols), "prediction", horizon_min, cols)
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:
-    """Run a stream over what its source holds, into Parquet, and read the result."""
+    """Run a stream over what its source holds, into Parquet, and read the result. Run again with the same path, it goes on from where it stopped."""
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def replay(df: DataFrame, path: str, files: int = 3, cols: Cols = COLS) -> DataFrame:
-    """A stream that reads the rows file by file in order of time."""
-    spark = df.sparkSession
-    ranked = df.repartitionByRange(files, cols.date).sortWithinPartitions(cols.date)
-    ranked.write.parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+def run_arrivals(df: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, slices: int = 3) -> DataFrame:
+    """The result of a stream whose rows arrive by their column ``slice``: each slice is written, in as many files as Spark makes of it, and the stream is started again."""
+    spark, out = df.sparkSession, None
+    schema = df.drop("slice").schema
+    for k in range(slices):
+        df.filter(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{path}/in")
+        out = run_available(build(spark.readStream.schema(schema).parquet(f"{path}/in")), path)
+    return out
+
+
+def arrivals(df: DataFrame, number: Column, cols: Cols = COLS) -> DataFrame:
+    """A month in three slices of ten days; every 20th row comes a slice late, every 25th twice."""
+    k = F.floor((F.dayofmonth(cols.date) - 1) / 10)
+    slice_ = F.least(F.lit(2), k + (number % 20 == 0).cast("int")).cast("int")
+    return df.withColumns({"slice": slice_, "_times": F.when(number % 25 == 1, 2).otherwise(1)}).withColumn("_t", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_t")
 
 
 def _path(spark: SparkSession) -> str:
@@ -74,17 +129,28 @@ def _path(spark: SparkSession) -> str:
 
 
 def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path(spark)
-    rows = tables.readings_irregular(spark, sf_dir).select("sensor_id", "date", "value")
-    return run_available(stream_grid(replay(rows, path, 1)), path)
+    rows = arrivals(tables.readings_irregular(spark, sf_dir), F.col("event_id")).select("sensor_id", "date", "value", "slice")
+    return run_arrivals(rows, stream_grid, _path(spark))
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly readings as they arrive; the number of a row is that of its hour and sensor."""
+    number = F.floor(F.unix_seconds("date") / 3600) + F.substring("sensor_id", 2, 2).cast("int")
+    return arrivals(tables.readings(spark, sf_dir), number)
 
 
 def flags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, df = _path(spark), tables.readings_split(spark, sf_dir)
     jobs.save_states(jobs.fit_states(df.filter("not test_set")), f"{path}/states")
-    return run_available(stream_flags(replay(df, path), jobs.load_states(spark, f"{path}/states")), path)
+    rows = df.withColumn("slice", F.floor((F.dayofmonth("date") - 1) / 10).cast("int"))
+    return run_arrivals(rows, lambda stream: stream_flags(stream, jobs.load_states(spark, f"{path}/states")), path)
 
 
 def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_arrivals(_hours(spark, sf_dir), stream_score, _path(spark))
+
+
+def model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark)
-    return run_available(stream_score(replay(tables.readings(spark, sf_dir), path, 1)), path)
+    fit_stream_model(tables.readings_split(spark, sf_dir).filter("not test_set"), f"{path}/model")
+    return run_arrivals(_hours(spark, sf_dir), lambda stream: stream_model_score(stream, PipelineModel.load(f"{path}/model")), path)
