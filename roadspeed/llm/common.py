@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.base import shared_dir
+
 #: Words of the contracts: runs of anything but ASCII white space. ``bytes.split()`` cuts at just these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
