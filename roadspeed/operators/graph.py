@@ -78,15 +78,15 @@ def upstream_shifted(df: DataFrame, taus: DataFrame, slopes: tuple[int, ...] = (
 
     s = cols.series()
     series = numbered(df.select(cols.sensor, cols.date, cols.value), cols)
-    series = series.withColumns({"speed": F.col(cols.value), "delta1": F.col(cols.value) - F.lag(cols.value).over(s)} | {f"slope{w}": slope(w, cols) for w in slopes})
-    names = ["speed", "delta1", *[f"slope{w}" for w in slopes]]
+    series = series.withColumns({"speed": F.col(cols.value), "delta1": F.col(cols.value) - F.lag(cols.value).over(s)} | {f"slope_w{w}": slope(w, cols) for w in slopes})
+    names = ["speed", "delta1", *[f"slope_w{w}" for w in slopes]]
     # Row rn of the upstream series shows what it held at row rn - tau: move the values tau rows on, one equi-join for all pairs.
     pairs = taus.filter(F.col("k") <= n)
     moved = series.withColumnRenamed(cols.sensor, "upstream").join(pairs, "upstream").select("sensor_id", "k", "upstream", (F.col("_row") + F.col("tau")).alias("_row"), *names)
     stamped = series.select(F.col(cols.sensor).alias("upstream"), "_row", cols.date)
     shown = moved.join(stamped, ["upstream", "_row"])
-    wide = shown.groupBy(F.col("sensor_id").alias(cols.sensor), cols.date).agg(*[F.max(F.when(F.col("k") == k, F.col(x))).alias(f"up{k}_{x}_tau") for k in range(1, n + 1) for x in names])
-    new = [c for c in wide.columns if c.endswith("_tau")]
+    wide = shown.groupBy(F.col("sensor_id").alias(cols.sensor), cols.date).agg(*[F.max(F.when(F.col("k") == k, F.col(x))).alias(f"up{k}_shift_{x}") for k in range(1, n + 1) for x in names])
+    new = [c for c in wide.columns if c not in (cols.sensor, cols.date)]
     return df.join(wide, [cols.sensor, cols.date], "left").withColumns({c: F.coalesce(c, F.lit(fill)) for c in new})
 
 

@@ -249,9 +249,9 @@ _TAU = ", flow AS (SELECT sensor_id, quantile_cont(value, 0.95) AS f FROM readin
 add("upstream_travel_time", "sensor_id k@i upstream free_flow@d tau@i", lambda s, d: G.upstream_travel_time(T.readings(s, d), _edges(s, d)), T.EDGES + _TAU.format(unit="1000.0"), "SELECT * FROM taus")
 _UP = ", series AS (SELECT *, row_number() OVER w AS rn, value - lag(value) OVER w AS delta1, CASE WHEN count(value) OVER w3 = 3 THEN regr_slope(value, rn0) OVER w3 END AS slope3 FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY date) AS rn0 FROM readings) WINDOW w AS (PARTITION BY sensor_id ORDER BY date), w3 AS (PARTITION BY sensor_id ORDER BY date ROWS 2 PRECEDING)), moved AS (SELECT t.sensor_id, b.date, a.value, a.delta1, a.slope3 FROM taus t JOIN series a ON a.sensor_id = t.upstream JOIN series b ON b.sensor_id = t.upstream AND b.rn = a.rn + t.tau WHERE t.k = 1)"
 add(
-    "upstream_shifted", _KEYS + "up1_speed_tau@d up1_delta1_tau@d up1_slope3_tau@d",
+    "upstream_shifted", _KEYS + "up1_shift_speed@d up1_shift_delta1@d up1_shift_slope_w3@d",
     lambda s, d: G.upstream_shifted(T.readings(s, d), G.upstream_travel_time(T.readings(s, d), _edges(s, d), as_km=True, cap_minutes=5), (3,)), T.EDGES + _TAU.format(unit="1.0").replace("30.0", "5.0") + _UP,
-    "SELECT r.sensor_id, r.date, coalesce(m.value, -1) AS up1_speed_tau, coalesce(m.delta1, -1) AS up1_delta1_tau, coalesce(m.slope3, -1) AS up1_slope3_tau FROM readings r LEFT JOIN moved m ON m.sensor_id = r.sensor_id AND m.date = r.date",
+    "SELECT r.sensor_id, r.date, coalesce(m.value, -1) AS up1_shift_speed, coalesce(m.delta1, -1) AS up1_shift_delta1, coalesce(m.slope3, -1) AS up1_shift_slope_w3 FROM readings r LEFT JOIN moved m ON m.sensor_id = r.sensor_id AND m.date = r.date",
 )
 _LOOK = """, l0 AS (SELECT *, date + INTERVAL 1 HOUR - to_days(CASE WHEN isodow(date) = 1 THEN 3 WHEN isodow(date) >= 6 THEN 7 ELSE 1 END) AS a, CASE WHEN isodow(date) = 7 THEN date + INTERVAL 1 HOUR - to_days(1) END AS b FROM readings),
     look AS (SELECT l0.*, CASE WHEN r.date IS NULL THEN coalesce(b, a) ELSE a END AS t FROM l0 LEFT JOIN readings r ON r.sensor_id = l0.sensor_id AND r.date = l0.a)"""
