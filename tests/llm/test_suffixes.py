@@ -95,3 +95,36 @@ def test_suffix_array_and_prefixes():
             k += 1
         assert before[b] == a
         assert prefix[b] == k
+
+
+def test_planted_passages(spark):
+    """Passages of 400 bytes or more go wherever they repeat; shorter ones, and documents with text of their own, stay whole."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short = [text(r.randint(70, 200)) for _ in range(30)], [text(52) for _ in range(10)]
+    assert min(map(len, long)) >= 400 > max(map(len, short))
+    docs = [(("long", k), f"{text(90)} {p} {text(60)}") for k, p in enumerate(long) for _ in range(r.randint(2, 5))]
+    docs += [(("short", k), f"{text(90)} {p} {text(60)}") for k, p in enumerate(short) for _ in range(3)]
+    docs += [(("own", k), text(200)) for k in range(100)]
+    found = {x.doc_id: x for x in suffixes.remove_repeats(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")).collect()}
+    for i, ((kind, k), t) in enumerate(docs):
+        gone = t.encode()[found[i].spans[0].start : found[i].spans[0].end].decode() if found[i].spans else ""
+        assert (long[k] in gone if kind == "long" else not gone), (kind, k)
+
+
+def test_ranges_that_are_sorted():
+    """Of units with one anchor, only ranges of windows whose shared bytes occur twice are kept; what repeats is among them."""
+    r = random.Random(4)
+    some = lambda n: bytes(r.choice(b"abcd") for _ in range(n))
+    core, rows = some(500), []
+    for k in range(6):
+        body = some(300) + core[: r.randint(100, 500)] + some(300) if k % 2 else some(300) + core + some(300)
+        rows.append((bytes([k]), 0, len(body) - 399, 320, False, body))
+    kept = {(key, first + i) for key, first, n, _, _ in suffixes.likely_runs(rows, 400) for i in range(n)}
+    windows = Counter(row[5][i : i + 400] for row in rows for i in range(row[2]))
+    again = {(row[0], i) for row in rows for i in range(row[2]) if windows[row[5][i : i + 400]] > 1}
+    assert again and again <= kept
+    assert len(kept) < sum(row[2] for row in rows)
+    for key, first, n, _, part in suffixes.likely_runs(rows, 400):
+        assert part == rows[key[0]][5][first : first + n + 399]
