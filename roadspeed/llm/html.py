@@ -23,7 +23,6 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -223,8 +222,8 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
 
 
 def _key(e: _Element) -> int:
-    """The hash that is counted, as a signed long: that of the subtree, and whether it is inside an article."""
-    h = e.digest ^ (0x9E3779B97F4A7C15 if e.main else 0)
+    """The hash that is counted, as a signed long: that of the subtree; its last bit says whether it is inside an article."""
+    h = e.digest & ~1 | e.main
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -243,24 +242,20 @@ def main_text(html: str, templates: set[int]) -> tuple[str, int]:
     return "\n\n".join(t for t, main in left if main or not only), n
 
 
-_SCHEMA = "host string, section string, text_hash long, inside boolean, hash long"
+_SCHEMA = "host string, section string, text_hash long, hashes array<long>"
 
 
 def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, section, text_hash (of the page's text), inside (an article), hash: the different subtrees of each page."""
+    """host, section, text_hash (of the page's text), hashes of the different subtrees, for each page row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, inside, hashes, counts = [], [], [], []
+            texts, hashes = [], []
             for html in batch.column(2):
                 blocks, elements = parse(html.as_py() or "")
-                found = {_key(e): e.main for e in elements}
                 texts.append(xxhash.xxh64_intdigest("\n\n".join(t for t, _ in blocks)) - (1 << 63))
-                inside += found.values()
-                hashes += found
-                counts.append(len(found))
-            of = pa.array(np.repeat(np.arange(len(counts)), counts))
-            columns = [*(c.take(of) for c in (batch.column(0), batch.column(1), pa.array(texts, pa.int64()))), pa.array(inside, pa.bool_()), pa.array(hashes, pa.int64())]
+                hashes.append(list({_key(e) for e in elements}))
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
 
     return pages.select(host_of(F.col(url_col)).alias("_h"), section_of(F.col(url_col)).alias("_s"), html_col).mapInArrow(run, _SCHEMA)
@@ -274,10 +269,12 @@ def templates(trees: DataFrame, min_pages: int = 10, share: float = 0.2, inside_
     pages = trees.select("host", "section", "text_hash").distinct()
     by_section = pages.groupBy("host", "section").agg(F.count("*").alias("_ps"))
     by_host = by_section.groupBy("host").agg(F.sum("_ps").alias("_ph"))
-    counts = trees.distinct().groupBy("host", "section", "inside", "hash").agg(F.count("*").alias("n"))
-    often = counts.groupBy("host", "inside", "hash").agg(F.sum("n").alias("n"), F.max_by("section", F.struct("n", "section")).alias("section"), F.max("n").alias("ns"))
+    rows = trees.select("host", "section", "text_hash", F.explode("hashes").alias("hash")).distinct()
+    counts = rows.groupBy("host", "section", "hash").agg(F.count("*").alias("n"))
+    often = counts.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.max_by("section", F.struct("n", "section")).alias("section"), F.max("n").alias("ns"))
     often = often.filter(F.col("n") >= min_pages).join(by_host, "host").join(by_section, ["host", "section"])
-    of_host = F.col("n") >= F.col("_ph") * F.when(F.col("inside"), inside_share).otherwise(share)
+    inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    of_host = F.col("n") >= F.col("_ph") * F.when(inside, inside_share).otherwise(share)
     of_section = (F.col("ns") >= min_pages) & (F.col("ns") >= F.col("_ps") * inside_share)
     return often.filter(of_host | of_section).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
@@ -286,7 +283,8 @@ def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.2, inside_share: float = 0.5
 ) -> DataFrame:
     """One row per page row: id, url, text, n_chars, n_templates (outermost subtrees that went with the site's template)."""
-    found = cut(templates(subtrees(pages, url_col, html_col), min_pages, share, inside_share).withColumnRenamed("host", "_host"))
+    trees = cut(subtrees(pages, url_col, html_col))  # read twice
+    found = cut(templates(trees, min_pages, share, inside_share).withColumnRenamed("host", "_host"))
     found = F.broadcast(found) if (found.agg(F.sum(F.size("hashes") + 8)).first()[0] or 0) <= BROADCAST_HASHES else found
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     met = rows.join(found, host_of(F.col("_url")) == F.col("_host"), "left").select("_id", "_url", "_html", "hashes")
