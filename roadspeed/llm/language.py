@@ -236,7 +236,7 @@ def cross_parse(texts: list[str], model: Model, segment: int = SEGMENT) -> tuple
 
 
 def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
-    """Language and score of each text, in parts of about two million characters."""
+    """Language and score of each text, in parts of about a million characters."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     part: list[int] = []
 
@@ -254,7 +254,7 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
             continue
         part.append(i)
         chars += len(t)
-        if chars >= 2_000_000:
+        if chars >= 1_000_000:
             flush()
             chars = 0
     flush()

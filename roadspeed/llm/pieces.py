@@ -39,7 +39,7 @@ SPACE = "▁"
 #: Fixed value: what the public library takes off the lowest score for a character without a piece.
 _UNKNOWN_PENALTY = 10.0
 #: Pairs of tokens and short stretches that a worker remembers.
-_KEPT = 1_000_000
+_KEPT = 100_000
 
 Edge = tuple[int, int, tuple[int, ...], float]
 
