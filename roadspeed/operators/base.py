@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ class Cols:
 COLS = Cols()
 
 
+def in_chunks(df: DataFrame, op: Callable[[DataFrame, Cols], DataFrame], hours: int, before: int, after: int = 0, cols: Cols = COLS) -> DataFrame:
+    """An operator by (sensor, chunk of time) in place of sensor, so that a long sensor is work for many tasks.
+
+    Each chunk of ``hours`` also gets the rows of the ``before`` and ``after`` hours around it; they must hold as many rows as
+    the operator looks back and ahead. Rows keep the columns that the operator adds.
+    """
+    size, t = hours * 3600, F.unix_seconds(cols.date)
+    first, last = F.floor((t - after * 3600) / size), F.floor((t + before * 3600) / size)
+    rows = df.withColumns({"_own": F.floor(t / size), "_chunk": F.explode(F.sequence(first, last))})
+    done = op(rows.withColumn("_part", F.concat_ws("\x00", cols.sensor, "_chunk")), replace(cols, sensor="_part"))
+    return done.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk", "_part")
+
+
 def minutes(n: int | Column) -> Column:
     """An interval of n minutes."""
     return F.make_dt_interval(mins=F.lit(n) if isinstance(n, int) else n)

@@ -174,9 +174,35 @@ def _against(value: str, frame, w: int) -> dict[str, Column]:
     return {f"dev_{w}": v - mean, f"z_{w}": F.coalesce(F.try_divide(v - mean, std), F.lit(0.0)), f"ratio_{w}": F.try_divide(v, mean)}
 
 
+#: Rows of a frame from which running sums take the place of summing each frame anew.
+LONG_FRAME = 200
+
+
+def _running_context(df: DataFrame, windows: list[int], cols: Cols) -> DataFrame:
+    """``_against`` for long frames: sums and sums of squares from the start of the sensor, less those of w rows before.
+
+    Values are taken relative to the sensor's first one, so that the differences of the sums keep their digits.
+    """
+    s = cols.series()
+    up_to = s.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_c", F.col(cols.value) - F.first(cols.value, ignorenulls=True).over(up_to))
+    out = out.withColumns({"_s1": F.coalesce(F.sum("_c").over(up_to), F.lit(0.0)), "_s2": F.coalesce(F.sum(F.col("_c") * F.col("_c")).over(up_to), F.lit(0.0)), "_n": F.count("_c").over(up_to)})
+    back = {f"{x}_{w}": F.col(x) - F.lag(x, w, 0).over(s) for w in windows for x in ("_s1", "_s2", "_n")}
+    out, new = out.withColumns(back), {}
+    for w in windows:
+        total, squares, n = (F.col(f"{x}_{w}") for x in ("_s1", "_s2", "_n"))
+        centre = F.try_divide(total, n)
+        mean, off = F.col(cols.value) - F.col("_c") + centre, F.col("_c") - centre
+        std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * centre) / (n - 1))))
+        new |= {f"dev_{w}": off, f"z_{w}": F.coalesce(F.try_divide(off, std), F.lit(0.0)), f"ratio_{w}": F.try_divide(F.col(cols.value), mean)}
+    return out.withColumns(new).drop("_c", "_s1", "_s2", "_n", *back)
+
+
 def rolling_context(df: DataFrame, windows: tuple[int, ...] = (6, 24), cols: Cols = COLS) -> DataFrame:
     """Deviation, z-score (0 without spread) and ratio against trailing mean and std."""
-    return df.withColumns({k: v for w in windows for k, v in _against(cols.value, cols.trailing(w), w).items()})
+    short, long = [w for w in windows if w <= LONG_FRAME], [w for w in windows if w > LONG_FRAME]
+    out = df.withColumns({k: v for w in short for k, v in _against(cols.value, cols.trailing(w), w).items()}) if short else df
+    return _running_context(out, long, cols) if long else out
 
 
 def network_context(df: DataFrame, windows: tuple[int, ...] = (6, 24), cols: Cols = COLS) -> DataFrame:

@@ -156,6 +156,20 @@ def apply_states(df: DataFrame, states: dict[str, DataFrame], cols: Cols = COLS)
     return features.outlier_flag(features.congestion_flag(out, states["congestion"], cols=cols), states["outlier"], cols)
 
 
+def residual_workflow(df: DataFrame, names: list[str], test_size: float = 0.5, threshold: float | None = None, max_depth: int = 4, step_size: float = 0.1, max_iter: int = 10, cols: Cols = COLS) -> DataFrame:
+    """A second model on the errors of a first: fitted on the earlier rows, applied to the later ones, metrics before and after.
+
+    df: predictions (keys, value, y, y_pred) with the features ``names``; ``model_pred`` and ``model_delta`` are added to them.
+    """
+    table = predict.residual_table(df, cols=cols)
+    parts = split.flag_test_set(table, test_size, cols=cols)
+    used = [*names, "model_pred", "model_delta"]
+    model = fit_tree_model(parts.filter(~F.col(cols.test)), used, "residual_target", max_depth, step_size, max_iter)
+    later = batch_score(model, parts.filter(F.col(cols.test)), used, cols)
+    corrected = predict.residual_correction(later, "prediction", threshold)
+    return predict.compare_corrections(later, corrected.withColumn("y_pred", F.col("y_corr")))
+
+
 # A stored scorer: what new rows need to be scored as in training
 @dataclass(frozen=True)
 class Scorer:

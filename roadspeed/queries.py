@@ -18,6 +18,7 @@ from .operators import graph as G
 from .operators import predict as P
 from .operators import shape as H
 from .operators import split as S
+from .operators.base import in_chunks
 from .plans import jobs as J
 from .sources import io as IO
 from .sources import tables as T
@@ -286,6 +287,10 @@ add(
 add("lag_features", _KEYS + " ".join(f"relative_diff_lag{i}@d" for i in range(1, 26)), lambda s, d: X.lag_features(T.readings(s, d)), T.READINGS, "SELECT sensor_id, date, " + ", ".join(f"coalesce((value - lag(value, {i}) OVER w) / (lag(value, {i}) OVER w + 1e-5), -1) AS relative_diff_lag{i}" for i in range(1, 26)) + " FROM readings" + _W)
 add("lag_features_absolute", _KEYS + "diff_lag1@d diff_lag2@d", lambda s, d: X.lag_features(T.readings_irregular(s, d).groupBy("sensor_id", "date").agg(F.max("value").alias("value")), 2, relative=False), T.IRREGULAR + ", i AS (SELECT sensor_id, date, max(value) AS value FROM irregular GROUP BY 1, 2)", "SELECT sensor_id, date, coalesce(lag(value) OVER w - value, -1) AS diff_lag1, coalesce(lag(value, 2) OVER w - value, -1) AS diff_lag2 FROM i" + _W)
 _TARGET = ", t0 AS (SELECT *, lead(value, 3) OVER w AS total, lead(date, 3) OVER w AS pt FROM readings" + _W + ")"
+add(
+    "lag_features_chunked", _KEYS + " ".join(f"relative_diff_lag{i}@d" for i in range(1, 4)), lambda s, d: in_chunks(T.readings(s, d), lambda df, cols: X.lag_features(df, 3, cols=cols), 120, 240), T.READINGS,
+    "SELECT sensor_id, date, " + ", ".join(f"coalesce((value - lag(value, {i}) OVER w) / (lag(value, {i}) OVER w + 1e-5), -1) AS relative_diff_lag{i}" for i in range(1, 4)) + " FROM readings" + _W,
+)
 add("create_target", _KEYS + "target_total_speed@d target_speed_delta@d target@d prediction_time@t", lambda s, d: X.create_target(T.readings(s, d), 3), T.READINGS + _TARGET, "SELECT sensor_id, date, total AS target_total_speed, total - value AS target_speed_delta, total - value AS target, pt AS prediction_time FROM t0 WHERE total IS NOT NULL")
 add("check_monotonic", "sensor_id n_back@i", lambda s, d: C.check_monotonic(T.readings_irregular(s, d), F.col("event_id") % 7), None)
 add("check_monotonic", "sensor_id n_back@i", lambda s, d: C.check_monotonic(T.readings_irregular(s, d).withColumn("arrival", (F.col("event_id") % 7) * 10_000_000 + F.col("event_id")), "arrival"), T.IRREGULAR, "SELECT sensor_id, count(*) AS n_back FROM (SELECT sensor_id, date < lag(date) OVER (PARTITION BY sensor_id ORDER BY event_id % 7, event_id) AS b FROM irregular) WHERE b GROUP BY 1")
@@ -304,6 +309,10 @@ add("minutes_since_below", _KEYS + "minutes_since_below@i", lambda s, d: X.minut
 add("fast_drop_flag", _KEYS + "fast_drop@i", lambda s, d: X.fast_drop_flag(T.readings(s, d), 5, -2.0), T.READINGS + _SLOPE, "SELECT sensor_id, date, (coalesce(s5, -1) < -2)::int AS fast_drop FROM slopes")
 _against = lambda v, k, pre="": f"{v} - avg({v}) OVER x{k} AS {pre}dev_{k}, coalesce(({v} - avg({v}) OVER x{k}) / nullif(CASE WHEN count({v}) OVER x{k} > 1 THEN stddev_samp({v}) OVER x{k} END, 0), 0) AS {pre}z_{k}, {v} / nullif(avg({v}) OVER x{k}, 0) AS {pre}ratio_{k}"
 add("rolling_context", _KEYS + "dev_6@d z_6@d ratio_6@d dev_24@d z_24@d ratio_24@d", lambda s, d: X.rolling_context(T.readings(s, d)), T.READINGS, f"SELECT sensor_id, date, {_against('value', 6)}, {_against('value', 24)} FROM readings WINDOW x6 AS (PARTITION BY sensor_id ORDER BY date ROWS 5 PRECEDING), x24 AS (PARTITION BY sensor_id ORDER BY date ROWS 23 PRECEDING)")
+add(
+    "rolling_context_long", _KEYS + "dev_240@d z_240@d ratio_240@d", lambda s, d: X.rolling_context(T.readings(s, d), (240,)), T.READINGS,
+    f"SELECT sensor_id, date, {_against('value', 240)} FROM readings WINDOW x240 AS (PARTITION BY sensor_id ORDER BY date ROWS 239 PRECEDING)",
+)
 add("network_context", _KEYS + "network_mean@d network_dev_6@d network_z_6@d network_ratio_6@d", lambda s, d: X.network_context(T.readings(s, d), (6,)), T.READINGS + ", m AS (SELECT date, avg(value) AS network_mean FROM readings GROUP BY 1), c AS (SELECT date, network_mean, " + _against("network_mean", 6, "network_") + " FROM m WINDOW x6 AS (ORDER BY date ROWS 5 PRECEDING))", "SELECT * FROM readings JOIN c USING (date)")
 _DYN = f"""RECURSIVE {T.READINGS}, numbered AS (SELECT *, row_number() OVER w AS rn FROM readings{_W}), e AS (
     SELECT sensor_id, date, rn, value AS fast, value AS slow FROM numbered WHERE rn = 1
@@ -454,6 +463,7 @@ add("metrics_plain", "mae@d rmse@d mape@d", lambda s, d: P.metrics_plain(T.step_
 add("compare_corrections", "variant " + _MSPEC, lambda s, d: P.compare_corrections(_oddv(s, d), P.correct_naive(_oddv(s, d))), _ODDV + _NAIVE + ", m AS (SELECT 'raw' AS variant, y, y_pred AS q, abs(y - y_pred) AS ae FROM p UNION ALL SELECT 'corrected', y, y_pred, abs(y - y_pred) FROM c1)", f"SELECT variant, {_METRICS} FROM m GROUP BY 1")
 add("compare_models", "model horizon@i " + _MSPEC, lambda s, d: P.compare_models(T.predictions(s, d)), T.PREDICTIONS + _err("y_pred", "true"), f"SELECT model, horizon, {_METRICS} FROM m GROUP BY 1, 2")
 add("metrics_long", "type model metric value@d", lambda s, d: P.metrics_long(P.series_metrics(T.predictions(s, d), ["model"]), "test", ["model"]), T.PREDICTIONS + f", b AS (SELECT model, {_SERIES} FROM predictions GROUP BY 1)", " UNION ALL ".join(f"SELECT 'test' AS type, model, '{m}' AS metric, {m} AS value FROM b" for m in ("mae", "rmse", "mape", "smape")))
+add("residual_workflow", "variant " + _MSPEC, lambda s, d: J.residual_workflow(X.calendar_features(_drift(s, d)), ["value", "hour", "day"], max_iter=5))
 
 # 2.12 Streaming
 # Rows arrive in three slices, some late, some twice; what the watermark has passed by the slices before is dropped.

@@ -7,7 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from roadspeed.functions import kernels
-from roadspeed.operators import predict, shape
+from roadspeed.operators import base, features, predict, shape
 from roadspeed.plans import jobs
 from roadspeed.sources import io, tables
 from roadspeed.streaming import stream
@@ -149,3 +149,31 @@ def test_training_tables_are_not_built_twice(spark, tmp_path):
     assert jobs._exists(spark, f"{path}/tables/horizon=1")
     jobs.build_training_tables(df.filter("false"), tables.edges(spark, df), path, [1], jobs.BuildConfig(lags=2))
     assert spark.read.parquet(f"{path}/tables").count() > 0
+
+
+def test_chunks_of_time_equal_the_whole_series(spark):
+    """Windows by (sensor, chunk) with rows around each chunk give what windows by sensor give."""
+    df = spark.createDataFrame(series(700), "sensor_id string, date timestamp, value double")
+    for op in (lambda f, c: features.lag_features(f, 5, cols=c), lambda f, c: features.rolling_extrema(f, 10, cols=c), lambda f, c: features.rolling_slope(f, cols=c)):
+        whole, chunked = op(df, base.COLS), base.in_chunks(df, op, hours=2, before=1)
+        assert set(chunked.columns) == set(whole.columns)
+        assert plain(chunked.select(*whole.columns)) == plain(whole)
+    ahead = lambda f, c: f.withColumn("next", F.lead("value", 3).over(c.series()))
+    assert plain(base.in_chunks(df, ahead, 3, 0, 1)) == plain(ahead(df, base.COLS))
+
+
+def test_running_sums_equal_frames(spark):
+    df = spark.createDataFrame(series(700), "sensor_id string, date timestamp, value double")
+    long = features.rolling_context(df, (250,)).toPandas().sort_values(["sensor_id", "date"])
+    short = features._against("value", base.COLS.trailing(250), 250)
+    frames = df.withColumns(short).toPandas().sort_values(["sensor_id", "date"])
+    for c in ("dev_250", "z_250", "ratio_250"):
+        assert np.allclose(long[c].astype(float), frames[c].astype(float), equal_nan=True, atol=1e-8)
+
+
+def test_residual_workflow_corrects_a_bias(spark):
+    rows = [("S0", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), 50.0, 60.0 + i % 3, 55.0 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "sensor_id string, date timestamp, value double, y double, y_pred double")
+    found = {r.variant: r.mae for r in jobs.residual_workflow(df, ["value"], max_iter=20, step_size=0.5).collect()}
+    assert found["raw"] == pytest.approx(5.0)
+    assert found["corrected"] < 1.0
