@@ -5,7 +5,7 @@ is up to three adjacent words. The shift table says, for the block that ends at
 skipped because no pattern can end there; where it says 0, the patterns in the bucket of that block are compared directly.
 
 The benchmark is a stated query set: the driver takes it in blocks of at most ``max_patterns`` patterns, one broadcast
-each, and every block is searched in all documents. Documents are never shuffled.
+each, and every block is searched in all documents, ``BLOCKS`` of them in a pass. Documents are never shuffled.
 
 Defined cases: a null or empty document has no words and no hit; a null or wordless item has no pattern; the words of an
 item without an id are hits, but it cannot be listed and is not counted; an item repeated under one id counts once; repeated
@@ -14,14 +14,20 @@ document rows are judged one by one. Other columns are left out.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW = 13
+#: Blocks of patterns that are searched in one pass over the documents.
+BLOCKS = 2
 #: Bytes of words stay (A-Z in lower case), all others part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -121,47 +127,59 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")))["n"]
 
 
-def _searches(docs: DataFrame, benchmark: DataFrame, text: Column, window: int, max_patterns: int, item_col: str, item_text_col: str) -> list[Column]:
-    """A struct n_words, spans, items for each block of patterns; one empty block if there is no pattern."""
-    sc = docs.sparkSession.sparkContext
+def _searcher(docs: DataFrame, blocks: Sequence[dict[Pattern, list[str]]], text: Column) -> Column:
+    """A struct n_words, spans, items for some blocks of patterns; each text is split into words once."""
+    held = [docs.sparkSession.sparkContext.broadcast(Searcher(b)) for b in blocks]
+
+    def search(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words, spans, items = words_of(t), [], set()
+            for block in held:
+                more, named = block.value.search(words)
+                spans += more
+                items |= named
+            rows.append((len(words), [{"s": s, "e": e} for s, e in spans], sorted(items)))
+        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    def searcher(block: dict[Pattern, list[str]]) -> Column:
-        held = sc.broadcast(Searcher(block))
+    return F.pandas_udf(search, f"n_words long, spans {_SPANS}, items array<string>")(text)
 
-        def search(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t in texts:
-                words = words_of(t)
-                spans, items = held.value.search(words)
-                rows.append((len(words), [{"s": s, "e": e} for s, e in spans], sorted(items)))
-            return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-        return F.pandas_udf(search, f"n_words long, spans {_SPANS}, items array<string>")(text)
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, max_patterns: int, item_col: str, item_text_col: str) -> tuple[DataFrame, list[str]]:
+    """Documents with a struct n_words, spans, items for each pass, and the names of these columns.
 
-    return [searcher(b) for b in pattern_blocks(benchmark, window, max_patterns, item_col, item_text_col)] or [searcher({})]
+    A pass takes ``BLOCKS`` blocks, so that a worker holds no more of the benchmark; between passes the documents are written.
+    """
+    mark, names = uuid.uuid4().hex, []
+    blocks = pattern_blocks(benchmark, window, max_patterns, item_col, item_text_col)
+    while (some := list(islice(blocks, BLOCKS))) or not names:
+        docs = cut(docs) if names else docs
+        names.append(f"_{mark}_{len(names)}")
+        docs = docs.withColumn(names[-1], _searcher(docs, some or [{}], F.col(text_col)))
+    return docs, names
 
 
 def _is_contaminated(n_words: Column, n_hit: Column, share: int) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: Column, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, item_col: str = "item_id", item_text_col: str = "text"
-) -> Column:
-    """Whether at least a ``share``-th of the words of a text is hit, as a column of ``docs``."""
-    found = _searches(docs, benchmark, text, window, max_patterns, item_col, item_text_col)
-    return _is_contaminated(found[0]["n_words"], _covered(F.concat(*[x["spans"] for x in found])), share)
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The documents of whose words less than a ``share``-th is hit, all columns kept."""
+    found, names = _searched(docs, benchmark, text_col, window, max_patterns, item_col, item_text_col)
+    bad = _is_contaminated(F.col(names[0])["n_words"], _covered(F.concat(*[F.col(n)["spans"] for n in names])), share)
+    return found.filter(~bad).drop(*names)
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, max_patterns: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """One row per document row: id, n_words, n_hit, n_items, items (sorted as strings), spans (of words), contaminated (at least a ``share``-th of its words hit)."""
-    searches = _searches(docs, benchmark, F.col("_text"), window, max_patterns, item_col, item_text_col)
-    found = docs.select(F.col(id_col), F.col(text_col).alias("_text")).select(id_col, *[x.alias(f"_b{i}") for i, x in enumerate(searches)])
-    each = lambda field: [F.col(f"_b{i}")[field] for i in range(len(searches))]
+    found, names = _searched(docs.select(F.col(id_col), F.col(text_col).alias("_text")), benchmark, "_text", window, max_patterns, item_col, item_text_col)
+    each = lambda field: [F.col(n)[field] for n in names]
     out = found.select(
-        id_col, F.col("_b0")["n_words"].alias("n_words"), F.concat(*each("spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*each("items")))).alias("items")
+        id_col, F.col(names[0])["n_words"].alias("n_words"), F.concat(*each("spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*each("items")))).alias("items")
     )
     n_hit = _covered(F.col("spans"))
     return out.select(
