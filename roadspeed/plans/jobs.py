@@ -109,7 +109,7 @@ GRID = tuple((d, s, n) for d in (10, 8, 6, 4) for s in (0.1, 0.01) for n in (100
 
 
 def grid_search_ts(
-    df: DataFrame, names: list[str], grid: tuple[tuple[int, float, int], ...] = GRID, k: int = 3, target: str = "target", loss: str = "squared", at_once: int = 4, cols: Cols = COLS
+    df: DataFrame, names: list[str], grid: tuple[tuple[int, float, int], ...] = GRID, k: int = 3, target: str = "target", loss: str = "absolute", at_once: int = 4, cols: Cols = COLS
 ) -> tuple[DataFrame, PipelineModel]:
     """Mean absolute error of every candidate over expanding folds, and the best one fitted again on all rows.
 
