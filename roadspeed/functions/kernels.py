@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from ..operators.base import COLS, Cols
 
-#: Rows after which the variances of a random-walk filter are taken as steady; they settle within some fifty rows.
-STEADY = 256
 #: Longest gap whose rows are told apart; the old weight is nothing by then.
 _GAP = 4096
 
@@ -78,24 +76,25 @@ def ewmas(df: DataFrame, means: dict[str, float], cols: Cols = COLS, value: str
     return _sorted_pass(df, run, list(means), cols=cols)
 
 
-def _forward(y: np.ndarray, mean: float, var: float, q: float, state: tuple[int, float, float] | None) -> tuple[np.ndarray, np.ndarray, tuple[int, float, float]]:
-    """Random-walk filter: means, the gains by which the smoother will go back from the next row, and rows seen, mean, variance so far."""
-    n, m, p = state or (0, mean, var)
+def _forward(y: np.ndarray, mean: float, var: float, q: float, state: tuple[float, float, bool] | None) -> tuple[np.ndarray, np.ndarray, tuple[float, float, bool]]:
+    """Random-walk filter: means, the gains by which the smoother will go back from the next row, and mean, variance, whether the variance is steady."""
+    (m, p, steady), first = state or (mean, var, False), state is None
     out, back = np.empty(len(y)), np.empty(len(y))
     for i in range(len(y)):
-        if n >= STEADY and var:
+        if steady:
             # From here the gain is a constant, and the filter an exponential mean.
             gain = (p + q) / (p + q + var)
             out[i:] = pd.Series(np.concatenate([[m], y[i:]])).ewm(alpha=gain, adjust=False).mean().to_numpy()[1:]
             back[i:] = p / (p + q) if p + q else 0.0
-            return out, back, (n + len(y) - i, float(out[-1]), p)
-        ahead = p + q if n else p
+            return out, back, (float(out[-1]), p, True)
+        ahead = p if first and not i else p + q
         gain = ahead / (ahead + var) if ahead + var else 0.0
         m += gain * (y[i] - m)
-        p = ahead * (1 - gain)
+        after = ahead * (1 - gain)
+        steady = bool(var) and abs(after - p) <= 1e-15 * p
+        p = after
         out[i], back[i] = m, p / (p + q) if p + q else 0.0
-        n += 1
-    return out, back, (n, m, p)
+    return out, back, (m, p, steady)
 
 
 def _backward(m: np.ndarray, back: np.ndarray, after: float | None) -> np.ndarray:
