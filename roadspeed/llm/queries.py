@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, pieces, pii, quality, simhash, suffixes, tokens, warc
+from . import centroids, decontaminate, html, language, mixture, pieces, pii, quality, simhash, suffixes, tokens, warc, whiten
 from .common import read, sha256_hex
 
 
@@ -57,11 +57,82 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out, language.language(docs, model, F.col("text")).alias("_l")).select("doc_id", "held_out", "_l.*")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's ``deviation`` is a long: beyond some millions of vectors it does not fit, and the cast is an error."""
+    return whiten.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture.allot(read(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op7_pieces, op8_warc, op9_suffixes, op10_language)
+    f.__name__: f
+    for f in (op1_quality, op2_decontaminate, op3_token_counts, op4_pii, op5_main_text, op6_simhash, op7_pieces, op8_warc, op9_suffixes, op10_language, op11_centroids, op12_whiten, op13_mixture)
 }
 
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round, by brute force."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = [
+        """
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), x AS MATERIALIZED (
+            SELECT rid, unnest(range(1, 65)) AS i, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x FROM v
+        ), c0 AS MATERIALIZED (
+            SELECT k, i, x AS c FROM (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM v) JOIN x USING (rid) WHERE k < """
+        + f"{k})"
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT rid, k, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY rid, k) GROUP BY rid
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT k, i, coalesce({floor}, c)::BIGINT AS c FROM c{r} LEFT JOIN (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (rid) GROUP BY k, i) USING (k, i)
+        )""")
+    return f"""
+        WITH {", ".join(steps)}, names AS (
+            SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k
+        )
+        SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (rid) JOIN names USING (k)
+    """
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": _centroids_sql(),
+    "op13_mixture": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::BIGINT AS weight FROM d GROUP BY source
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS r, sum(source_size) OVER ()::BIGINT AS whole FROM s
+        ), p AS (
+            -- what is left, by weight, if the sources before this one are cut at three times their size
+            SELECT *, (whole - coalesce(sum(3 * source_size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
+                   (sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS active FROM o
+        ), level AS (
+            SELECT r AS first_free, rest, active FROM p WHERE 3 * source_size * active >= weight * rest ORDER BY r LIMIT 1
+        ), t AS (
+            SELECT source, source_size, CASE WHEN r < first_free THEN (3 * source_size)::DOUBLE ELSE (weight * level.rest)::DOUBLE / level.active::DOUBLE END AS target FROM o, level
+        ), m AS (
+            SELECT doc_id, size, source_size, target, draw, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INTEGER))::BIGINT AS taken FROM m
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS payload_digest FROM pages
