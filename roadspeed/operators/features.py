@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import ewma, ewmas
+from ..functions.kernels import CHUNK_HOURS, ewmas
 from .base import COLS, Cols, minutes
 
 
@@ -127,11 +127,10 @@ def rolling_slope(df: DataFrame, windows: tuple[int, ...] = (5, 10), fill: float
     return numbered(df, cols).withColumns({f"slope_{w}": F.coalesce(slope(w, cols), F.lit(fill)) for w in windows}).drop("_row")
 
 
-def ewma_mean_slope(df: DataFrame, halflife: float = 5.0, fill: float = -1.0, cols: Cols = COLS) -> DataFrame:
-    """Exponential mean (no bias adjustment) and its first difference within the sensor."""
-    out = ewma(df, f"ewm_mean_{halflife:g}", 1 - math.exp(math.log(0.5) / halflife), cols)
-    mean = F.col(f"ewm_mean_{halflife:g}")
-    return out.withColumn(f"ewm_slope_{halflife:g}", F.coalesce(mean - F.lag(mean).over(cols.series()), F.lit(fill))).withColumn(f"ewm_mean_{halflife:g}", F.coalesce(mean, F.lit(fill)))
+def ewma_mean_slope(df: DataFrame, halflife: float = 5.0, fill: float = -1.0, cols: Cols = COLS, hours: int = CHUNK_HOURS) -> DataFrame:
+    """Exponential mean (no bias adjustment) and its first difference within the sensor, by chunks of ``hours``."""
+    mean, change = f"ewm_mean_{halflife:g}", f"ewm_slope_{halflife:g}"
+    return ewmas(df, {mean: 1 - math.exp(math.log(0.5) / halflife)}, cols, steps={mean: change}, hours=hours).fillna(fill, [mean, change])
 
 
 def median_of(values: Column) -> Column:
