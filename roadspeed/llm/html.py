@@ -52,6 +52,9 @@ _BOILERPLATE_WORD = re.compile(
 )
 _BOXES = frozenset("area bar block body box button buttons container content form group inner item items link links list outer panel post posts section side slot text thread unit wrap wrapper".split())
 _STATES = frozenset("has is hide no show with without".split())  # "has-sidebar" speaks of something else on the page
+_COMMENTS = frozenset(("comment", "comments"))
+# Inside an article these name its own parts (the head of a story, a restaurant's menu) unless another word tells of boilerplate ("cookie-notice").
+_OUTSIDE = frozenset("banner header masthead menu notice notices".split())
 _ARTICLE_WORDS = frozenset("article blog card chapter content entry post section story table title".split())
 _WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: What an opening tag ends: (its name, names that it ends, names that it does not look past).
@@ -83,45 +86,64 @@ def section_of(url: Column) -> Column:
 
 
 class _Element:
-    __slots__ = ("name", "drop", "main", "parts", "digest", "parent", "holds", "gone")
+    __slots__ = ("name", "drop", "main", "order", "named", "parts", "digest", "parent", "holds", "gone")
 
-    def __init__(self, name: str, parent: _Element | None, drop: bool, main: bool):
-        self.name, self.parent, self.drop, self.main = name, parent, drop, main
+    def __init__(self, name: str, parent: _Element | None, drop: bool, main: bool, order: int = 0, named: bool = False):
+        self.name, self.parent, self.drop, self.main, self.order, self.named = name, parent, drop, main, order, named
         self.parts: list[str] = []
         self.digest = 0
         self.holds = self.gone = False  # whether there is text in it; whether a template holds it
 
 
-def _names_boilerplate(own: str, inside: bool) -> bool:
-    """Whether a class list or id names boilerplate. Headers inside an article hold its title."""
+def _last_words(own: str) -> Iterator[list[str]]:
+    """Words of each class and id up to the one that counts: general words for boxes do not."""
     for name in own.split():
         words = [w.lower() for w in _WORDS_OF_NAME.findall(name)]
         while words and (words[-1] in _BOXES or words[-1].isdigit()):
             words.pop()
-        if words and _BOILERPLATE_WORD.match(words[-1]) and _STATES.isdisjoint(words):
-            if words[-1] != "header" or not inside and _ARTICLE_WORDS.isdisjoint(words):
-                return True
+        if words and _STATES.isdisjoint(words):
+            yield words
+
+
+def _names_boilerplate(own: str, inside: bool) -> bool:
+    """Whether a class list or id names boilerplate."""
+    for words in _last_words(own):
+        if not _BOILERPLATE_WORD.match(words[-1]):
+            continue
+        if inside and words[-1] in _OUTSIDE and not any(map(_BOILERPLATE_WORD.match, words[:-1])):
+            continue
+        if words[-1] != "header" or inside or _ARTICLE_WORDS.isdisjoint(words):
+            return True
     return False
 
 
-def _boilerplate(name: str, attributes: str, parent: _Element) -> bool:
+def _boilerplate(name: str, attributes: str, parent: _Element, titled: bool) -> str:
+    """Why an element is boilerplate: by what it is ("kind") or by its names ("name"), else "". ``titled``: it holds the page's only h1."""
     if name in DROPPED or name == "header" and not parent.main:
-        return True
+        return "kind"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(found.get("style", "")):
-        return True
+        return "kind"
     if found.get("role", "").lower() in DROPPED_ROLES:
-        return True
+        return "kind"
     own = f"{found.get('class', '')} {found.get('id', '')}"
-    if name in MAIN and not parent.main:  # the outermost article keeps names such as "related"; a comment is no article
-        return bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", own, re.I))
-    return _names_boilerplate(own, parent.main)
+    outermost = name in MAIN and not parent.main
+    if titled and (outermost or parent.main):
+        return ""
+    if outermost:  # it keeps names such as "related", and "has-comments"; a comment is no article
+        return "name" if any(words[-1] in _COMMENTS for words in _last_words(own)) else ""
+    return "name" if _names_boilerplate(own, parent.main) else ""
 
 
-def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
-    """Blocks that are no boilerplate, in page order, with their elements; all elements that hold text, inner ones first."""
+def parse(html: str, titled: frozenset[int] = frozenset()) -> tuple[list[tuple[str, _Element]], list[_Element]]:
+    """Blocks that are no boilerplate, in page order, with their elements; all elements that hold text, inner ones first.
+
+    ``titled``: elements, by the order of their tags, that hold the only h1. Names do not make these boilerplate inside an article; a page where they
+    did is parsed again.
+    """
+    order, titles, around = 0, 0, []
     root = _Element("", None, False, False)
     stack = [root]
     blocks: list[tuple[str, _Element]] = []
@@ -209,8 +231,13 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
         parent = stack[-1]
         if name in BLOCKS:
             flush()
-        drop = parent.drop or _boilerplate(name, attributes, parent)
-        stack.append(_Element(name, parent, drop, parent.main or name in MAIN and not drop))
+        order += 1
+        why = "" if parent.drop else _boilerplate(name, attributes, parent, order in titled)
+        drop = parent.drop or bool(why)
+        stack.append(_Element(name, parent, drop, parent.main or name in MAIN and not drop, order, why == "name" and (parent.main or name in MAIN)))
+        if name == "h1":
+            titles += 1
+            around = [e.order for e in stack] if any(e.named for e in stack) else []
         if attributes.endswith("/") and name in ("svg", "math", "path"):
             close(len(stack) - 1)
         elif name in RAW:
@@ -218,7 +245,7 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
             at = end.start() if end else n
     close(1)
     flush()
-    return blocks, elements
+    return parse(html, frozenset(around)) if titles == 1 and around and not titled else (blocks, elements)
 
 
 def _key(e: _Element) -> int:

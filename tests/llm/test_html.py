@@ -1,10 +1,11 @@
 """Main text: the parser on hand-made pages, the templates against brute force."""
 
 import re
+from html import unescape
 
 import pytest
 
-from roadspeed.llm import html
+from roadspeed.llm import html, queries
 
 
 def texts(page):
@@ -102,3 +103,63 @@ def test_template_list_joined_beyond_the_broadcast_limit(spark, monkeypatch):
 
 def test_no_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+ARTICLE = "<h1>Title</h1><p>First part of the story.</p><p>Second part.</p>"
+STORY = "Title\n\nFirst part of the story.\n\nSecond part."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post has-comments">{ARTICLE}</article>',
+        f'<main class="content comments-open">{ARTICLE}</main>',
+        f'<article id="post-no-comments">{ARTICLE}</article>',
+        f'<article class="post comment">{ARTICLE}</article>',  # holds the only h1
+        '<article><div class="hero-banner"><h1>Title</h1></div><p>First part of the story.</p><p>Second part.</p></article>',
+        '<main><div class="promo"><div class="related"><h1>Title</h1></div></div><div class="related">Others</div><p>First part of the story.</p><p>Second part.</p></main>',
+        f'<article>{ARTICLE}<ol class="comment-list"><li><article class="post">Nice</article></li></ol></article>',
+        f'<article>{ARTICLE}</article><article class="comment even depth-1"><p>Nice</p></article><article class="comment-body">Bad</article>',
+        f'<article>{ARTICLE}<div class="cookie-notice">We use cookies</div><div class="ad-banner">Buy</div><div id="nav-menu">Home</div></article>',
+        f'<div class="banner">Buy</div><div class="notice">Closed</div><ul class="menu"><li>Home</li></ul><article>{ARTICLE}</article>',
+    ],
+)
+def test_articles_stay_whole(page):
+    assert html.main_text(page, set())[0] == STORY
+
+
+def test_parts_of_an_article_keep_their_names():
+    page = '<article><h1>Title</h1><section class="restaurant-menu">Soup</section><div class="notice">Closed on Monday</div><div class="page-header">By us</div></article>'
+    assert html.main_text(page, set())[0] == "Title\n\nSoup\n\nClosed on Monday\n\nBy us"
+    two = '<article><h1>Title</h1><div class="promo"><h1>Buy</h1></div><p>Text</p></article>'
+    assert html.main_text(two, set())[0] == "Title\n\nText"
+
+
+def brute_text(page):
+    """The article of a page as the given tables have it: tags without names, adverts between or inside blocks."""
+    body = re.search(r"<article>(.*)</article>", page, re.S)
+    if not body:
+        return None
+    body = re.sub(r"<(script|style|form|aside|nav|footer|header)\b.*?</\1>|<!--.*?-->", "", body[1], flags=re.S)
+    body = re.sub(r'<div class="ad">.*?</div>', "", body, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|section|table|tr|td|th|pre|figure|figcaption|hr)\b[^>]*>", body)
+    texts = [" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_query_against_plain_expressions(spark):
+    """Every page of the given table whose article is marked up without names, through the query."""
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    found = {r.page_id: r.text for r in queries.op5_main_text(spark, "/root/testdata/sf0.001").collect()}
+    assert found.keys() == pages.keys()
+    plain = {i: brute_text(h or "") for i, h in pages.items()}
+    known = [i for i, t in plain.items() if t is not None]
+    assert len(known) >= 20
+    assert [i for i in known if found[i] != plain[i]] == []
+
+
+def test_a_very_long_page_and_repeated_ids(spark):
+    long = "<article>" + "<p>word other third</p>" * 60_000 + "</article>"
+    rows = [(1, "http://a/", long), (1, "http://a/", "<article>Short</article>"), (1, "http://a/", "<article>Short</article>"), (None, None, "<article>No id</article>"), (2, "http://b/", None)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in found) == sorted([("1", 60_000 * 18 - 2), ("1", 5), ("1", 5), ("None", 5), ("2", 0)])
