@@ -1,28 +1,29 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds sample text. A document is parsed against it: each phrase is the longest match
-from where the last one ended; few phrases mean that the text resembles the language. The language that needs the fewest
-phrases per symbol wins.
+from where the last one ended; few phrases mean that the text resembles the language. A phrase is coded as a place in the sample
+and a letter, so it costs log(length of the sample x letters of the alphabet): longer samples have longer matches by that much. The
+language with the least cost per symbol, the cross-parsing entropy, wins, whatever the sizes of the samples.
 
 All documents of a batch are parsed in step, as lanes of ``SEGMENT`` symbols. A lane first assumes that a phrase begins at
 its head. Then the phrase that is really open there is followed into the lane until one begins where the lane has one as
 well; from there on both agree. So the counts are those of the whole text, whatever the lanes.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every document when nothing was learned.
-Ties go to the language first in order of names. The score is 1 - (phrases of the winner / phrases of the runner-up), and 1
+Ties go to the language first in order of names. The score is 1 - (cost of the winner / cost of the runner-up), and 1
 for a sole language. Symbols are lower-cased letters; each run of other characters counts as one break; a letter beyond the
 ``ALPHABET`` most frequent ones of the sample is three symbols of seven bits, so that no two letters are alike. Repeated
 rows are returned as often as they occur; other columns are left out.
 
-Learning reads a bounded sample, chosen by a hash of the text: at most ``docs_per_lang`` different texts by language, their
-first ``doc_chars`` characters, ``symbols_per_lang`` symbols in all, and the ``max_languages`` most frequent languages.
-Predictions read whole texts.
+Learning reads a bounded sample, chosen by a hash of the text: at most ``docs_per_lang`` different texts by language, of each
+twice its share of ``symbols_per_lang`` in characters (and ``doc_chars`` at most), which Spark cuts, and the ``max_languages`` most frequent languages.
+The symbols are dealt to the texts evenly; what short ones leave goes to the longer ones. Predictions read whole texts.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,11 @@ class Model:
     languages: list[str]
     alphabet: str
     automata: list[Automaton]
+    lengths: list[int] = field(default_factory=list)  # symbols of each sample
+
+    def costs(self) -> np.ndarray:
+        """What a phrase costs by language: a place in its sample, and a letter, since one that is not in the sample is a phrase as well."""
+        return np.log(np.maximum(self.lengths, 2) * float(len(self.alphabet) + 1))
 
     def __post_init__(self) -> None:
         self.code = np.full(0x110000, _RARE, np.uint8)
@@ -243,7 +249,7 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     def flush() -> None:
         if part:
             counts, _ = cross_parse([texts[i] for i in part], model)
-            for i, row in zip(part, counts.T, strict=True):
+            for i, row in zip(part, (counts * model.costs()[:, None]).T, strict=True):
                 best, *rest = np.argsort(row, kind="stable")
                 out[i] = (model.languages[best], float(1 - row[best] / row[rest[0]]) if rest else 1.0)
             part.clear()
@@ -261,7 +267,7 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     return out
 
 
-def sample(docs: DataFrame, docs_per_lang: int, doc_chars: int, max_languages: int, text_col: str, lang_col: str) -> dict[str, list[str]]:
+def sample(docs: DataFrame, docs_per_lang: int, symbols_per_lang: int, doc_chars: int, max_languages: int, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Up to ``docs_per_lang`` different text heads by language, in order of a hash of the text, which does not depend on ids or partitions."""
     place = F.xxhash64("text")
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -273,7 +279,10 @@ def sample(docs: DataFrame, docs_per_lang: int, doc_chars: int, max_languages: i
     for lang, n in sizes.items():  # a hash threshold keeps about four times what is needed
         top = (1 << 63) - 1 if n <= 4 * docs_per_lang else int(2.0**64 * 4 * docs_per_lang / n - 2.0**63)
         share |= (F.col("lang") == lang) & (place <= F.lit(top).cast("long"))
-    heads = known.filter(share).select("lang", place.alias("place"), F.substring("text", 1, doc_chars).alias("text"))
+    length = F.lit(doc_chars)
+    for lang, n in sizes.items():
+        length = F.when(F.col("lang") == lang, min(doc_chars, 2 * -(-symbols_per_lang // max(1, min(n, docs_per_lang))))).otherwise(length)
+    heads = known.filter(share).select("lang", place.alias("place"), F.substring("text", F.lit(1), length).alias("text"))
     rows = heads.groupBy("lang", "place").agg(F.min("text").alias("text")).toLocalIterator()  # copies of a text count once
     by_lang = defaultdict(dict)
     for lang, h, text in rows:
@@ -284,6 +293,15 @@ def sample(docs: DataFrame, docs_per_lang: int, doc_chars: int, max_languages: i
     return {lang: [t for _, t in sorted(held.items())[:docs_per_lang]] for lang, held in sorted(by_lang.items())}
 
 
+def even_parts(lengths: list[int], total: int) -> list[int]:
+    """How much of each text is taken, ``total`` at most: the same of all that are long enough."""
+    out = [0] * len(lengths)
+    for left, i in zip(range(len(lengths), 0, -1), sorted(range(len(lengths)), key=lambda i: lengths[i]), strict=True):
+        out[i] = min(lengths[i], total // left)
+        total -= out[i]
+    return out
+
+
 def build(texts: dict[str, list[str]], symbols_per_lang: int, max_alphabet: int = ALPHABET) -> Model:
     """The automata of sample texts by language. Each language has the same say in what letters are frequent."""
     letters = Counter()
@@ -297,10 +315,13 @@ def build(texts: dict[str, list[str]], symbols_per_lang: int, max_alphabet: int
     alphabet = "".join(sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:max_alphabet]))
     model = Model([], alphabet, [])
     for lang, ts in texts.items():
-        code = symbols("".join(t + " " for t in ts), model)[:symbols_per_lang]
+        codes = [symbols(t + " ", model) for t in ts]
+        code = np.concatenate([c[:n] for c, n in zip(codes, even_parts(list(map(len, codes)), symbols_per_lang), strict=True)] or [np.zeros(0, np.uint8)])
+        code = code[np.append(True, (code[1:] != _BREAK) | (code[:-1] != _BREAK))[: len(code)]]  # a break between texts counts once
         if (code != _BREAK).any():
             model.languages.append(lang)
             model.automata.append(pack(suffix_automaton(code)))
+            model.lengths.append(len(code))
     return model
 
 
@@ -308,7 +329,7 @@ def fit(
     docs: DataFrame, docs_per_lang: int = 200, symbols_per_lang: int = 30_000, doc_chars: int = 20_000, max_languages: int = 200, text_col: str = "text", lang_col: str = "lang"
 ) -> Model:
     """Learn from labelled documents; see the module for what bounds the sample."""
-    return build(sample(docs, docs_per_lang, doc_chars, max_languages, text_col, lang_col), symbols_per_lang)
+    return build(sample(docs, docs_per_lang, symbols_per_lang, doc_chars, max_languages, text_col, lang_col), symbols_per_lang)
 
 
 def language(docs: DataFrame, model: Model, text: Column) -> Column:

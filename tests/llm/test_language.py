@@ -1,5 +1,6 @@
 """Language ID: phrases, scores and choices against a plain longest-match parse; what the sample may hold."""
 
+import math
 import random
 import re
 
@@ -58,6 +59,7 @@ def test_phrases_scores_and_choice(alphabet, segment):
         assert len(code) == sizes[i]
         expected = [plain_phrases(code, corpora[g]) for g in model.languages]
         assert counts[:, i].tolist() == expected
+        expected = [n * math.log(len(corpora[g]) * (len(model.alphabet) + 1)) for n, g in zip(expected, model.languages, strict=True)]  # a place in the sample, and a letter
         best, *rest = sorted(range(len(expected)), key=lambda k: (expected[k], k))
         lang, score = found[i]
         if any(map(str.isalpha, t)):
@@ -115,3 +117,32 @@ def test_query_on_held_out_documents(spark):
     held = [r for r in docs if found[r.doc_id].held_out and r.lang and re.search(r"[^\W\d_]", r.text or "")]
     assert len(held) > 200
     assert sum(found[r.doc_id].lang_pred == r.lang for r in held) >= 0.98 * len(held)
+
+
+@pytest.mark.parametrize("vocabulary", [40, 300])
+def test_a_small_sample_is_no_handicap(vocabulary):
+    """Two languages over one alphabet, 60 words against 6,000."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = [["".join(rng.choices("abcdefghijklmnop", [rng.random() + 0.2 for _ in range(16)], k=rng.randint(2, 8))) for _ in range(vocabulary)] for _ in range(2)]
+        say = lambda k, n, words=words, rng=rng: " ".join(rng.choices(words[k], k=n))
+        model = language.build({"rare": [say(0, 60)], "usual": [say(1, 6000)]}, 30_000)
+        for k, name in enumerate(("rare", "usual")):
+            found = language.predict([say(k, 80) for _ in range(50)], model)
+            assert sum(lang == name for lang, _ in found) >= 45
+            assert all(0 <= score <= 1 for _, score in found)
+
+
+def test_symbols_come_evenly_from_all_texts(spark):
+    assert language.even_parts([5, 100, 0, 7, 100], 100) == [5, 44, 0, 7, 44]
+    assert language.even_parts([3, 4], 100) == [3, 4] and language.even_parts([], 9) == []
+    docs = spark.createDataFrame([(f"text {i} " + "word " * 2000, "xx") for i in range(40)] + [("only one " * 500, "yy"), (None, "xx"), ("no label", None)], "text string, lang string")
+    found = language.sample(docs, 20, 1000, 20_000, 10, "text", "lang")
+    assert len(found["xx"]) == 20 and {len(t) for t in found["xx"]} == {100}
+    assert [len(t) for t in found["yy"]] == [2000]
+
+
+def test_a_missing_id(spark):
+    model = language.build({"xx": ["some words of a text"]}, 1000)
+    docs = spark.createDataFrame([(None, "some words"), (None, "some words"), (1, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.lang_pred) for r in language.identify(docs, model).collect()) == [("1", "und"), ("None", "xx"), ("None", "xx")]
