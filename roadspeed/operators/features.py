@@ -134,10 +134,10 @@ def ewma_mean_slope(df: DataFrame, halflife: float = 5.0, fill: float = -1.0, co
 
 
 def median_of(values: Column) -> Column:
-    """Median of an array without nulls; the mean of the middle two if their number is even."""
+    """Median of an array without nulls; the mean of the middle two if their number is even; null of an empty one."""
     ordered, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.try_element_at(ordered, i.cast("int"))
-    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    at = lambda i: F.get(ordered, i.cast("int"))  # noqa: E731  null beyond the ends
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
 
 
 def rolling_volatility(df: DataFrame, w: int = 10, fill: float = -1.0, cols: Cols = COLS) -> DataFrame:

@@ -6,33 +6,48 @@ not with the readings; Spark broadcasts it only while it is under its own size l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import COLS, Cols, minutes
-from .features import numbered
+from .features import median_of, numbered, slope
 
 
-def neighbor_rows(df: DataFrame, edges: DataFrame, column: str, cols: Cols = COLS) -> DataFrame:
-    """sensor, date, direction, k, distance, nb: what the neighbours read, keyed by the sensor that looks at them.
+def _seen(df: DataFrame, viewers: DataFrame, value: Column, n_slots: int, show: dict[str, Callable[[Column, Column], Column]], cols: Cols) -> DataFrame:
+    """``df`` with an array ``_seen_{x}`` for each measure x: what the series that a sensor looks at hold at the row's date, by slot.
 
-    Only (sensor, date, value) of the provider side is shuffled; null neighbours never join.
+    ``viewers``: _provider, _target, _slot and more columns: who looks at a provider, at which slot. A provider's row becomes its own row and a cell
+    for each of its viewers; both are dealt by (sensor, date) in one exchange, and meet there. No table is joined with itself, and a
+    long sensor is not one task's work. ``show`` makes a measure of the provider's value and its viewer.
     """
-    known = edges.filter("neighbor_id is not null").select(F.col("sensor_id").alias("_target"), "direction", "k", "neighbor_id", "distance")
-    read = df.select(F.col(cols.sensor).alias("neighbor_id"), cols.date, F.col(column).alias("nb"))
-    return read.join(known, "neighbor_id").select(F.col("_target").alias(cols.sensor), cols.date, "direction", "k", "distance", "nb")
+    sensor, date = F.col(cols.sensor), F.col(cols.date)
+    kinds = viewers.select("_provider", F.struct("_target", "_slot", *[c for c in viewers.columns if c not in ("_provider", "_target", "_slot")]).alias("_v"))
+    by_provider = kinds.groupBy("_provider").agg(F.collect_list("_v").alias("_viewers"))  # as many as look at one sensor
+    met = df.withColumn("_value", value).join(by_provider, sensor == F.col("_provider"), "left")
+    measures = lambda v: [f(F.col("_value"), v).alias(x) for x, f in show.items()]
+    cell = F.transform("_viewers", lambda v: F.struct(v["_target"].alias("key"), F.lit(None).cast(df.schema).alias("own"), v["_slot"].alias("slot"), F.struct(*measures(v)).alias("m")))
+    own = F.array(F.struct(sensor.alias("key"), F.struct(*df.columns).alias("own")))
+    cells = met.select(date.alias("_date"), own.alias("_own"), F.when(date.isNotNull(), cell).alias("_cells"))
+    blank = cells.schema["_cells"].dataType.elementType
+    mine = F.transform("_own", lambda o: F.struct(o["key"].alias("key"), o["own"].alias("own"), F.lit(None).cast(blank["slot"].dataType).alias("slot"), F.lit(None).cast(blank["m"].dataType).alias("m")))
+    rows = cells.select("_date", F.explode(F.concat(mine, F.coalesce("_cells", F.array().cast(cells.schema["_cells"].dataType)))).alias("_r")).select("_date", "_r.*")
+    at = Window.partitionBy("key", "_date")
+    slots = {f"_seen_{x}": F.array(*[F.max(F.when(F.col("slot") == i, F.col(f"m.{x}"))).over(at) for i in range(n_slots)]) for x in show}
+    return rows.withColumns(slots).filter("own is not null").select("own.*", *slots)
 
 
 def _adjacent(df: DataFrame, edges: DataFrame, column: str, n: int, make, fill: float | None, suffix: str, cols: Cols) -> DataFrame:
-    pick = lambda d, k, what: F.max(F.when((F.col("direction") == d) & (F.col("k") == k), F.col(what)))
     slots = [(d, k) for d in ("down", "up") for k in range(1, n + 1)]
-    wide = neighbor_rows(df, edges.filter(F.col("k") <= n), column, cols).groupBy(cols.sensor, cols.date)
-    wide = wide.agg(*[pick(d, k, what).alias(f"_{what}_{d}{k}") for d, k in slots for what in ("nb", "distance")])
-    out = df.join(wide, [cols.sensor, cols.date], "left")
-    new = {f"{d}stream_sensor_{suffix}{k}": make(d, F.col(f"_nb_{d}{k}"), F.col(f"_distance_{d}{k}")) for d, k in slots}
+    slot = F.col("k") - 1 + F.when(F.col("direction") == "up", n).otherwise(0)
+    known = edges.filter(F.col("neighbor_id").isNotNull() & F.col("sensor_id").isNotNull() & F.col("k").between(1, n) & F.col("direction").isin("down", "up"))
+    viewers = known.select(F.col("neighbor_id").alias("_provider"), F.col("sensor_id").alias("_target"), slot.alias("_slot"), F.col("distance").alias("_distance"))
+    out = _seen(df, viewers, F.col(column), len(slots), {"nb": lambda value, _: value, "distance": lambda _, v: v["_distance"]}, cols)
+    new = {f"{d}stream_sensor_{suffix}{k}": make(d, F.col("_seen_nb")[i], F.col("_seen_distance")[i]) for i, (d, k) in enumerate(slots)}
     if fill is not None:
         new = {c: F.coalesce(v, F.lit(fill)) for c, v in new.items()}
-    return out.withColumns(new).drop(*[f"_{what}_{d}{k}" for d, k in slots for what in ("nb", "distance")])
+    return out.withColumns(new).drop("_seen_nb", "_seen_distance")
 
 
 def adjacent_values(df: DataFrame, edges: DataFrame, n: int = 1, relative: bool = False, by_distance: bool = False, epsilon: float = 1e-5, fill: float | None = -1.0, cols: Cols = COLS) -> DataFrame:
@@ -73,67 +88,82 @@ def upstream_travel_time(
 
 
 def upstream_shifted(df: DataFrame, taus: DataFrame, slopes: tuple[int, ...] = (3, 5), n: int = 1, fill: float = -1.0, cols: Cols = COLS) -> DataFrame:
-    """Upstream speed, its first difference and rolling slopes, each tau rows earlier in the upstream series, at the same timestamp."""
-    from .features import slope  # noqa: PLC0415
+    """Upstream speed, its first difference and rolling slopes, each tau rows earlier in the upstream series, at the same timestamp.
 
+    The shifts are lags in the window of the upstream series, one for each different tau; these are whole numbers of rows up to the cap
+    of the travel times, so their list is short.
+    """
     s = cols.series()
-    series = numbered(df.select(cols.sensor, cols.date, cols.value), cols)
-    series = series.withColumns({"speed": F.col(cols.value), "delta1": F.col(cols.value) - F.lag(cols.value).over(s)} | {f"slope_w{w}": slope(w, cols) for w in slopes})
+    pairs = taus.filter(F.col("k").between(1, n) & F.col("sensor_id").isNotNull() & F.col("upstream").isNotNull())
+    shifts = sorted(r[0] for r in pairs.select("tau").distinct().collect())
     names = ["speed", "delta1", *[f"slope_w{w}" for w in slopes]]
-    # Row rn of the upstream series shows what it held at row rn - tau: move the values tau rows on, one equi-join for all pairs.
-    pairs = taus.filter(F.col("k") <= n)
-    moved = series.withColumnRenamed(cols.sensor, "upstream").join(pairs, "upstream").select("sensor_id", "k", "upstream", (F.col("_row") + F.col("tau")).alias("_row"), *names)
-    stamped = series.select(F.col(cols.sensor).alias("upstream"), "_row", cols.date)
-    shown = moved.join(stamped, ["upstream", "_row"])
-    wide = shown.groupBy(F.col("sensor_id").alias(cols.sensor), cols.date).agg(*[F.max(F.when(F.col("k") == k, F.col(x))).alias(f"up{k}_shift_{x}") for k in range(1, n + 1) for x in names])
-    new = [c for c in wide.columns if c not in (cols.sensor, cols.date)]
-    return df.join(wide, [cols.sensor, cols.date], "left").withColumns({c: F.coalesce(c, F.lit(fill)) for c in new})
+    held = numbered(df, cols, "_row").withColumn("_now", F.struct(F.col(cols.value).alias("speed"), (F.col(cols.value) - F.lag(cols.value).over(s)).alias("delta1"), *[slope(w, cols).alias(f"slope_w{w}") for w in slopes]))
+    held = held.withColumn("_shifts", F.array(*[F.lag("_now", t).over(s) for t in shifts] or [F.col("_now")])).drop("_row", "_now")
+    at = F.array_position(F.array(*[F.lit(t) for t in shifts] or [F.lit(0)]), F.col("tau").cast("int"))
+    viewers = pairs.select(F.col("upstream").alias("_provider"), F.col("sensor_id").alias("_target"), (F.col("k") - 1).alias("_slot"), at.cast("int").alias("_at"))
+    show = {x: lambda value, v, x=x: F.try_element_at(value, v["_at"])[x] for x in names}
+    out = _seen(held, viewers, F.col("_shifts"), n, show, cols).drop("_shifts")
+    new = {f"up{k}_shift_{x}": F.coalesce(F.col(f"_seen_{x}")[k - 1], F.lit(fill)) for k in range(1, n + 1) for x in names}
+    return out.withColumns(new).drop(*[f"_seen_{x}" for x in names])
 
 
 # Previous weekday
-def _lookup(cols: Cols, horizon_min: int) -> tuple[Column, Column]:
-    """Lookup time by the weekday of the issue time, and the fallback for Sundays."""
-    d = F.col(cols.date)
-    day = F.weekday(d)
-    back = F.when(day == 0, 3).when(day >= 5, 7).otherwise(1)
-    ahead = d + minutes(horizon_min)
-    return ahead - F.make_dt_interval(days=back), F.when(day == 6, ahead - F.make_dt_interval(days=F.lit(1)))
+def _at(what: str, min_ahead: int, cols: Cols) -> Column:
+    """The largest value of an expression at exactly so many minutes from the row's date, in the same sensor: a frame of one moment in the window of the sensor."""
+    bound = f"INTERVAL '{abs(min_ahead)}' MINUTE {'PRECEDING' if min_ahead < 0 else 'FOLLOWING'}" if min_ahead else "CURRENT ROW"
+    return F.expr(f"max({what}) OVER (PARTITION BY `{cols.sensor}` ORDER BY `{cols.date}` RANGE BETWEEN {bound} AND {bound})")
 
 
-def with_lookup(df: DataFrame, horizon_min: int, cols: Cols = COLS) -> DataFrame:
-    """Adds lookup_time: the previous weekday; on Sundays without a value there, the day before."""
-    at, fallback = _lookup(cols, horizon_min)
-    known = df.filter(F.col(cols.value).isNotNull()).select(F.col(cols.sensor).alias("_s"), F.col(cols.date).alias("_d"))
-    keyed = df.withColumns({"_at": at, "_fallback": fallback})
-    met = keyed.join(known, (F.col(cols.sensor) == F.col("_s")) & (F.col("_at") == F.col("_d")), "left")
-    return met.withColumn("lookup_time", F.when(F.col("_d").isNull(), F.coalesce("_fallback", "_at")).otherwise(F.col("_at"))).drop("_s", "_d", "_at", "_fallback")
+def _lookups(df: DataFrame, horizon_min: int, offsets: list[int], cols: Cols) -> tuple[DataFrame, Column, Column, dict[int, Column]]:
+    """``df`` with helper columns; whether a row looks at the day before in place of its own day; its days back; the values around its lookup time by offset.
+
+    Mondays look three days back, Saturdays and Sundays seven, other days one; Sundays without a value there look one day back.
+    """
+    days, value = (1, 3, 7), f"`{cols.value}`"
+    cells = {f"_at{d}_{o}": _at(value, horizon_min + o - 1440 * d, cols) for d in days for o in sorted({0, *offsets})}
+    out = df.withColumns(cells)
+    day = F.weekday(cols.date)
+    instead = (day == 6) & F.col("_at7_0").isNull()
+    back = F.when(day == 0, 3).when((day >= 5) & ~instead, 7).otherwise(1)
+    pick = lambda o: F.when(F.col("_back") == 3, F.col(f"`_at3_{o}`")).when(F.col("_back") == 7, F.col(f"`_at7_{o}`")).otherwise(F.col(f"`_at1_{o}`"))
+    return out.withColumn("_back", back), instead, F.col("_back"), {o: F.when(F.col(cols.date).isNotNull(), pick(o)) for o in offsets}
 
 
-def _window_rows(df: DataFrame, before: int, after: int, step: int, cols: Cols) -> DataFrame:
-    """sensor, date, offset, v: the values around each row's lookup time; one equi-join for all offsets."""
-    keys = df.select(cols.sensor, cols.date, "lookup_time", F.explode(F.array(*[F.lit(o) for o in range(-before, after + 1, step)])).alias("offset"))
-    keys = keys.withColumn("_at", F.col("lookup_time") + minutes(F.col("offset")))
-    read = df.select(F.col(cols.sensor).alias("_s"), F.col(cols.date).alias("_d"), F.col(cols.value).alias("v"))
-    return keys.join(read, (F.col(cols.sensor) == F.col("_s")) & (F.col("_at") == F.col("_d"))).select(cols.sensor, cols.date, "offset", "v")
+def with_lookup(df: DataFrame, horizon_min: int, cols: Cols = COLS) -> DataFrame:
+    """Adds lookup_time: the previous weekday; on Sundays without a value there, the day before."""
+    out, _, back, _ = _lookups(df, horizon_min, [], cols)
+    return out.withColumn("lookup_time", F.col(cols.date) + minutes(horizon_min) - F.make_dt_interval(days=back)).select(*df.columns, "lookup_time")
 
 
 def previous_weekday_window(df: DataFrame, horizon_min: int, before: int = 60, after: int = 60, step: int = 60, fill: float | None = None, cols: Cols = COLS) -> DataFrame:
     """prev_wd_val_t{offset}: raw values at the lookup time plus each offset in minutes."""
-    base = with_lookup(df, horizon_min, cols)
-    offsets = range(-before, after + 1, step)
-    wide = _window_rows(base, before, after, step, cols).groupBy(cols.sensor, cols.date).agg(*[F.max(F.when(F.col("offset") == o, F.col("v"))).alias(f"prev_wd_val_t{o}") for o in offsets])
-    out = base.join(wide, [cols.sensor, cols.date], "left").drop("lookup_time")
-    return out if fill is None else out.fillna(fill, [f"prev_wd_val_t{o}" for o in offsets])
+    out, _, _, values = _lookups(df, horizon_min, list(range(-before, after + 1, step)), cols)
+    names = {f"prev_wd_val_t{o}": v for o, v in values.items()}
+    out = out.withColumns(names).select(*[c for c in df.columns if c not in names], *names)
+    return out if fill is None else out.fillna(fill, list(names))
 
 
 _STATS = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "median": lambda c: F.percentile(c, 0.5)}
 
 
+def _mean_of(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def _std_of(values: Column) -> Column:
+    squares = F.aggregate(F.transform(values, lambda x: (x - _mean_of(values)) * (x - _mean_of(values))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1)))
+
+
+_ARRAY_STATS = {"mean": _mean_of, "min": F.array_min, "max": F.array_max, "std": _std_of, "median": median_of}
+
+
 def previous_weekday_local_agg(df: DataFrame, horizon_min: int, before: int = 60, after: int = 60, step: int = 60, aggs: tuple[str, ...] = tuple(_STATS), cols: Cols = COLS) -> DataFrame:
     """{agg}_local over the row's window, nulls left out."""
-    base = with_lookup(df, horizon_min, cols)
-    wide = _window_rows(base, before, after, step, cols).groupBy(cols.sensor, cols.date).agg(*[_STATS[a]("v").alias(f"{a}_local") for a in aggs])
-    return base.join(wide, [cols.sensor, cols.date], "left").drop("lookup_time")
+    out, _, _, values = _lookups(df, horizon_min, list(range(-before, after + 1, step)), cols)
+    out = out.withColumn("_near", F.array_compact(F.array(*[v.cast("double") for v in values.values()])))
+    names = {f"{a}_local": _ARRAY_STATS[a](F.col("_near")) for a in aggs}
+    return out.withColumns(names).select(*[c for c in df.columns if c not in names], *names)
 
 
 def previous_weekday_climatology(df: DataFrame, horizon_min: int, before: int = 0, after: int = 0, aggs: tuple[str, ...] = ("mean", "median"), train_only: bool = False, cols: Cols = COLS) -> DataFrame:
@@ -150,11 +180,10 @@ def previous_weekday_climatology(df: DataFrame, horizon_min: int, before: int =
 def previous_weekday_value(df: DataFrame, horizon_min: int, strict: bool = False, cols: Cols = COLS) -> DataFrame:
     """prev_weekday_value: the value at the previous working day (Saturday, Sunday and Monday look at Friday) plus the horizon; ``strict``: on working days only."""
     day = F.weekday(cols.date)
-    back = F.when(day == 0, 3).when(day == 6, 2).otherwise(1)
-    at = F.col(cols.date) - F.make_dt_interval(days=back) + minutes(horizon_min)
-    read = df.select(F.col(cols.sensor).alias("_s"), F.col(cols.date).alias("_d"), F.col(cols.value).alias("prev_weekday_value"))
-    keyed = df.withColumn("_at", F.when(day < 5, at) if strict else at)
-    return keyed.join(read, (F.col(cols.sensor) == F.col("_s")) & (F.col("_at") == F.col("_d")), "left").drop("_s", "_d", "_at")
+    by_days = {d: f"_back{d}" for d in (1, 2, 3)}
+    out = df.withColumns({name: _at(f"`{cols.value}`", horizon_min - 1440 * d, cols) for d, name in by_days.items()})
+    found = F.when(day == 0, F.col(by_days[3])).when(day == 6, F.col(by_days[2])).when(day.isNotNull(), F.col(by_days[1]))
+    return out.withColumn("prev_weekday_value", F.when(day < 5, found) if strict else found).drop(*by_days.values())
 
 
 # Side tables

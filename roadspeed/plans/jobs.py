@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
@@ -13,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clean, features, graph, predict, split
 from ..operators.base import COLS, Cols, minutes, shared_dir
@@ -28,6 +31,22 @@ class BuildConfig:
     smooth: int = 5
     minutes_per_row: int = 60
     separate: bool = True
+    families: tuple[str, ...] = ()
+    upstream: int = 0
+
+
+#: Momentum and context columns that a table may have besides lags; each is a function of (rows, minutes of a row, columns).
+FAMILIES: dict[str, Callable[[DataFrame, int, Cols], DataFrame]] = {
+    "slopes": lambda df, _, cols: features.rolling_slope(df, cols=cols),
+    "ewma": lambda df, _, cols: features.ewma_mean_slope(df, cols=cols),
+    "volatility": lambda df, _, cols: features.rolling_volatility(df, cols=cols),
+    "extrema": lambda df, _, cols: features.rolling_extrema(df, cols=cols),
+    "low": lambda df, step, cols: features.minutes_since_below(df, 20.0, step, cols=cols),
+    "drop": lambda df, _, cols: features.fast_drop_flag(df, cols=cols),
+    "context": lambda df, _, cols: features.rolling_context(df, cols=cols),
+    "network": lambda df, _, cols: features.network_context(df, cols=cols),
+    "dynamics": lambda df, _, cols: features.short_term_dynamics(df, cols=cols),
+}
 
 
 def smoothed(df: DataFrame, config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> DataFrame:
@@ -35,12 +54,17 @@ def smoothed(df: DataFrame, config: BuildConfig = BuildConfig(), cols: Cols = CO
 
 
 def base_features(df: DataFrame, edges: DataFrame, config: BuildConfig = BuildConfig(), congestion: DataFrame | None = None, cols: Cols = COLS) -> DataFrame:
-    """Columns that do not depend on the horizon: smoothing, calendar, neighbours (of smoothed values), lags, congestion flag.
+    """Columns that do not depend on the horizon: smoothing, calendar, neighbours (of smoothed values), lags, congestion flag, and what ``config`` adds.
 
-    ``congestion`` are stored thresholds; without any they are those of the train rows.
+    ``congestion`` are stored thresholds; without any they are those of the train rows. Travel times from upstream are those of ``df``.
     """
     smooth = smoothed(df, config, cols)
     out = features.lag_features(smooth, config.lags, cols=cols)
+    for name in config.families:
+        out = FAMILIES[name](out, config.minutes_per_row, cols)
+    if config.upstream:
+        taus = graph.upstream_travel_time(smooth, edges, minutes_per_row=config.minutes_per_row, train_only=True, cols=cols)
+        out = graph.upstream_shifted(out, taus, n=config.upstream, cols=cols)
     out = graph.adjacent_values(out, edges, config.neighbors, cols=cols)
     known = features.fit_congestion(smooth.filter(~F.col(cols.test)), cols=cols) if congestion is None else congestion
     return features.calendar_features(features.congestion_flag(out, known, cols=cols), cols)
@@ -58,18 +82,34 @@ def finalise_for_horizon(base: DataFrame, horizon: int, config: BuildConfig = Bu
     return features.create_target(features_for_horizon(base, horizon, config, cols), horizon, cols=cols)
 
 
-def build_training_tables(df: DataFrame, edges: DataFrame, path: str, horizons: list[int], config: BuildConfig = BuildConfig(), cols: Cols = COLS) -> None:
+def stored_base(spark: SparkSession, path: str, schema: T.StructType, buckets: int, cols: Cols = COLS) -> str:
+    """Name of the table of the files at ``path``: dealt by sensor into buckets, each in order of time. It lives in the session's catalog, its files outside."""
+    name = f"base_{hashlib.md5(path.encode()).hexdigest()}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{cols.sensor}`) SORTED BY (`{cols.sensor}`, `{cols.date}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def build_training_tables(df: DataFrame, edges: DataFrame, path: str, horizons: list[int], config: BuildConfig = BuildConfig(), cols: Cols = COLS, buckets: int | None = None) -> None:
     """Write the tables of all horizons, smallest first, partitioned by horizon and test_set; horizons that are already there are skipped.
 
-    The base is written once, sorted by sensor inside its files, and read for each horizon.
+    The base is written once, in buckets by sensor (as many as a shuffle has partitions, if no number is given), and each horizon's windows and
+    lookups run inside the buckets: none of them shuffles the base again. A run that was stopped goes on with the buckets that it began with.
     """
     spark = df.sparkSession
-    base_path = f"{path}/base"
+    base_path, settings = f"{path}/base", f"{path}/buckets"
     if not _exists(spark, base_path):
-        base_features(df, edges, config, cols=cols).sortWithinPartitions(cols.sensor, cols.date).write.parquet(base_path)
+        base = base_features(df, edges, config, cols=cols)
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.createDataFrame([(str(buckets),)], "value string").write.mode("overwrite").text(settings)
+        name = stored_base(spark, base_path, base.schema, buckets, cols)
+        base.repartition(buckets, cols.sensor).write.insertInto(name, overwrite=True)
+    schema = spark.read.parquet(base_path).schema
+    name = stored_base(spark, base_path, schema, int(spark.read.text(settings).first()[0]), cols)
     for h in sorted(horizons):
         if not _exists(spark, f"{path}/tables/horizon={h}"):
-            finalise_for_horizon(spark.read.parquet(base_path), h, config, cols).drop("horizon").write.partitionBy(cols.test).parquet(f"{path}/tables/horizon={h}")
+            finalise_for_horizon(spark.table(name), h, config, cols).drop("horizon").write.partitionBy(cols.test).parquet(f"{path}/tables/horizon={h}")
+    spark.sql(f"DROP TABLE {name}")  # the files stay
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -207,7 +247,7 @@ def fit_scorer(
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
     settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
     tables_of = [spark.read.parquet(f"{path}/{x}") for x in ("congestion", "edges", "history")]
-    return Scorer(PipelineModel.load(f"{path}/model"), settings["names"], settings["horizon"], BuildConfig(**settings["config"]), *tables_of)
+    return Scorer(PipelineModel.load(f"{path}/model"), settings["names"], settings["horizon"], BuildConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings["config"].items()}), *tables_of)
 
 
 def score_rows(new: DataFrame, scorer: Scorer, cols: Cols = COLS) -> DataFrame:
