@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import CHUNK_HOURS, ewmas
+from ..functions.quantiles import exact_quantiles
 from .base import COLS, Cols, minutes
 
 
@@ -215,19 +216,25 @@ def network_context(df: DataFrame, windows: tuple[int, ...] = (6, 24), cols: Col
 def step_seconds(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """One row: the median gap of a sensor's rows, in seconds."""
     gap = F.unix_seconds(cols.date) - F.unix_seconds(F.lag(cols.date).over(cols.series()))
-    return df.select(gap.alias("gap")).agg(F.percentile("gap", 0.5).alias("step_s"))
+    return exact_quantiles(df.select(gap.alias("gap")), "gap", {"step_s": 0.5})
 
 
-def short_term_dynamics(df: DataFrame, w: int = 3, z_windows: tuple[int, ...] = (3, 6), z_drop: float = -1.0, fast: int = 3, slow: int = 12, cols: Cols = COLS) -> DataFrame:
-    """Acceleration (m/s2), jerk (m/s3), short z, distance to the rolling minimum, fast - slow exponential mean, and a drop warning if any z is low."""
+def short_term_dynamics(
+    df: DataFrame, w: int = 3, z_windows: tuple[int, ...] = (3, 6), z_drop: float = -1.0, fast: int = 3, slow: int = 12, step_s: float | None = None, hours: int = CHUNK_HOURS, cols: Cols = COLS
+) -> DataFrame:
+    """Acceleration (m/s2), jerk (m/s3), short z, distance to the rolling minimum, fast - slow exponential mean, and a drop warning if any z is low.
+
+    ``step_s``: seconds between rows; without it the median gap is found first.
+    """
     s = cols.series()
-    out = df.join(F.broadcast(step_seconds(df, cols)), F.lit(True)).withColumn("_ms", F.col(cols.value) / F.lit(3.6))  # kph to m/s
+    out = df.join(F.broadcast(step_seconds(df, cols)), F.lit(True)) if step_s is None else df.withColumn("step_s", F.lit(float(step_s)))
+    out = out.withColumn("_ms", F.col(cols.value) / F.lit(3.6))  # kph to m/s
     span = F.col("step_s") * w
     out = out.withColumn("acceleration", F.try_divide(F.col("_ms") - F.lag("_ms", w).over(s), span))
     out = out.withColumn("jerk", F.try_divide(F.col("acceleration") - F.lag("acceleration", w).over(s), span))
     z = {f"short_z_{k}": _against(cols.value, cols.trailing(k), k)[f"z_{k}"] for k in z_windows}
     out = out.withColumns(z | {"dist_to_roll_min": F.col(cols.value) - F.min(cols.value).over(cols.trailing(w))})
-    out = ewmas(out, {"_fast": 2 / (fast + 1), "_slow": 2 / (slow + 1)}, cols)
+    out = ewmas(out, {"_fast": 2 / (fast + 1), "_slow": 2 / (slow + 1)}, cols, hours=hours)
     drop = F.least(*[F.col(k) for k in z]) < z_drop
     return out.withColumns({"ema_spread": F.col("_fast") - F.col("_slow"), "drop_warning": F.coalesce(drop, F.lit(False)).cast("int")}).drop("_fast", "_slow", "_ms", "step_s")
 
@@ -246,9 +253,10 @@ def congestion_flag(df: DataFrame, state: DataFrame, default: float | None = Non
 
 
 def fit_outlier(train: DataFrame, low: float = 0.01, high: float = 0.99, accuracy: int | None = None, cols: Cols = COLS) -> DataFrame:
-    """One row lo, hi. Exact quantiles gather the distinct values; ``accuracy`` takes a mergeable sketch instead, for tables of many distinct values."""
-    q = (lambda p: F.percentile_approx(cols.value, p, accuracy)) if accuracy else (lambda p: F.percentile(cols.value, p))
-    return train.agg(q(low).alias("lo"), q(high).alias("hi"))
+    """One row lo, hi: exact quantiles, or with ``accuracy`` those of a mergeable sketch, in one scan."""
+    if accuracy:
+        return train.agg(F.percentile_approx(cols.value, low, accuracy).alias("lo"), F.percentile_approx(cols.value, high, accuracy).alias("hi"))
+    return exact_quantiles(train, cols.value, {"lo": low, "hi": high})
 
 
 def outlier_flag(df: DataFrame, state: DataFrame, cols: Cols = COLS) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ewma, kalman
+from ..functions.quantiles import exact_quantiles
 from .base import COLS, Cols, minutes
 from .clean import duplicate_keys
 
@@ -20,7 +23,7 @@ def prediction_frame(df: DataFrame, delta: str, horizon_min: int, cols: Cols = C
 def infer_horizon(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """One row: the median of prediction_time - date in whole minutes."""
     gap = (F.unix_seconds("prediction_time") - F.unix_seconds(cols.date)) / 60
-    return df.agg(F.round(F.percentile(gap, 0.5), 0).cast("int").alias("horizon_min"))
+    return exact_quantiles(df, gap, {"m": 0.5}).select(F.round("m", 0).cast("int").alias("horizon_min"))
 
 
 def reconstruct_target(df: DataFrame, prediction: str, base: str, mean: float = 0.0, std: float = 1.0) -> DataFrame:
@@ -244,26 +247,43 @@ def _finite(*names: str) -> Column:
     return out
 
 
-def error_metrics(y: Column, p: Column, epsilon: float = 1e-2, drop_zero: bool = False, accuracy: int | None = None) -> list[Column]:
-    """The median is exact, which gathers the distinct errors of a group, or with ``accuracy`` a mergeable sketch. MAE, median AE, RMSE, MAPE (x 100, denominator epsilon at least, or zero actuals dropped), SMAPE with their population spreads."""
-    ae, se = F.abs(y - p), (y - p) * (y - p)
+def _absolute(y: Column, p: Column) -> Column:
+    return F.abs(y - p)
+
+
+def error_metrics(y: Column, p: Column, epsilon: float = 1e-2, drop_zero: bool = False) -> list[Column]:
+    """MAE, RMSE, MAPE (x 100, denominator epsilon at least, or zero actuals dropped), SMAPE with their population spreads; all add up from parts."""
+    ae, se = _absolute(y, p), (y - p) * (y - p)
     ape = (F.when(y != 0, F.try_divide(ae, F.abs(y))) if drop_zero else ae / F.greatest(F.abs(y), F.lit(epsilon))) * 100
     middle = (F.abs(y) + F.abs(p)) / 2
     smape = F.try_divide(ae, F.when(middle == 0, F.lit(1.0)).otherwise(middle)) * 100
     return [
-        F.count("*").alias("n"), F.avg(ae).alias("mae"), (F.percentile_approx(ae, 0.5, accuracy) if accuracy else F.percentile(ae, 0.5)).alias("median_ae"), F.sqrt(F.avg(se)).alias("rmse"), F.avg(ape).alias("mape"), F.avg(smape).alias("smape"),
+        F.count("*").alias("n"), F.avg(ae).alias("mae"), F.sqrt(F.avg(se)).alias("rmse"), F.avg(ape).alias("mape"), F.avg(smape).alias("smape"),
         F.stddev_pop(ae).alias("mae_std"), F.stddev_pop(ae).alias("median_ae_std"), F.stddev_pop(se).alias("rmse_std"), F.stddev_pop(ape).alias("mape_std"), F.stddev_pop(smape).alias("smape_std"),
     ]
 
 
 def evaluate_model(df: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "y_pred", epsilon: float = 1e-2, drop_zero: bool = False, accuracy: int | None = None) -> DataFrame:
-    """One row (or one by group) over the rows with finite truth and prediction."""
-    return df.filter(_finite(y, p)).groupBy(*(by or [])).agg(*error_metrics(F.col(y), F.col(p), epsilon, drop_zero, accuracy))
+    """One row (or one by group) over the rows with finite truth and prediction: median absolute error and ``error_metrics``.
+
+    The median is exact and found by rank, without a task that holds all errors; with ``accuracy`` it is that of a mergeable sketch.
+    """
+    by, rows = by or [], df.filter(_finite(y, p))
+    metrics = error_metrics(F.col(y), F.col(p), epsilon, drop_zero)
+    if accuracy:
+        out = rows.groupBy(*by).agg(*metrics, F.percentile_approx(_absolute(F.col(y), F.col(p)), 0.5, accuracy).alias("median_ae"))
+    else:
+        middle = exact_quantiles(rows, _absolute(F.col(y), F.col(p)), {"median_ae": 0.5}, by)
+        side = middle.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by)], "median_ae")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(by)), F.lit(True))
+        out = rows.groupBy(*by).agg(*metrics).join(side if by else F.broadcast(side), same, "left")
+    names = ["n", "mae", "median_ae", "rmse", "mape", "smape", "mae_std", "median_ae_std", "rmse_std", "mape_std", "smape_std"]
+    return out.select(*by, *names)
 
 
-def evaluate_naive(df: DataFrame, by: list[str] | None = None, y: str = "y", cols: Cols = COLS) -> DataFrame:
+def evaluate_naive(df: DataFrame, by: list[str] | None = None, y: str = "y", accuracy: int | None = None, cols: Cols = COLS) -> DataFrame:
     """The same for persistence: the current value is the prediction."""
-    return evaluate_model(df, by, y, cols.value)
+    return evaluate_model(df, by, y, cols.value, accuracy=accuracy)
 
 
 def mape_zero_handling(df: DataFrame, epsilon: float = 1e-2, y: str = "y", p: str = "y_pred") -> DataFrame:
@@ -306,15 +326,15 @@ def metrics_plain(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(ae).alias("mae"), F.sqrt(F.avg(ae * ae)).alias("rmse"), F.avg(F.try_divide(ae, t)).alias("mape"))
 
 
-def compare_corrections(before: DataFrame, after: DataFrame) -> DataFrame:
+def compare_corrections(before: DataFrame, after: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Metrics by variant (raw, corrected)."""
     both = before.select(F.lit("raw").alias("variant"), "y", "y_pred").unionByName(after.select(F.lit("corrected").alias("variant"), "y", "y_pred"))
-    return evaluate_model(both, ["variant"])
+    return evaluate_model(both, ["variant"], accuracy=accuracy)
 
 
-def compare_models(df: DataFrame) -> DataFrame:
+def compare_models(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Metrics by model and horizon."""
-    return evaluate_model(df, ["model", "horizon"])
+    return evaluate_model(df, ["model", "horizon"], accuracy=accuracy)
 
 
 def metrics_long(metrics: DataFrame, kind: str, keys: list[str] | None = None) -> DataFrame:
