@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,12 +250,21 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
     return Scorer(PipelineModel.load(f"{path}/model"), settings["names"], settings["horizon"], BuildConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings["config"].items()}), *tables_of)
 
 
-def score_rows(new: DataFrame, scorer: Scorer, cols: Cols = COLS) -> DataFrame:
-    """Prediction frame of new rows (sensor, date, value): the features of training from the stored states and the history, then the stored model."""
-    rows = new.select(cols.sensor, cols.date, cols.value).withColumn(cols.test, F.lit(True))
-    whole = scorer.history.select(*rows.columns).unionByName(rows)
+def score_rows(new: DataFrame, scorer: Scorer, cols: Cols = COLS, warm_up: bool = False) -> DataFrame:
+    """Prediction frame of new rows (sensor, date, value): the features of training from the stored states and the history, then the stored model.
+
+    History rows keep their own flag of the test set. A new row whose (sensor, date) the history holds already is left out. ``warm_up`` leaves out rows with fewer
+    earlier rows of their sensor than the model has lags; without it their missing lags are the sentinel.
+    """
+    rows = new.select(cols.sensor, cols.date, cols.value).withColumns({cols.test: F.lit(True), "_new": F.lit(True)})
+    known = scorer.history.select(cols.sensor, cols.date, cols.value, cols.test).withColumn("_new", F.lit(False))
+    both = known.unionByName(rows)
+    twice = F.bool_or(~F.col("_new")).over(Window.partitionBy(cols.sensor, cols.date))
+    whole = both.withColumn("_old", twice).filter(~F.col("_new") | ~F.col("_old")).drop("_old")
     table = features_for_horizon(base_features(whole, scorer.edges, scorer.config, scorer.congestion, cols), scorer.horizon, scorer.config, cols)
-    scored = batch_score(scorer.model, table.filter(F.col(cols.test)), scorer.names, cols)
+    if warm_up:
+        table = clean.trim_warmup(table, scorer.config.lags, cols)
+    scored = batch_score(scorer.model, table.filter("_new"), scorer.names, cols)
     return predict.prediction_frame(scored, "prediction", scorer.horizon * scorer.config.minutes_per_row, cols)
 
 

@@ -477,13 +477,12 @@ add(
     "SELECT * FROM hours WHERE date + INTERVAL 1 HOUR <= (SELECT max(date) FROM irregular) - INTERVAL 1 HOUR",
 )
 add("stream_flags", _KEYS + "is_congested@i is_outlier@i", ST.flags_query, T.SPLIT + _CONG + ", q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT sensor_id, date, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong, q")
-_IN_ORDER = _ARRIVE.format(rows="readings", n="(epoch(date)::bigint // 3600 + sensor_id[2:3]::int)") + """, seen AS (
-        SELECT s.slice, r.sensor_id, max(a.date) AS last FROM (SELECT unnest([0, 1, 2]) AS slice) s CROSS JOIN (SELECT DISTINCT sensor_id FROM readings) r LEFT JOIN arrivals a ON a.sensor_id = r.sensor_id AND a.slice < s.slice GROUP BY 1, 2
-    ), taken AS (
-        SELECT DISTINCT a.sensor_id, a.date, a.value FROM arrivals a JOIN marks USING (slice) JOIN seen ON seen.slice = a.slice AND seen.sensor_id = a.sensor_id
-        WHERE (last IS NULL OR a.date > last) AND (passed IS NULL OR a.date > passed - INTERVAL 1 DAY)
+_IN_ORDER = _ARRIVE.format(rows="readings", n="(epoch(date)::bigint // 3600 + sensor_id[2:3]::int)") + """, taken AS (
+        SELECT DISTINCT sensor_id, date, value FROM arrivals JOIN marks USING (slice) WHERE passed IS NULL OR date > passed - INTERVAL 1 DAY
     ), s AS (SELECT sensor_id, date, row_number() OVER w AS rn, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, value + 0.5 * (value - lag(value) OVER w) AS y_pred FROM taken""" + _W + ")"
-add("stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS + _IN_ORDER, "SELECT * FROM s WHERE rn > 2")
+add("stream_score", _KEYS + "lag1@d lag2@d y_pred@d", ST.score_query, T.READINGS + _IN_ORDER, "SELECT * FROM s WHERE rn > 2 AND date <= (SELECT max(date) FROM readings) - INTERVAL 1 DAY")
+add("stream_in_order", _KEYS + "value@d", ST.order_query, T.READINGS + _IN_ORDER, "SELECT * FROM taken WHERE date <= (SELECT max(date) FROM readings) - INTERVAL 1 DAY")
+add("stream_scorer", "input_time@t sensor_id prediction_time@t y_pred_total@d", ST.scorer_query)
 add("stream_model_score", "input_time@t sensor_id prediction_time@t y_pred_total@d", ST.model_query)
 
 # The same over suppliers as sensors, whose number and length grow with the tables

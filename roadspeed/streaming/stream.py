@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import replace
+from datetime import datetime
 
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import features, predict
-from ..operators.base import COLS, Cols
+from ..operators.base import COLS, Cols, minutes
 from ..plans import jobs
 from ..sources import tables
 
@@ -29,39 +34,87 @@ def stream_flags(readings: DataFrame, states: dict[str, DataFrame], cols: Cols =
     return jobs.apply_states(readings, states, cols)
 
 
+_WAITING = T.StructType().add("date", T.TimestampType()).add("value", T.DoubleType())
+_HELD = T.StructType().add("before", T.ArrayType(T.DoubleType())).add("last_ms", T.LongType())
+
+
+class _InOrder(StatefulProcessor):
+    """Rows of a sensor wait until the watermark has passed them; then they are given out in order of time, with the ``lags`` values before each.
+
+    State: the rows that wait, as one list; the last values and their date. A timer is set for the first row that waits, and one for
+    the end of the silence after which a sensor begins anew. Timers fire after all rows of a batch, so no row overtakes another.
+    """
+
+    def __init__(self, lags: int, silence_ms: int, names: list[str]):
+        self.lags, self.silence_ms, self.names = lags, silence_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.held = handle.getValueState("held", _HELD)
+
+    def _rows(self) -> list[tuple]:
+        return list(self.waiting.get()) if self.waiting.exists() else []
+
+    @staticmethod
+    def _ms(date: datetime) -> int:
+        """Milliseconds, rounded up: a timer for them fires once the watermark has passed the date."""
+        return -(-round(pd.Timestamp(date).tz_localize("UTC").value // 1000) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        there = {date: value for date, value in self._rows()}
+        for pdf in rows:
+            for date, value in zip((d.to_pydatetime() for d in pdf[self.names[1]]), pdf[self.names[2]].tolist(), strict=True):
+                there.setdefault(date, None if value is None or value != value else float(value))  # of repeated rows the first counts
+        if there:
+            self.waiting.put(list(there.items()))
+            self.handle.registerTimer(self._ms(min(there)))
+        yield pd.DataFrame(columns=self.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, rows = timerValues.getCurrentWatermarkInMs(), sorted(self._rows(), key=lambda r: r[0])
+        due = [r for r in rows if self._ms(r[0]) <= now]
+        before, last = (list(self.held.get()[0]), self.held.get()[1]) if self.held.exists() else ([], None)
+        out = []
+        for date, value in due:
+            if last is not None and self._ms(date) - last > self.silence_ms:
+                before = []
+            if len(before) == self.lags:
+                out.append((key[0], date, value, *before))
+            before, last = [value, *before][: self.lags], self._ms(date)
+        if due:
+            self.held.update((before, last))
+            self.handle.registerTimer(last + self.silence_ms + 1)
+            left = rows[len(due) :]
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(self._ms(left[0][0]))
+            else:
+                self.waiting.clear()
+        elif not rows and last is not None and last + self.silence_ms < now:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_lags(readings: DataFrame, lags: int = 2, late: str = "1 day", expire: str = "30 days", cols: Cols = COLS) -> DataFrame:
-    """sensor, date, value, lag1.. of arriving rows, once a sensor has ``lags`` earlier rows.
+    """sensor, date, value, lag1.. of arriving rows, once a sensor has ``lags`` earlier rows: what ``lag_table`` gives for all rows that come in time.
 
-    The state of a sensor is its last ``lags`` values and the last date. Rows of a batch are taken in order of time; a row
-    that is not newer than the last date is dropped, as are rows that the watermark (``late``) has passed, so lags never run
-    backwards. The state of a sensor that has been silent for ``expire`` of event time goes; it then begins anew.
+    A row is given out once the watermark (``late`` behind the newest row) has passed it, so rows may arrive in any order within that time; rows that the
+    watermark has passed already are dropped. A sensor that has been silent for ``expire`` of event time begins anew. Needs the state store that ``with_state`` sets.
     """
     names = [f"lag{i}" for i in range(1, lags + 1)]
-    schema = f"{cols.sensor} string, {cols.date} timestamp, {cols.value} double, " + ", ".join(f"{n} double" for n in names)
-    silence = pd.Timedelta(expire)
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        rows = pd.concat(list(frames)).sort_values(cols.date, kind="stable")
-        out = []
-        for date, value in zip(rows[cols.date], rows[cols.value], strict=True):
-            if last is not None and date <= last:
-                continue
-            if len(held) == lags:
-                out.append((key[0], date, value, *held))
-            held, last = [value, *held][:lags], date
-        state.update((held, last))
-        due = int((pd.Timestamp(last, tz="UTC") + silence).timestamp() * 1000)
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        if out:
-            yield pd.DataFrame(out, columns=[cols.sensor, cols.date, cols.value, *names])
-
-    grouped = readings.select(cols.sensor, cols.date, cols.value).withWatermark(cols.date, late).groupBy(cols.sensor)
-    return grouped.applyInPandasWithState(advance, schema, "held array<double>, last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    schema = f"{cols.sensor} string, {cols.date} timestamp, {cols.value} double" + "".join(f", {n} double" for n in names)
+    processor = _InOrder(lags, int(pd.Timedelta(expire).total_seconds() * 1000), [cols.sensor, cols.date, cols.value, *names])
+    rows = readings.select(cols.sensor, cols.date, F.col(cols.value).cast("double").alias(cols.value)).filter(F.col(cols.date).isNotNull()).withWatermark(cols.date, late)
+    return rows.groupBy(cols.sensor).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def stream_in_order(readings: DataFrame, late: str = "1 day", cols: Cols = COLS) -> DataFrame:
+    """The rows alone: each key once, in order of time from batch to batch."""
+    return stream_lags(readings, 0, late, cols=cols)
 
 
 def stream_score(readings: DataFrame, lags: int = 2, drift: float = 0.5, cols: Cols = COLS) -> DataFrame:
@@ -100,10 +153,60 @@ def stream_model_score(readings: DataFrame, model: PipelineModel, lags: int = 2,
     return predict.prediction_frame(jobs.batch_score(model, table, model_names(lags, cols), cols), "prediction", horizon_min, cols)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+_FOLDERS = T.StructType().add("_batch", T.LongType()).add("_day", T.DateType())
+
+
+@contextmanager
+def with_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which timers and lists need; the session's own setting comes back."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def stream_scorer(readings: DataFrame, scorer: jobs.Scorer, path: str, late: str = "1 day", history_days: int = 15, cols: Cols = COLS) -> DataStreamWriter:
+    """A stream that scores arriving rows as ``jobs.score_rows`` scores a table: all features of the stored scorer, those of other sensors and other days included.
+
+    Rows are put in order first, so that a batch holds all rows of its span of time, of every sensor. Each batch is scored against the scorer's history and
+    the rows of earlier batches, which are kept under ``path`` by day and batch, and only the last ``history_days`` of them are read. A batch that is
+    run again writes the same folders again.
+    """
+    spark = readings.sparkSession
+    kept, order = f"{path}/history", stream_in_order(readings, late, cols)
+    spark.createDataFrame([], order.schema).write.mode("ignore").parquet(f"{kept}/_batch=-1/_day=1970-01-01")
+
+    def score(batch: DataFrame, number: int) -> None:
+        rows = batch.select(cols.sensor, cols.date, cols.value).persist()
+        try:
+            first = rows.agg(F.min(cols.date)).first()[0]
+            if first is not None:
+                known = scorer.history.select(cols.sensor, cols.date, cols.value, cols.test)
+                since = F.lit(first) - minutes(1440 * history_days)
+                earlier = spark.read.schema(T.StructType([*rows.schema, *_FOLDERS])).parquet(kept).filter((F.col("_batch") < number) & (F.col("_day") >= F.to_date(since)))
+                history = known.unionByName(earlier.select(cols.sensor, cols.date, cols.value, F.lit(True).alias(cols.test))).filter(F.col(cols.date) >= since)
+                jobs.score_rows(rows, replace(scorer, history=history), cols).write.mode("overwrite").parquet(f"{path}/scored/batch={number}")
+                rows.withColumn("_day", F.to_date(cols.date)).write.mode("overwrite").partitionBy("_day").parquet(f"{kept}/_batch={number}")
+        finally:
+            rows.unpersist()
+
+    return order.writeStream.foreachBatch(score).option("checkpointLocation", f"{path}/checkpoint")
+
+
+def scored(spark: SparkSession, path: str) -> DataFrame:
+    """What a ``stream_scorer`` has written so far."""
+    return spark.read.parquet(f"{path}/scored").drop("batch")
+
+
 def run_available(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over what its source holds, into Parquet, and read the result. Run again with the same path, it goes on from where it stopped."""
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
-    query.awaitTermination()
+    with with_state(stream.sparkSession):
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -150,6 +253,28 @@ def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_arrivals(_hours(spark, sf_dir), stream_score, _path(spark))
 
 
+def order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_arrivals(_hours(spark, sf_dir), stream_in_order, _path(spark))
+
+
+def scorer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test rows, in three arrivals out of order, through a stored scorer with all its features."""
+    path, df = _path(spark), tables.readings_split(spark, sf_dir)
+    jobs.fit_scorer(df, tables.edges(spark, df), f"{path}/scorer", config=jobs.BuildConfig(lags=25), max_iter=5)
+    scorer, rows = jobs.load_scorer(spark, f"{path}/scorer"), _hours(spark, sf_dir).filter("date >= '2024-01-21'")
+    run_scorer(rows, scorer, path)
+    return scored(spark, path)
+
+
+def run_scorer(rows: DataFrame, scorer: jobs.Scorer, path: str, slices: int = 3) -> None:
+    """``stream_scorer`` over rows that arrive by their column ``slice``, started again for each."""
+    spark, schema = rows.sparkSession, rows.drop("slice").schema
+    for k in range(slices):
+        rows.filter(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{path}/in")
+        with with_state(spark):
+            stream_scorer(spark.readStream.schema(schema).parquet(f"{path}/in"), scorer, path).trigger(availableNow=True).start().awaitTermination()
+
+
 def model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark)
     fit_stream_model(tables.readings_split(spark, sf_dir).filter("not test_set"), f"{path}/model")

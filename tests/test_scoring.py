@@ -34,6 +34,22 @@ def test_stored_scorer_equals_the_training_table(spark, tmp_path):
     assert found.count() == df.filter("test_set").count()
 
 
+def test_new_rows_that_are_known_or_have_no_history(spark, tmp_path):
+    df = tables.readings_split(spark, SF)
+    config = jobs.BuildConfig(lags=6)
+    jobs.fit_scorer(df, tables.edges(spark, df), str(tmp_path / "s"), config=config, max_iter=2)
+    scorer, new = jobs.load_scorer(spark, str(tmp_path / "s")), df.filter("test_set").drop("test_set")
+    plain_rows = plain(jobs.score_rows(new, scorer))
+    known = scorer.history.select("sensor_id", "date", "value").limit(20)
+    assert plain(jobs.score_rows(new.unionByName(known), scorer)) == plain_rows
+    stranger = new.filter("sensor_id = 'S00'").withColumn("sensor_id", F.lit("S99")).orderBy("date").limit(9)
+    both = jobs.score_rows(new.unionByName(stranger), scorer)
+    assert both.filter("sensor_id = 'S99'").count() == 9
+    warm = jobs.score_rows(new.unionByName(stranger), scorer, warm_up=True)
+    assert warm.filter("sensor_id = 'S99'").count() == 3
+    assert plain(warm.filter("sensor_id <> 'S99'")) == plain_rows
+
+
 def test_streaming_model_equals_the_table(spark, tmp_path):
     """Three arrivals with late and repeated rows, a restart before each: the rows in order are scored as on a table."""
     df = tables.readings_split(spark, SF)
@@ -41,29 +57,76 @@ def test_streaming_model_equals_the_table(spark, tmp_path):
     model = PipelineModel.load(str(tmp_path / "m"))
     rows = stream._hours(spark, SF)
     found = stream.run_arrivals(rows, lambda s: stream.stream_model_score(s, model), str(tmp_path / "r"))
-    arrived = rows.toPandas().sort_values(["slice", "sensor_id", "date"], kind="stable")
-    kept, last, top = [], {}, None
-    for _, part in arrived.groupby("slice"):
-        passed = top - pd.Timedelta("1 day") if top is not None else None
-        for r in part.itertuples():
-            if (passed is None or r.date > passed) and (r.sensor_id not in last or r.date > last[r.sensor_id]):
-                kept.append((r.sensor_id, r.date.to_pydatetime(), r.value))
-                last[r.sensor_id] = r.date
-        top = part.date.max() if top is None else max(top, part.date.max())
-    assert len(arrived.drop_duplicates(["sensor_id", "date"])) > len(kept) > 700
-    table = stream.lag_table(spark.createDataFrame(kept, "sensor_id string, date timestamp, value double"), 2)
+    kept, top = in_time(rows)
+    assert rows.select("sensor_id", "date").distinct().count() > len(kept) > 700
+    table = stream.lag_table(spark.createDataFrame(kept, SCHEMA), 2).filter(F.col("date") <= F.lit(top) - F.expr("interval 1 day"))
     scored = jobs.batch_score(model, stream.model_features(table, 2), stream.model_names(2))
     assert plain(found) == plain(predict.prediction_frame(scored, "prediction", 60).select(*found.columns))
 
 
+SCHEMA = "sensor_id string, date timestamp, value double"
+
+
+def in_time(rows, late="1 day"):
+    """Rows that the watermark of the slices before has not passed, each once; the newest date."""
+    kept, top = {}, None
+    for _, part in rows.toPandas().groupby("slice"):
+        passed = top - pd.Timedelta(late) if top is not None else None
+        for r in part.itertuples():
+            if passed is None or r.date > passed:
+                kept.setdefault((r.sensor_id, r.date.to_pydatetime()), r.value)
+        top = part.date.max() if top is None else max(top, part.date.max())
+    return [(*k, v) for k, v in kept.items()], top.to_pydatetime()
+
+
 def test_state_of_a_silent_sensor_expires(spark, tmp_path):
     day = lambda n: (pd.Timestamp("2024-01-01") + pd.Timedelta(days=n)).to_pydatetime()
-    rows = [("a", day(0), 1.0, 0), ("a", day(1), 2.0, 0), ("a", day(2), 3.0, 0), ("b", day(60), 1.0, 1), ("a", day(61), 4.0, 2), ("a", day(62), 5.0, 2), ("a", day(63), 6.0, 2)]
-    df = spark.createDataFrame(rows, "sensor_id string, date timestamp, value double, slice int")
+    rows = [("a", day(0), 1.0, 0), ("a", day(1), 2.0, 0), ("a", day(2), 3.0, 0), ("b", day(60), 1.0, 1), ("a", day(61), 4.0, 2), ("a", day(62), 5.0, 2), ("a", day(63), 6.0, 2), ("b", day(70), 2.0, 2)]
+    df = spark.createDataFrame(rows, SCHEMA + ", slice int")
     found = stream.run_arrivals(df, lambda s: stream.stream_lags(s, 2), str(tmp_path / "x"))
     assert [(r.date, r.lag1, r.lag2) for r in found.orderBy("date").collect()] == [(day(2), 2.0, 1.0), (day(63), 5.0, 4.0)]
 
 
+def test_rows_in_any_order_within_the_watermark_give_the_result_of_the_table(spark, tmp_path):
+    r = np.random.default_rng(5)
+    hour = lambda n: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=int(n))).to_pydatetime()
+    rows = []
+    for i in range(96):
+        late = int(r.integers(0, 20))  # up to 20 hours late: inside the day that the stream waits
+        rows += [(s, hour(i), None if (i + len(s)) % 17 == 0 else float(r.integers(0, 90)), (i + late) // 24) for s in ("a", "bb", "ccc")]
+    rows += rows[5:20]  # some come twice
+    rows += [("a", hour(150), 1.0, 5), ("dddd", None, 2.0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA + ", slice int")
+    before = spark.conf.get(stream._STORE)
+    found = stream.run_arrivals(df, lambda s: stream.stream_lags(s, 3), str(tmp_path / "x"), 6)
+    assert spark.conf.get(stream._STORE) == before
+    table = stream.lag_table(df.filter("date is not null").dropDuplicates(["sensor_id", "date"]), 3).filter(F.col("date") <= hour(126))
+    assert found.count() == 3 * 93
+    assert plain(found) == plain(table.select(*found.columns)) or sorted(map(str, found.collect())) == sorted(map(str, table.select(*found.columns).collect()))
+    ordered = stream.run_arrivals(df, stream.stream_in_order, str(tmp_path / "y"), 6)
+    assert ordered.count() == 3 * 96 and ordered.columns == ["sensor_id", "date", "value"]
+
+
+def test_stream_with_all_features_equals_scoring_a_table(spark, tmp_path):
+    """The stored scorer over rows that arrive in three slices, some of them late: lags, smoothing, neighbours, weekdays as on the table."""
+    df = tables.readings_split(spark, SF)
+    config = jobs.BuildConfig(lags=6)
+    jobs.fit_scorer(df, tables.edges(spark, df), str(tmp_path / "s"), config=config, max_iter=3)
+    scorer = jobs.load_scorer(spark, str(tmp_path / "s"))
+    start = pd.Timestamp("2024-01-21")
+    rows = df.filter("test_set").drop("test_set")
+    number = (F.unix_seconds("date") - int(start.timestamp())) / 3600
+    slices = rows.withColumn("slice", F.least(F.lit(2), F.floor((number + F.when(number % 7 == 0, 15).otherwise(0)) / 80)).cast("int"))
+    path = str(tmp_path / "r")
+    stream.run_scorer(slices, scorer, path)
+    kept, top = in_time(slices)
+    assert len(kept) == rows.count()  # all came in time
+    expected = jobs.score_rows(rows, scorer).filter(F.col("input_time") <= F.lit(top) - F.expr("interval 1 day"))
+    found = stream.scored(spark, path)
+    assert expected.count() > 200
+    assert plain(found) == plain(expected.select(*found.columns))
+
+
 def series(n=700, sensors=3, seed=3):
     r = np.random.default_rng(seed)
     rows = []
