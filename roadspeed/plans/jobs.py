@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..operators import clean, features, graph, predict, split
 from ..operators.base import COLS, Cols, minutes, shared_dir
 from ..sources import tables
+from . import trees
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,7 @@ def fit_tree_model(
 
 def batch_score(model: PipelineModel, df: DataFrame, names: list[str], cols: Cols = COLS) -> DataFrame:
     """Adds prediction and y_pred_total = prediction + value."""
-    out = model.transform(df.fillna(-1.0, names)).drop("features")
+    out = trees.predict(df.fillna(-1.0, names), model)
     return out.withColumn("y_pred_total", F.col("prediction") + F.col(cols.value))
 
 
@@ -148,29 +149,39 @@ def batch_score(model: PipelineModel, df: DataFrame, names: list[str], cols: Col
 GRID = tuple((d, s, n) for d in (10, 8, 6, 4) for s in (0.1, 0.01) for n in (1000, 750, 500, 250))
 
 
+def staged_errors(model: PipelineModel, test: DataFrame, names: list[str]) -> list[float]:
+    """Mean absolute error on ``test`` after one tree, two trees, ... of a model, in one pass."""
+    assembler, fitted = model.stages
+    return fitted.evaluateEachIteration(assembler.transform(test.fillna(-1.0, names)), "absolute")
+
+
 def grid_search_ts(
     df: DataFrame, names: list[str], grid: tuple[tuple[int, float, int], ...] = GRID, k: int = 3, target: str = "target", loss: str = "absolute", at_once: int = 4, cols: Cols = COLS
 ) -> tuple[DataFrame, PipelineModel]:
     """Mean absolute error of every candidate over expanding folds, and the best one fitted again on all rows.
 
-    ``at_once`` fits are submitted side by side, so that the many small jobs of one leave no executor idle.
+    Candidates that differ in the number of trees alone share a fit: with one seed the first trees of a model are the model with fewer trees, so one
+    fit with the most trees tells the errors of all. ``at_once`` fits are submitted side by side, so that the many small jobs of one leave no executor idle.
     """
     spark = df.sparkSession
     folded = split.ts_folds(df, k, cols=cols).persist()
+    most: dict[tuple[int, float], int] = {}
+    for depth, step, n in grid:
+        most[depth, step] = max(n, most.get((depth, step), 0))
 
-    def error(job: tuple[tuple[int, float, int], int]) -> float:
-        (depth, step, n), fold = job
+    def errors(job: tuple[tuple[int, float], int]) -> list[float]:
+        (depth, step), fold = job
         train, test = split.fold_tables(folded, fold)
-        scored = batch_score(fit_tree_model(train, names, target, depth, step, n, loss=loss), test, names, cols)
-        return scored.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
+        return staged_errors(fit_tree_model(train, names, target, depth, step, most[depth, step], loss=loss), test, names)
 
     try:
         folded.count()
+        jobs = [(c, fold) for c in most for fold in range(1, k + 1)]
         with ThreadPoolExecutor(at_once) as pool:
-            errors = list(pool.map(error, [(c, fold) for c in grid for fold in range(1, k + 1)]))
+            found = dict(zip(jobs, pool.map(errors, jobs), strict=True))
     finally:
         folded.unpersist()
-    rows = [(*c, float(sum(errors[i * k : (i + 1) * k]) / k)) for i, c in enumerate(grid)]
+    rows = [(depth, step, n, float(sum(found[(depth, step), fold][n - 1] for fold in range(1, k + 1)) / k)) for depth, step, n in grid]
     best = min(rows, key=lambda r: (r[3], r[:3]))
     table = spark.createDataFrame([(*r, r == best) for r in rows], "max_depth int, step_size double, max_iter int, mae double, best boolean")
     return table, fit_tree_model(df, names, target, *best[:3], loss=loss)
@@ -271,12 +282,12 @@ def score_rows(new: DataFrame, scorer: Scorer, cols: Cols = COLS, warm_up: bool
 # Queries over the test tables
 def build_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-    build_training_tables(tables.readings_split(spark, sf_dir), tables.edges(spark, tables.readings(spark, sf_dir)), path, [3, 1], BuildConfig(lags=3))
+    build_training_tables(tables.readings_split(spark, sf_dir), tables.edges(spark, tables.readings(spark, sf_dir)), path, [3, 1])
     return spark.read.parquet(f"{path}/tables").withColumn("test_set", F.col("test_set").cast("boolean"))  # a partition column is read as text
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finalise_for_horizon(base_features(tables.readings_split(spark, sf_dir), tables.edges(spark, tables.readings(spark, sf_dir)), BuildConfig(lags=6)), 1)
+    return finalise_for_horizon(base_features(tables.readings_split(spark, sf_dir), tables.edges(spark, tables.readings(spark, sf_dir)), BuildConfig()), 1)
 
 
 def _stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +302,8 @@ def fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_score(fit_tree_model(df.filter("not test_set"), names), df.filter("test_set"), names)
 
 
-#: What the query tries: two of each setting of a smaller grid, since each fit of a thousand trees takes minutes.
-QUERY_GRID = tuple((d, s, n) for d in (2, 4) for s in (0.1, 0.3) for n in (2, 4))
+#: What the query tries: as many depths, steps and numbers of trees as ``GRID``, but smaller ones, since a fit of a thousand trees takes minutes.
+QUERY_GRID = tuple((d, s, n) for d in (5, 4, 3, 2) for s in (0.1, 0.3) for n in (8, 6, 4, 2))
 
 
 def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +322,7 @@ def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows scored from stored states alone."""
     df, path = tables.readings_split(spark, sf_dir), f"{shared_dir(spark)}/scorer-{uuid.uuid4().hex}"
-    fit_scorer(df, tables.edges(spark, df), path, config=BuildConfig(lags=6), max_iter=5)
+    fit_scorer(df, tables.edges(spark, df), path, max_iter=5)
     return score_rows(df.filter("test_set"), load_scorer(spark, path))
 
 

@@ -20,6 +20,7 @@ from .operators import shape as H
 from .operators import split as S
 from .operators.base import in_chunks
 from .plans import jobs as J
+from .plans import trees as TR
 from .sources import io as IO
 from .sources import tables as T
 from .streaming import stream as ST
@@ -292,7 +293,6 @@ add(
     "SELECT sensor_id, date, " + ", ".join(f"coalesce((value - lag(value, {i}) OVER w) / (lag(value, {i}) OVER w + 1e-5), -1) AS relative_diff_lag{i}" for i in range(1, 4)) + " FROM readings" + _W,
 )
 add("create_target", _KEYS + "target_total_speed@d target_speed_delta@d target@d prediction_time@t", lambda s, d: X.create_target(T.readings(s, d), 3), T.READINGS + _TARGET, "SELECT sensor_id, date, total AS target_total_speed, total - value AS target_speed_delta, total - value AS target, pt AS prediction_time FROM t0 WHERE total IS NOT NULL")
-add("check_monotonic", "sensor_id n_back@i", lambda s, d: C.check_monotonic(T.readings_irregular(s, d), F.col("event_id") % 7), None)
 add("check_monotonic", "sensor_id n_back@i", lambda s, d: C.check_monotonic(T.readings_irregular(s, d).withColumn("arrival", (F.col("event_id") % 7) * 10_000_000 + F.col("event_id")), "arrival"), T.IRREGULAR, "SELECT sensor_id, count(*) AS n_back FROM (SELECT sensor_id, date < lag(date) OVER (PARTITION BY sensor_id ORDER BY event_id % 7, event_id) AS b FROM irregular) WHERE b GROUP BY 1")
 add("validate_target", "n_rows@i n_mismatch@i", lambda s, d: X.validate_target(T.readings(s, d), X.create_target(T.readings(s, d), 3).withColumn("target_speed_delta", F.col("target_speed_delta") + F.when(F.hour("date") == 4, 1.0).otherwise(0.0)), 3), T.READINGS + _TARGET, "SELECT count(*) AS n_rows, count(*) FILTER (hour(date) = 4) AS n_mismatch FROM t0 WHERE total IS NOT NULL")
 _SLOPE = ", n0 AS (SELECT *, row_number() OVER w AS rn FROM readings" + _W + "), slopes AS (SELECT *, " + ", ".join(f"CASE WHEN count(value) OVER w{k} = {k} THEN regr_slope(value, rn) OVER w{k} END AS s{k}" for k in (5, 10)) + " FROM n0 WINDOW " + ", ".join(f"w{k} AS (PARTITION BY sensor_id ORDER BY date ROWS {k - 1} PRECEDING)" for k in (5, 10)) + ")"
@@ -338,7 +338,10 @@ add(
     "c AS (SELECT " + ", ".join(f"corr({c}, value) AS {c}" for c in _SPEARMAN) + " FROM k)",
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS correlation FROM c WHERE abs({c}) >= 0.01" for c in _SPEARMAN),
 )
-add("keep_correlated", _KEYS + "value@d", lambda s, d: P.keep_correlated(X.calendar_features(T.readings(s, d)), ["hour", "is_saturday"], 2.0), T.READINGS, "SELECT * FROM readings")
+add(
+    "keep_correlated", _KEYS + "value@d half@d", lambda s, d: P.keep_correlated(X.calendar_features(T.readings(s, d)).withColumn("half", F.col("value") / 2 - F.hour("date")), ["half", "hour"], 0.5), T.READINGS
+    + ", c AS (SELECT abs(corr(value / 2 - hour(date), value)) >= 0.5 AND abs(corr(hour(date), value)) < 0.5 AS right_ones FROM readings)", "SELECT sensor_id, date, value, value / 2 - hour(date) AS half FROM readings, c WHERE right_ones",
+)
 add("standardize", _KEYS + "value@d", lambda s, d: P.standardize(T.readings(s, d), T.readings_split(s, d).filter("not test_set"), ["value"]), T.SPLIT + ", m AS (SELECT avg(value) AS a, stddev_pop(value) AS b FROM split WHERE NOT test_set)", "SELECT sensor_id, date, (value - a) / b AS value FROM split, m")
 add("standardize_minmax", _KEYS + "value@d", lambda s, d: P.standardize(T.readings(s, d), T.readings(s, d), ["value"], minmax=True), T.READINGS, "SELECT sensor_id, date, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM readings")
 _target1 = lambda s, d: X.create_target(T.readings(s, d), 1)
@@ -398,6 +401,36 @@ add(
 add("fit_tree_model", _KEYS + "prediction@d target@d", J.fit_query)
 add("grid_search_ts", "max_depth@i step_size@d max_iter@i mae@d best", J.grid_query)
 add("batch_score", _KEYS + "y_pred_total@d", J.score_query)
+# A stored model in its text form, scored by generated code here and as SQL there.
+_MODEL = """
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 41.625)
+     If (feature 1 <= 6.5)
+      Predict: 3.25
+     Else (feature 1 > 6.5)
+      Predict: -1.875
+    Else (feature 0 > 41.625)
+     Predict: -7.5
+  Tree 1 (weight 0.1):
+    If (feature 2 <= -0.125)
+     If (feature 0 <= 20.0)
+      Predict: 11.0
+     Else (feature 0 > 20.0)
+      Predict: 4.0E-1
+    Else (feature 2 > -0.125)
+     If (feature 3 <= 4.5)
+      Predict: -2.0
+     Else (feature 3 > 4.5)
+      Predict: 0.3
+  Tree 2 (weight 0.1):
+    Predict: 0.7
+"""
+_trees = TR.parse_trees(_MODEL, ["value", "hour", "relative_diff_lag1", "day"])
+add(
+    "score_compiled_trees", _KEYS + "prediction@d", lambda s, d: X.calendar_features(X.lag_features(T.readings(s, d), 1)).withColumn("prediction", F.expr(TR.to_sql(_trees))), T.READINGS
+    + ", f AS (SELECT sensor_id, date, value, hour(date) AS hour, isodow(date) - 1 AS day, coalesce((value - lag(value) OVER w) / (lag(value) OVER w + 1e-5), -1) AS relative_diff_lag1 FROM readings" + _W + ")",
+    f"SELECT sensor_id, date, {TR.to_sql(_trees, chr(34))} AS prediction FROM f",
+)
 add("score_new_rows", "input_time@t sensor_id prediction_time@t y_pred_delta@d y_pred_total@d", J.new_rows_query)
 add("fit_apply_states", _KEYS + "sensor_uid@i is_congested@i is_outlier@i", J.states_query, T.SPLIT + _CONG + ", u AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS uid FROM (SELECT DISTINCT sensor_id FROM split WHERE NOT test_set)), q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT c.sensor_id, c.date, coalesce(uid, -1) AS sensor_uid, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong c LEFT JOIN u USING (sensor_id), q WHERE test_set")
 _DRIFT = T.PREDICTIONS + ", p AS (SELECT * FROM predictions WHERE model = 'drift' AND horizon = 1)"

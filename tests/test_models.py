@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from roadspeed.operators import predict, split
-from roadspeed.plans import jobs
+from roadspeed.plans import jobs, trees
 
 START = datetime(2024, 1, 1)
 
@@ -93,3 +94,52 @@ def test_grid_search_over_expanding_folds(spark):
     assert [r.best for r in rows.values()].count(True) == 1
     assert min(rows.values(), key=lambda r: r.mae).best
     assert np.abs((p := jobs.batch_score(best, df, names).toPandas()).prediction - p.target).mean() < 3
+
+
+def test_compiled_trees_score_as_the_model(spark):
+    """The expression and the SQL of a fitted model give what its own transform gives."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1, 3000), "b c": rng.integers(0, 9, 3000), "target": 0.0})
+    pdf["target"] = np.where(pdf.a > 0.3, pdf["b c"], -3.0) + rng.normal(0, 0.1, 3000)
+    df, names = spark.createDataFrame(pdf), ["a", "b c"]
+    for loss in ("squared", "absolute"):
+        model = jobs.fit_tree_model(df, names, max_depth=4, max_iter=6, loss=loss)
+        parsed = trees.trees_of(model)
+        assert len(parsed) == 6
+        out = model.transform(df).withColumn("own", trees.expression(model)).agg(F.max(F.abs(F.col("own") - F.col("prediction")))).first()[0]
+        assert out < 1e-9
+        con = duckdb.connect()
+        con.register("rows", pdf)
+        theirs = con.sql(f"SELECT {trees.to_sql(parsed, chr(34))} AS p FROM rows").fetchnumpy()["p"]
+        assert np.allclose(np.sort(theirs), np.sort(model.transform(df).toPandas().prediction), atol=1e-9)
+
+
+def test_large_models_keep_their_own_transform(spark, monkeypatch):
+    df, names = steps(spark), ["value", "x"]
+    model = jobs.fit_tree_model(df, names, max_depth=2, max_iter=3)
+    expected = corrected(jobs.batch_score(model, df, names))
+    assert "CASE WHEN" in jobs.batch_score(model, df, names)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(trees, "MAX_NODES", 3)
+    out = jobs.batch_score(model, df, names)
+    assert "CASE WHEN" not in out._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(corrected(out).prediction, expected.prediction)
+    assert out.columns == jobs.batch_score(model, df, names).columns
+
+
+def test_text_form_of_trees():
+    text = "DecisionTreeRegressionModel: depth=1\n  If (feature 1 <= 1.0E-4)\n   Predict: -2.5E10\n  Else (feature 1 > 1.0E-4)\n   Predict: 3.0"
+    assert trees.parse_trees(text, ["x", "y"]) == [(1.0, trees.Split("y", 1e-4, -2.5e10, 3.0))]
+    assert trees.parse_trees("", []) == [] and trees.to_sql([]) == "CAST(0 AS DOUBLE)"
+    with pytest.raises(ValueError, match="numeric"):
+        trees.parse_trees("If (feature 0 <= 1.0)\nPredict: 1.0\nElse (feature 0 > 2.0)\nPredict: 2.0", ["x"])
+
+
+def test_stages_of_one_fit_are_the_fits_with_fewer_trees(spark):
+    df, names = steps(spark).withColumn("target", F.col("value") * F.col("target")), ["value", "x"]
+    most = jobs.fit_tree_model(df, names, max_depth=3, max_iter=6)
+    errors = jobs.staged_errors(most, df, names)
+    assert len(errors) == 6
+    for n in (1, 3, 6):
+        out = jobs.batch_score(jobs.fit_tree_model(df, names, max_depth=3, max_iter=n), df, names).toPandas()
+        assert errors[n - 1] == pytest.approx(np.abs(out.prediction - out.target).mean(), rel=1e-9)
+    assert len(jobs.QUERY_GRID) == len(jobs.GRID) == 32
