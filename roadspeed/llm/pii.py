@@ -133,6 +133,13 @@ TOP_DOMAINS = frozenset(
 #: Endings that are common words too: without a bracketed sign they count only if no further word follows on the line.
 _WORD_ENDINGS = frozenset("in me us it at be de es no is as so to am my".split())
 _NEXT_WORD = re.compile(r"[ \t]+\w")
+# Words before a bare "at" that make it prose, and words behind it that name no domain.
+_PROSE_BEFORE = frozenset(
+    "aim aimed am are arrive arrived arrives be been being call called come comes eat end ended ends glance good is laugh laughed live lived lives look looked looking looks meet meeting meets met not point "
+    "pointed remain remained sat shout sit sits smile smiled stand stands stare stared start started starts stay stayed stays stood stop stopped stops study talk talked wait waited waiting was were work worked working works".split()
+)
+_PROSE_BEHIND = frozenset("a all an any das dem den der die each el ein eine every her his it its la las le les los my no our some that the their these this those un una une your".split())
+_BARE_AT = re.compile(_AT, re.I)
 _BARE_DOT = re.compile(rf"@[A-Za-z0-9.-]++(?:{_HIDDEN_DOT}[A-Za-z0-9-]++)+", re.I)
 _BARE_SIGN = re.compile(r"(?<![ \t])[ \t]++(" + "|".join(_SIGNS) + r")[ \t]++", re.I)
 _NUMBER_WORD = "(?:" + "|".join(sorted({*_DIGITS}, key=len, reverse=True)) + ")"
@@ -169,6 +176,10 @@ def _rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
     if bare or view is not text:
         for start, end in (*_addresses(view), *(m.span() for m in _BARE_DOT.finditer(view))):
             found = view[start:end]
+            if "@" not in found and "\x01" not in found and "\x02" not in found:
+                local, domain = _BARE_AT.split(found, maxsplit=1)
+                if local.lower() in _PROSE_BEFORE or re.match(r"[A-Za-z0-9-]*", domain)[0].lower() in _PROSE_BEHIND:
+                    continue
             last = _LAST.search(found.lower())[0]
             known = "\x01" in found or "\x02" in found or "@" in found and "." not in found
             listed = last in TOP_DOMAINS and ("@" in found or last not in _WORD_ENDINGS or not _NEXT_WORD.match(view, end))
