@@ -10,7 +10,7 @@ Spark does all reading and writing, so archives may lie in any store that Spark
 separator hold the exact bytes of UTF-8 records, and each file ends at a record.
 
 Defined cases: a null payload is empty; payloads under ``MIN_REVISIT`` bytes are never revisits; ties do not occur, the
-largest id is the response; repeated (id, payload) rows are each written, all as the type of their page, and a revisit of
+largest id (numbers by size, strings by code point) is the response; ids of any type travel in a header, percent-encoded, and come back in their type; repeated (id, payload) rows are each written, all as the type of their page, and a revisit of
 repeated responses names the record id that they share. Without an id a page is written and read back with a null id; it is
 a response only if no page with an id has its payload. A record whose header line does not fit its version raises
 ValueError. Other columns are left out.
@@ -24,6 +24,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -143,7 +144,7 @@ def unzip(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-_ARC_SCHEMA = "url string, ip string, date string, mime string, body binary, page_id long, payload_bytes long, sha1 string"
+_ARC_SCHEMA = "url string, ip string, date string, mime string, body binary, page_id string, payload_bytes long, sha1 string"
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -155,7 +156,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             parts, size = [], 0
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
-                body = http_response(payload, {"Content-Type": "text/html; charset=utf-8", "X-Page-Id": str(page)})
+                body = http_response(payload, {"Content-Type": "text/html; charset=utf-8"} | ({} if page is None else {"X-Page-Id": quote(str(page))}))
                 record = arc_record(version, _BLANK.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "-"), body)
                 parts.append(record)
                 size += len(record)
@@ -169,8 +170,8 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(id_col, url_col, html_col).mapInArrow(write, "content binary")
 
 
-def arc_records(files: DataFrame) -> DataFrame:
-    """Records of ARC files (column ``content``, gzipped or not): header fields, body, page_id (header X-Page-Id, or null), payload_bytes and sha1 (hex)."""
+def arc_records(files: DataFrame, id_type: str = "long") -> DataFrame:
+    """Records of ARC files (column ``content``, gzipped or not): header fields, body, page_id (header X-Page-Id as ``id_type``, or null), payload_bytes and sha1 (hex)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,18 +180,18 @@ def arc_records(files: DataFrame) -> DataFrame:
                 for r in parse_arc(unzip(content.as_py())):
                     headers, payload = parse_http(r["body"])
                     page = headers.get("x-page-id")
-                    rows.append((*r.values(), int(page) if page and page.lstrip("-").isdigit() else None, len(payload), hashlib.sha1(payload).hexdigest()))
+                    rows.append((*r.values(), None if page is None else unquote(page), len(payload), hashlib.sha1(payload).hexdigest()))
                     size += len(r["body"])
                     if size > FILE_BYTES // 4:
                         yield _batch(rows)
                         rows, size = [], 0
                 yield _batch(rows)
 
-    return files.select("content").mapInArrow(parse, _ARC_SCHEMA)
+    return files.select("content").mapInArrow(parse, _ARC_SCHEMA).withColumn("page_id", F.col("page_id").try_cast(id_type))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.string()] * 4 + [pa.binary(), pa.string(), pa.int64(), pa.string()]
     names = ["url", "ip", "date", "mime", "body", "page_id", "payload_bytes", "sha1"]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -234,11 +235,11 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(warc_text(records).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
 
 
-_WARC_SCHEMA = "record_type string, record_id string, refers_to_id string, uri string, date string, payload_digest string, page_id long, payload binary"
+_WARC_SCHEMA = "record_type string, record_id string, refers_to_id string, uri string, date string, payload_digest string, page_id string, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files in a folder; the payload of a revisit is null."""
+def read_warc(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """One row per record of the WARC files in a folder; the payload of a revisit is null, page_id is the header X-Page-Id as ``id_type``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +252,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append(
                         (
                             fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-target-uri"], fields["warc-date"],
-                            fields["warc-payload-digest"], int(page) if page and page.lstrip("-").isdigit() else None, None if revisit else payload,
+                            fields["warc-payload-digest"], None if page is None else unquote(page), None if revisit else payload,
                         )
                     )
                     size += len(block)
@@ -260,11 +261,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _read_batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, _WARC_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, _WARC_SCHEMA).withColumn("page_id", F.col("page_id").try_cast(id_type))
 
 
 def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+    types = [pa.string()] * 7 + [pa.binary()]
     names = [x.split()[0] for x in _WARC_SCHEMA.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -276,8 +277,9 @@ def convert_pages(spark: SparkSession, pages: DataFrame, path: str | None = None
     One row per record: page_id, record_type, payload_bytes, payload_digest (lower-case hex), refers_to (page_id).
     """
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(mark_revisits(arc_records(pages_to_arc(pages))), path)
-    back = read_warc(spark, path)
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    write_warc(mark_revisits(arc_records(pages_to_arc(pages), id_type)), path)
+    back = read_warc(spark, path, id_type)
     # A revisit has its length from the response that it names, as a reader of the archive would find it.
     rows = back.select("page_id", "record_type", "record_id", "refers_to_id", "payload_digest", F.octet_length("payload").cast("long").alias("n"))
     responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.max("page_id").alias("refers_to"), F.max("n").alias("_n"))

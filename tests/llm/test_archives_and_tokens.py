@@ -129,3 +129,13 @@ def test_repeated_rows_and_missing_ids(spark, tmp_path):
         expected.append((i, len(h or ""), digest(h), "revisit" if revisit else "response", top if revisit else None))
     got = [(r.page_id, r.payload_bytes, base64.b32decode(r.payload_digest[5:]).hex(), r.record_type, r.refers_to) for r in found]
     assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_ids_of_any_type_come_back(spark):
+    body = "x" * 1500
+    rows = [("a/b c", body), ("é\n1", body), ("", "short"), ("10", "y" * 2000), ("9", "y" * 2000), (None, "no id")]
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.convert_pages(spark, spark.createDataFrame([(i, "http://a/", h) for i, h in rows], "page_id string, url string, html string")).collect()}
+    assert found == {"a/b c": ("revisit", "é\n1"), "é\n1": ("response", None), "": ("response", None), "10": ("revisit", "9"), "9": ("response", None), None: ("response", None)}
+    small = spark.createDataFrame([(10, "u", "y" * 2000), (9, "u", "y" * 2000)], "page_id int, url string, html string")
+    out = warc.convert_pages(spark, small)
+    assert dict(out.dtypes)["page_id"] == "int" and {r.page_id: r.refers_to for r in out.collect()} == {10: None, 9: 10}
