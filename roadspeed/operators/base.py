@@ -47,6 +47,33 @@ def in_chunks(df: DataFrame, op: Callable[[DataFrame, Cols], DataFrame], hours:
     return done.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk", "_part")
 
 
+def summed_before(df: DataFrame, weight: Column, before: str, total: str, date: str = COLS.date, hours: int = 720) -> DataFrame:
+    """Adds, to a table of different dates, what a weight adds up to over all earlier dates, and over all of them.
+
+    In two levels: chunks of time are summed, the few sums are put in order, and dates are put in order inside their chunk alone, so that no
+    task orders all of them.
+    """
+    rows = df.withColumns({"_chunk": F.coalesce(F.floor(F.unix_seconds(F.col(date).cast("timestamp")) / (hours * 3600)), F.lit(-(2**60))), "_weight": weight.cast("long")})
+    sums = rows.groupBy(F.col("_chunk").alias("_of")).agg(F.sum("_weight").alias("_sum"))
+    ahead = F.sum("_sum").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = sums.select("_of", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_sum").over(Window.partitionBy()).alias(total))  # a row by chunk of time
+    inside = F.sum("_weight").over(Window.partitionBy("_chunk").orderBy(date).rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(chunks), F.col("_chunk") == F.col("_of"))
+    return out.withColumn(before, F.col("_ahead") + F.col("_inside")).drop("_chunk", "_weight", "_of", "_ahead", "_inside")
+
+
+def trailing_blocks(df: DataFrame, position: str, reach: int, op: Callable[[DataFrame, Window], DataFrame], size: int = 100_000) -> DataFrame:
+    """``op`` with a window over all rows in order of a position (0, 1, 2, ...), in blocks of ``size`` rows that also hold the ``reach`` rows before each.
+
+    ``op`` gets the rows and a window spec to which it adds a frame of at most ``reach`` rows back.
+    """
+    size = max(size, reach + 1)
+    own = F.floor(F.col(position) / size)
+    rows = df.withColumns({"_own": own, "_block": F.explode(F.sequence(own, F.floor((F.col(position) + reach) / size)))})
+    done = op(rows, Window.partitionBy("_block").orderBy(position))
+    return done.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
 def minutes(n: int | Column) -> Column:
     """An interval of n minutes."""
     return F.make_dt_interval(mins=F.lit(n) if isinstance(n, int) else n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import CHUNK_HOURS, ewmas
 from ..functions.quantiles import exact_quantiles
-from .base import COLS, Cols, minutes
+from .base import COLS, Cols, minutes, summed_before, trailing_blocks
 
 
 # Encoders: fit gives a small table by sensor, apply joins it.
@@ -206,11 +206,11 @@ def rolling_context(df: DataFrame, windows: tuple[int, ...] = (6, 24), cols: Col
 
 
 def network_context(df: DataFrame, windows: tuple[int, ...] = (6, 24), cols: Cols = COLS) -> DataFrame:
-    """The same on the mean over all sensors, one row for each date (as many as there are time steps, however many sensors)."""
+    """The same on the mean over all sensors, one row for each date. Dates are numbered in two levels, and frames run inside blocks of them with the rows before each."""
     mean = df.groupBy(cols.date).agg(F.avg(cols.value).alias("network_mean"))
-    at = Window.orderBy(cols.date)
-    context = mean.withColumns({f"network_{k}": v for w in windows for k, v in _against("network_mean", at.rowsBetween(1 - w, 0), w).items()})
-    return df.join(context, cols.date)
+    placed = summed_before(mean, F.lit(1), "_at", "_n", cols.date)
+    against = lambda rows, at: rows.withColumns({f"network_{k}": v for w in windows for k, v in _against("network_mean", at.rowsBetween(1 - w, 0), w).items()})
+    return df.join(trailing_blocks(placed, "_at", max(windows) - 1, against).drop("_at", "_n"), cols.date)
 
 
 def step_seconds(df: DataFrame, cols: Cols = COLS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import COLS, Cols
+from .base import COLS, Cols, summed_before
 
 
 def _boundary_index(n: Column, test_size: float) -> Column:
@@ -15,8 +15,7 @@ def _boundary_index(n: Column, test_size: float) -> Column:
 
 def date_index(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """date, idx (from 0), n: the distinct dates in order."""
-    dates = df.select(cols.date).distinct()
-    return dates.select(cols.date, (F.row_number().over(Window.orderBy(cols.date)) - 1).cast("long").alias("idx"), F.count("*").over(Window.partitionBy()).alias("n"))
+    return summed_before(df.select(cols.date).distinct(), F.lit(1), "idx", "n", cols.date).select(cols.date, "idx", "n")
 
 
 def test_boundary(df: DataFrame, test_size: float = 1 / 3, start: str | None = None, cols: Cols = COLS) -> DataFrame:
@@ -46,18 +45,16 @@ def label_splits(dated: DataFrame, val_fraction: float = 0.3, fallback: float =
 
     Without flagged dates the last 1 - ``fallback`` of all dates are the test part.
     """
-    n = F.count("*").over(Window.partitionBy())
-    flagged = F.min(F.when(F.col(cols.test), F.col("idx"))).over(Window.partitionBy())
-    first_test = F.coalesce(flagged, F.floor(n * F.lit(fallback)).cast("long"))
-    first_val = first_test - F.floor(first_test * F.lit(val_fraction)).cast("long")
-    split = F.when(F.col("idx") >= first_test, "test").when(F.col("idx") >= first_val, "val").otherwise("train")
-    return dated.select(cols.date, "idx", split.alias("split"))
+    first_test = F.coalesce(F.min(F.when(F.col(cols.test), F.col("idx"))), F.floor(F.count("*") * F.lit(fallback)).cast("long"))
+    edge = dated.agg(first_test.alias("_test")).withColumn("_val", F.col("_test") - F.floor(F.col("_test") * F.lit(val_fraction)).cast("long"))  # one row
+    split = F.when(F.col("idx") >= F.col("_test"), "test").when(F.col("idx") >= F.col("_val"), "val").otherwise("train")
+    return dated.join(F.broadcast(edge), F.lit(True)).select(cols.date, "idx", split.alias("split"))
 
 
 def target_splits(df: DataFrame, val_fraction: float = 0.3, cols: Cols = COLS) -> DataFrame:
     """Contiguous index ranges over the distinct dates: date, idx, split."""
     dates = df.groupBy(cols.date).agg(F.max(cols.test).alias(cols.test))
-    return label_splits(dates.withColumn("idx", (F.row_number().over(Window.orderBy(cols.date)) - 1).cast("long")), val_fraction, cols=cols)
+    return label_splits(summed_before(dates, F.lit(1), "idx", "_n", cols.date).drop("_n"), val_fraction, cols=cols)
 
 
 def ratio_splits(df: DataFrame, train: float = 0.7, val: float = 0.1, cols: Cols = COLS) -> DataFrame:
@@ -71,8 +68,7 @@ def ratio_splits(df: DataFrame, train: float = 0.7, val: float = 0.1, cols: Cols
 def global_position(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """Adds pos (from 0) in order of (date, sensor) and n: rows before the date, from counts by date, plus the rank inside the date."""
     counts = df.groupBy(cols.date).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.orderBy(cols.date).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col(cols.date).alias("_d"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("n"))
+    offsets = summed_before(counts, F.col("_c"), "_before", "n", cols.date).select(F.col(cols.date).alias("_d"), "_before", "n")
     rank = F.row_number().over(Window.partitionBy(cols.date).orderBy(cols.sensor)) - 1
     return df.join(offsets, F.col(cols.date) == F.col("_d")).withColumn("pos", (F.col("_before") + rank).cast("long")).drop("_d", "_before")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadspeed.operators import features, graph
+from roadspeed.operators import base, features, graph, split
 from roadspeed.operators.base import COLS
 from roadspeed.plans import jobs
 
@@ -134,3 +134,25 @@ def test_columns_keep_their_place_and_names(stored):
     assert graph.adjacent_values(df, edges, 1).columns == [*df.columns, "downstream_sensor_1", "upstream_sensor_1"]
     assert graph.with_lookup(df, 60).columns == [*df.columns, "lookup_time"]
     assert COLS.sensor in df.columns
+
+
+def test_dates_are_ordered_in_blocks(spark, monkeypatch):
+    """Positions and frames over all dates without a window that holds them all."""
+    rng = np.random.default_rng(3)
+    rows = [(s, START + timedelta(hours=int(h)), float(rng.integers(0, 90))) for h in rng.choice(4000, 900, replace=False) for s in ("A", "B") if rng.random() > 0.2]
+    df = spark.createDataFrame(rows, "sensor_id string, date timestamp, value double").repartition(6)
+    dates = sorted({d for _, d, _ in rows})
+    index = base.summed_before(df.select("date").distinct(), F.lit(1), "idx", "n", hours=50)
+    assert sorted((r.date, r.idx, r.n) for r in index.collect()) == [(d, i, len(dates)) for i, d in enumerate(dates)]
+    assert [(r.pos, r.n) for r in split.global_position(df).orderBy("date", "sensor_id").select("pos", "n").collect()] == [(i, len(rows)) for i in range(len(rows))]
+    means = [np.mean([v for _, dd, v in rows if dd == d]) for d in dates]
+    wide = features.network_context(df, (6, 24))
+    blocks = base.trailing_blocks(index.withColumn("v", F.col("idx") * 1.0), "idx", 5, lambda t, at: t.withColumn("s", F.sum("v").over(at.rowsBetween(-5, 0))), size=7)
+    assert sorted((r.idx, r.s) for r in blocks.collect()) == [(i, float(sum(range(max(0, i - 5), i + 1)))) for i in range(len(dates))]
+    by = {r.date: r for r in wide.collect()}
+    for i, d in enumerate(dates):
+        for w in (6, 24):
+            near = means[max(0, i - w + 1) : i + 1]
+            assert by[d][f"network_dev_{w}"] == pytest.approx(means[i] - np.mean(near), abs=1e-9)
+    text = wide._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SinglePartition") <= 2  # the chunks of time, put in order and summed
