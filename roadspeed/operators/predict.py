@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import ewma, kalman
 from ..functions.quantiles import exact_quantiles
@@ -89,6 +93,44 @@ def to_wide(df: DataFrame, sensors: list[str], cols: Cols = COLS) -> DataFrame:
     return wide.join(flags, cols.date).select(cols.date, *sensors, cols.test)
 
 
+def wide_arrays(df: DataFrame, ordinals: DataFrame, measures: tuple[str, ...] | None = None, by: tuple[str, ...] | None = None, cols: Cols = COLS) -> DataFrame:
+    """by..., ``sensors`` (ordinals that have a row) and an array for each measure beside it: a wide table for more sensors than a table has columns.
+
+    ``ordinals``: sensor, sensor_uid from 0, see ``features.fit_ordinal``; sensors without one are left out. Measures default to the value, ``by`` to the date. A row of the
+    result is as long as the network is large at its key, and one grouping makes it. Two rows of one (key, sensor) are an error.
+    """
+    by, measures = list(by or (cols.date,)), list(measures or (cols.value,))
+    known = df.join(ordinals.select(F.col(cols.sensor).alias("_s"), F.col("sensor_uid").cast("int").alias("_uid")), F.col(cols.sensor) == F.col("_s"))
+    cells = F.array_sort(F.collect_list(F.struct("_uid", *[F.col(m).alias(m) for m in measures])))
+    out = known.groupBy(*by).agg(cells.alias("_cells")).withColumn("sensors", F.col("_cells._uid"))
+    once = F.size(F.array_distinct("sensors")) == F.size("sensors")
+    out = out.withColumn("sensors", F.when(once, F.col("sensors")).otherwise(F.raise_error(F.lit("two rows of one sensor"))))
+    return out.select(*by, "sensors", *[F.col(f"_cells.{m}").alias(m) for m in measures])
+
+
+def dense_arrays(wide: DataFrame, n_sensors: int, measures: tuple[str, ...]) -> DataFrame:
+    """``wide_arrays`` with an entry for each of ``n_sensors`` ordinals, null where a sensor has no row, in place of the list of ordinals."""
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name in measures else f for f in wide.schema if f.name != "sensors"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows, sensors = batch.num_rows, table.column("sensors").combine_chunks()
+            at = np.repeat(np.arange(rows), np.diff(sensors.offsets.to_numpy())) * n_sensors + sensors.flatten().to_numpy()
+            ends = pa.array(np.arange(rows + 1, dtype=np.int32) * n_sensors)
+            out = []
+            for f in schema:
+                column = table.column(f.name).combine_chunks()
+                if f.name in measures:
+                    cells = np.full(rows * n_sensors, np.nan)
+                    cells[at] = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    column = pa.ListArray.from_arrays(ends, pa.array(cells, from_pandas=True))
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return wide.mapInArrow(spread, schema)
+
+
 def sanitize_wide(df: DataFrame, cols: Cols = COLS) -> DataFrame:
     """The datetime column, numeric columns and a boolean test_set."""
     times = [c for c, t in df.dtypes if t.startswith("timestamp") or t == "date"]

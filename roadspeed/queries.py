@@ -352,6 +352,17 @@ add("null_report", "sensor_id@i date@i value@i", lambda s, d: C.null_report(T.re
 
 # 2.9 Reshape, windows as rows
 add("to_wide", f"date@t {_ALL} test_set", lambda s, d: P.to_wide(T.readings_split(s, d), T.SENSORS), T.SPLIT, "SELECT date, " + ", ".join(f"max(value) FILTER (sensor_id = '{x}') AS {x}" for x in T.SENSORS) + ", max(test_set) AS test_set FROM split GROUP BY 1")
+_known = lambda s, d: X.fit_ordinal(T.readings(s, d).filter("sensor_id <> 'S03'"))  # noqa: E731  S03 has no place
+_shown_list = lambda df, c: df.withColumn(c, F.concat_ws(",", F.transform(c, lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.4f", x)))))
+_UID = ", u AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS uid FROM (SELECT DISTINCT sensor_id FROM readings WHERE sensor_id <> 'S03'))"
+add(
+    "to_wide_arrays", "date@t sensors value", lambda s, d: _shown_list(P.wide_arrays(T.readings(s, d), _known(s, d)), "value").withColumn("sensors", F.concat_ws(",", F.col("sensors").cast("array<string>"))), T.READINGS + _UID,
+    "SELECT date, string_agg(uid::varchar, ',' ORDER BY uid) AS sensors, string_agg(printf('%.4f', value), ',' ORDER BY uid) AS value FROM readings JOIN u USING (sensor_id) GROUP BY 1",
+)
+add(
+    "to_wide_dense", "date@t value", lambda s, d: _shown_list(P.dense_arrays(P.wide_arrays(T.readings(s, d), _known(s, d)), 7, ("value",)), "value"), T.READINGS + _UID,
+    "SELECT d.date, string_agg(coalesce(printf('%.4f', r.value), '-'), ',' ORDER BY uid) AS value FROM (SELECT DISTINCT date FROM readings JOIN u USING (sensor_id)) d CROSS JOIN u LEFT JOIN readings r ON r.sensor_id = u.sensor_id AND r.date = d.date GROUP BY 1",
+)
 add(
     "melt_external_predictions", "sensor_id gman_prediction@d gman_prediction_date@t gman_target_date@t", lambda s, d: P.melt_external_predictions(T.wide_predictions(s, d), T.SENSORS, minutes_per_step=60), T.WIDE,
     " UNION ALL ".join(f"SELECT '{x}' AS sensor_id, {x}_pred AS gman_prediction, timestamp - INTERVAL 3 HOUR AS gman_prediction_date, timestamp AS gman_target_date FROM wide WHERE timestep = 2" for x in T.SENSORS),

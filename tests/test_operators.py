@@ -145,3 +145,21 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     for out in (clean.filter_extremes(none), split.flag_test_set(none), features.lag_features(none, 2), features.rolling_volatility(none), clean.align_timeframe(none)):
         assert out.count() == 0
+
+
+def test_wide_tables_of_ten_thousand_sensors(spark):
+    """Ordinals and values in arrays, sparse and dense; a null value and an absent row differ in the sparse form only."""
+    n = 10_000
+    df = spark.range(3 * n).select(F.format_string("X%05d", F.col("id") % n).alias("sensor_id"), F.timestamp_seconds(F.floor(F.col("id") / n) * 3600).alias("date"), (F.col("id") * 1.0).alias("value"))
+    df = df.filter("sensor_id <> 'X00003' or date > '1970-01-01 00:30:00'").withColumn("value", F.when(F.col("sensor_id") != "X00007", F.col("value")))
+    sparse = predict.wide_arrays(df, features.fit_ordinal(df))
+    assert [len(r.sensors) for r in sparse.orderBy("date").collect()] == [n - 1, n, n]
+    dense = predict.dense_arrays(sparse, n, ("value",)).orderBy("date").collect()
+    expected = [[float(h * n + i) if i != 7 and (i != 3 or h) else None for i in range(n)] for h in range(3)]
+    assert [r.value for r in dense] == expected
+    with pytest.raises(Exception, match="two rows"):
+        predict.wide_arrays(df.unionByName(df), features.fit_ordinal(df)).collect()
+    empty = predict.wide_arrays(df.limit(0), features.fit_ordinal(df))
+    assert empty.collect() == [] and predict.dense_arrays(empty, n, ("value",)).collect() == []
+    both = predict.wide_arrays(df.withColumn("y_pred", F.col("value") + 1), features.fit_ordinal(df), ("value", "y_pred"))
+    assert both.columns == ["date", "sensors", "value", "y_pred"]
