@@ -24,10 +24,11 @@ def _joined(df: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
     return df.join(side, same)
 
 
-def _round(rows: DataFrame, by: list[str], ps: list[float], inside: list[Column], below: list[Column], *known: str) -> DataFrame:
-    """By group: number of values, and for each quantile those below its bracket, those inside, and a sketch of them; what is ``known`` of the group stays."""
-    steps, v = [i / STEPS for i in range(STEPS + 1)], F.col("_v")
-    out = [F.count("*").alias("_n"), *[F.first(c).alias(c) for c in known]]
+def _round(rows: DataFrame, by: list[str], ps: list[float], inside: list[Column], below: list[Column], more: list[Column]) -> DataFrame:
+    """By group: number of values, and for each quantile those below its bracket, those inside, and a sketch of them; and ``more``."""
+    # One literal in place of a thousand, which the optimizer would walk through again and again.
+    steps, v = F.split(F.lit(",".join(str(i / STEPS) for i in range(STEPS + 1))), ",").cast("array<double>"), F.col("_v")
+    out = [F.count("*").alias("_n"), *more]
     for i in range(len(ps)):
         out += [F.count_if(below[i]).alias(f"_below{i}"), F.count_if(inside[i]).alias(f"_inside{i}"), F.percentile_approx(F.when(inside[i], v), steps, ACCURACY).alias(f"_q{i}")]
     return rows.groupBy(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)]).agg(*out)
@@ -48,34 +49,33 @@ def _bracketed(state: DataFrame, ps: list[float]) -> DataFrame:
     return state.withColumns(ends).drop(*[f"_{x}{i}" for i in range(len(ps)) for x in ("q", "inside", "below")])
 
 
-def exact_quantiles(df: DataFrame, column: str | Column, quantiles: dict[str, float], by: list[str] | None = None, rounds: int = 2) -> DataFrame:
-    """by..., and a column for each name: the quantile of the values that are not null; null where there are none. Three scans of ``df``."""
-    by, names, ps = by or [], list(quantiles), list(quantiles.values())
+def exact_quantiles(df: DataFrame, column: str | Column, quantiles: dict[str, float], by: list[str] | None = None, rounds: int = 2, more: dict[str, Column] | None = None) -> DataFrame:
+    """by..., and a column for each name: the quantile of the values that are not null; null where there are none. Three scans of ``df``.
+
+    ``more`` are further aggregates over the rows with a value, taken in the first scan.
+    """
+    by, names, ps, more = by or [], list(quantiles), list(quantiles.values()), more or {}
     k, every = [f"_k{i}" for i in range(len(by))], F.lit(True)
-    values = df.select(*by, (F.col(column) if isinstance(column, str) else column).cast("double").alias("_v"))
-    rows = values.filter(F.col("_v").isNotNull())
-    none = F.lit(None).cast("double")
-    state = _round(rows, by, ps, [every] * len(ps), [~every] * len(ps)).withColumns({f"_{e}{i}": none for i in range(len(ps)) for e in ("lo", "hi")})
-    v, ends = F.col("_v"), [f"_{e}{i}" for i in range(len(ps)) for e in ("lo", "hi")]
+    rows = df.withColumn("_v", (F.col(column) if isinstance(column, str) else column).cast("double")).filter(F.col("_v").isNotNull())
+    none, v = F.lit(None).cast("double"), F.col("_v")
+    ends, kept = [f"_{e}{i}" for i in range(len(ps)) for e in ("lo", "hi")], [f"_more{i}" for i in range(len(more))]
+    state = _round(rows, by, ps, [every] * len(ps), [~every] * len(ps), [c.alias(x) for x, c in zip(kept, more.values(), strict=True)]).withColumns(dict.fromkeys(ends, none))
+    values = rows.select(*by, "_v")
     below = [F.coalesce(v < F.col(f"_lo{i}"), F.lit(False)) for i in range(len(ps))]
     inside = [F.coalesce(v >= F.col(f"_lo{i}"), F.lit(True)) & F.coalesce(v <= F.col(f"_hi{i}"), F.lit(True)) for i in range(len(ps))]
     for _ in range(rounds - 1):
-        state = _round(_joined(rows, _bracketed(state, ps), by), by, ps, inside, below, *ends)
-    state = _bracketed(state, ps)
-    met = _joined(rows, state, by)
+        state = _round(_joined(values, _bracketed(state, ps), by), by, ps, inside, below, [F.first(c).alias(c) for c in (*ends, *kept)])
     # A last count of what is below, and the values inside by how often they occur.
-    tally = met.select(*k, v, *[F.when(below[i], -1).when(inside[i], 0).otherwise(1).alias(f"_side{i}") for i in range(len(ps))])
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_side{i}").alias("side"), F.when(F.col(f"_side{i}") == 0, v).alias("v")) for i in range(len(ps))])).alias("_c")
-    counts = tally.select(*k, cells).select(*k, "_c.*").filter("side < 1").groupBy(*k, "i", "side", "v").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*k, "i").orderBy("side", "v")
-    after = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = _joined(values, _bracketed(state, ps), by)
+    side = [F.when(below[i], -1).when(inside[i], 0) for i in range(len(ps))]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side[i].alias("side"), F.when(side[i] == 0, v).alias("v")) for i in range(len(ps))])).alias("_c")
+    found = met.select(*k, "_n", *kept, cells).filter("_c.side is not null")
+    counts = found.groupBy(*k, F.col("_c.i").alias("i"), F.col("_c.side").alias("side"), F.col("_c.v").alias("v")).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("_n", *kept)])
+    after = F.sum("c").over(Window.partitionBy(*k, "i").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumns({"_to": after, "_from": after - F.col("c")})
-    sizes = state.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(k)], "_n")
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(k)), every)
-    placed = placed.join(F.broadcast(sizes) if not by else sizes, same)
-    picks = []
+    picks = [F.first(c).alias(x) for x, c in zip(more, kept, strict=True)]
     for i, (name, p) in enumerate(zip(names, ps, strict=True)):
         at = lambda x, i=i: F.max(F.when((F.col("i") == i) & (F.col("side") == 0) & (F.col("_from") <= x) & (x < F.col("_to")), F.col("v")))
         a, b, rank = at(F.floor(_rank(p))), at(F.ceil(_rank(p))), (F.max("_n") - 1) * F.lit(float(p))
         picks.append(F.when(a == b, a).otherwise((F.ceil(rank) - rank) * a + (rank - F.floor(rank)) * b).alias(name))
-    return placed.groupBy(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)]).agg(*picks)
+    return placed.groupBy(*[F.col(x).alias(c) for x, c in zip(k, by, strict=True)]).agg(*picks)

@@ -293,16 +293,17 @@ def _absolute(y: Column, p: Column) -> Column:
     return F.abs(y - p)
 
 
+_METRICS = ("n", "mae", "rmse", "mape", "smape", "mae_std", "median_ae_std", "rmse_std", "mape_std", "smape_std")
+
+
 def error_metrics(y: Column, p: Column, epsilon: float = 1e-2, drop_zero: bool = False) -> list[Column]:
     """MAE, RMSE, MAPE (x 100, denominator epsilon at least, or zero actuals dropped), SMAPE with their population spreads; all add up from parts."""
     ae, se = _absolute(y, p), (y - p) * (y - p)
     ape = (F.when(y != 0, F.try_divide(ae, F.abs(y))) if drop_zero else ae / F.greatest(F.abs(y), F.lit(epsilon))) * 100
     middle = (F.abs(y) + F.abs(p)) / 2
     smape = F.try_divide(ae, F.when(middle == 0, F.lit(1.0)).otherwise(middle)) * 100
-    return [
-        F.count("*").alias("n"), F.avg(ae).alias("mae"), F.sqrt(F.avg(se)).alias("rmse"), F.avg(ape).alias("mape"), F.avg(smape).alias("smape"),
-        F.stddev_pop(ae).alias("mae_std"), F.stddev_pop(ae).alias("median_ae_std"), F.stddev_pop(se).alias("rmse_std"), F.stddev_pop(ape).alias("mape_std"), F.stddev_pop(smape).alias("smape_std"),
-    ]
+    found = [F.count("*"), F.avg(ae), F.sqrt(F.avg(se)), F.avg(ape), F.avg(smape), F.stddev_pop(ae), F.stddev_pop(ae), F.stddev_pop(se), F.stddev_pop(ape), F.stddev_pop(smape)]
+    return [c.alias(x) for x, c in zip(_METRICS, found, strict=True)]
 
 
 def evaluate_model(df: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "y_pred", epsilon: float = 1e-2, drop_zero: bool = False, accuracy: int | None = None) -> DataFrame:
@@ -315,12 +316,9 @@ def evaluate_model(df: DataFrame, by: list[str] | None = None, y: str = "y", p:
     if accuracy:
         out = rows.groupBy(*by).agg(*metrics, F.percentile_approx(_absolute(F.col(y), F.col(p)), 0.5, accuracy).alias("median_ae"))
     else:
-        middle = exact_quantiles(rows, _absolute(F.col(y), F.col(p)), {"median_ae": 0.5}, by)
-        side = middle.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by)], "median_ae")
-        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(by)), F.lit(True))
-        out = rows.groupBy(*by).agg(*metrics).join(side if by else F.broadcast(side), same, "left")
-    names = ["n", "mae", "median_ae", "rmse", "mape", "smape", "mae_std", "median_ae_std", "rmse_std", "mape_std", "smape_std"]
-    return out.select(*by, *names)
+        named = dict(zip(_METRICS, metrics, strict=True))
+        out = exact_quantiles(rows, _absolute(F.col(y), F.col(p)), {"median_ae": 0.5}, by, more=named).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return out.select(*by, "n", "mae", "median_ae", *_METRICS[2:])
 
 
 def evaluate_naive(df: DataFrame, by: list[str] | None = None, y: str = "y", accuracy: int | None = None, cols: Cols = COLS) -> DataFrame:

@@ -31,7 +31,7 @@ def test_only_the_bracket_is_put_in_order(spark, monkeypatch):
     df = spark.range(200_000).select((F.hash("id") * 1.0).alias("v"))
     found = quantiles.exact_quantiles(df, "v", {"m": 0.5})
     assert found.first().m == df.agg(F.percentile("v", 0.5)).first()[0]
-    state = quantiles._round(df.select(F.col("v").alias("_v")), [], [0.5], [F.lit(True)], [F.lit(False)]).withColumns({"_lo0": F.lit(None).cast("double"), "_hi0": F.lit(None).cast("double")})
+    state = quantiles._round(df.select(F.col("v").alias("_v")), [], [0.5], [F.lit(True)], [F.lit(False)], []).withColumns({"_lo0": F.lit(None).cast("double"), "_hi0": F.lit(None).cast("double")})
     ends = quantiles._bracketed(state, [0.5]).first()
     assert 0 < df.filter(F.col("v").between(ends["_lo0"], ends["_hi0"])).count() < 1000
     assert "percentile(" not in found._jdf.queryExecution().executedPlan().toString()
