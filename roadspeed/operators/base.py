@@ -93,9 +93,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings that the operators were planned for: one time zone, and joins on (sensor, date) that reuse an exchange by sensor."""
+    """Session settings that results depend on: one time zone, in which calendar columns and chunks of time are told."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 

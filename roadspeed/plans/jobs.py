@@ -192,19 +192,39 @@ def fit_states(train: DataFrame, cols: Cols = COLS) -> dict[str, DataFrame]:
     return {"ordinal": features.fit_ordinal(train, cols), "congestion": features.fit_congestion(train, cols=cols), "outlier": features.fit_outlier(train, cols=cols)}
 
 
+def fit_all_states(train: DataFrame, edges: DataFrame | None = None, target: str = "target", minutes_per_row: int = 1, cols: Cols = COLS) -> dict[str, DataFrame]:
+    """The states of every transformer: those, target means by sensor, label scaling if there is a target, travel times if there are edges."""
+    states = fit_states(train, cols) | {"mean": features.fit_mean(train, cols)}
+    if target in train.columns:
+        states["labels"] = predict.fit_label_scaling(train, target, cols)
+    if edges is not None:
+        states["upstream"] = graph.upstream_travel_time(train, edges, minutes_per_row=minutes_per_row, cols=cols)
+    return states
+
+
 def save_states(states: dict[str, DataFrame], path: str) -> None:
+    """Each state as a table under ``path``, and the list of their names last, so that a list stands for whole states."""
     for name, state in states.items():
         state.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(states.values())).sparkSession
+    spark.createDataFrame([(n,) for n in states], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/names")
 
 
 def load_states(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("ordinal", "congestion", "outlier")}
+    return {r.value: spark.read.parquet(f"{path}/{r.value}") for r in spark.read.text(f"{path}/names").collect()}
 
 
-def apply_states(df: DataFrame, states: dict[str, DataFrame], cols: Cols = COLS) -> DataFrame:
-    """The same stack as in training, on batches or streams."""
+def apply_states(df: DataFrame, states: dict[str, DataFrame], target: str = "target", neighbors: int = 1, cols: Cols = COLS) -> DataFrame:
+    """The same stack as in training: a column for each state that there is. On streams all but the upstream columns, which need rows in order."""
     out = features.encode_sensor_ordinal(df, states["ordinal"], cols)
-    return features.outlier_flag(features.congestion_flag(out, states["congestion"], cols=cols), states["outlier"], cols)
+    if "mean" in states:
+        out = features.encode_sensor_mean(out, states["mean"], cols=cols)
+    out = features.outlier_flag(features.congestion_flag(out, states["congestion"], cols=cols), states["outlier"], cols)
+    if "labels" in states and target in df.columns:
+        out = predict.label_scaling(out, states["labels"], target, cols=cols)
+    if "upstream" in states and not df.isStreaming:
+        out = graph.upstream_shifted(out, states["upstream"], n=neighbors, cols=cols)
+    return out
 
 
 def residual_workflow(df: DataFrame, names: list[str], test_size: float = 0.5, threshold: float | None = None, max_depth: int = 4, step_size: float = 0.1, max_iter: int = 10, cols: Cols = COLS) -> DataFrame:
@@ -330,3 +350,10 @@ def states_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, path = tables.readings_split(spark, sf_dir), f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
     save_states(fit_states(df.filter("not test_set")), path)
     return apply_states(df.filter("test_set"), load_states(spark, path))
+
+
+def all_states_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transformer fitted on the train rows, stored, loaded and applied to the test rows."""
+    df, path = features.create_target(tables.readings_split(spark, sf_dir), 1), f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    save_states(fit_all_states(df.filter("not test_set")), path)
+    return apply_states(df.filter("test_set"), load_states(spark, path))

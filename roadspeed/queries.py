@@ -444,6 +444,12 @@ add(
 )
 add("score_new_rows", "input_time@t sensor_id prediction_time@t y_pred_delta@d y_pred_total@d", J.new_rows_query)
 add("fit_apply_states", _KEYS + "sensor_uid@i is_congested@i is_outlier@i", J.states_query, T.SPLIT + _CONG + ", u AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS uid FROM (SELECT DISTINCT sensor_id FROM split WHERE NOT test_set)), q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM split WHERE NOT test_set)", "SELECT c.sensor_id, c.date, coalesce(uid, -1) AS sensor_uid, is_congested, (value < lo OR value > hi)::int AS is_outlier FROM cong c LEFT JOIN u USING (sensor_id), q WHERE test_set")
+add(
+    "fit_apply_all_states", _KEYS + "sensor_uid@i sensor_mean@d is_congested@i is_outlier@i target_scaled@d", J.all_states_query,
+    T.SPLIT.replace("split AS (", "plain AS (") + ", split AS (SELECT * FROM (SELECT *, lead(value) OVER w - value AS target FROM plain WINDOW w AS (PARTITION BY sensor_id ORDER BY date)) WHERE target IS NOT NULL)" + _CONG
+    + ", tr AS (SELECT * FROM split WHERE NOT test_set), u AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS uid, avg(value) AS mean, avg(target) AS lm, sqrt(greatest(var_pop(target), 1e-8)) AS ls FROM tr GROUP BY 1), q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM tr)",
+    "SELECT c.sensor_id, c.date, coalesce(uid, -1) AS sensor_uid, coalesce(mean, (SELECT avg(value) FROM tr)) AS sensor_mean, is_congested, (value < lo OR value > hi)::int AS is_outlier, (target - lm) / ls AS target_scaled FROM cong c LEFT JOIN u USING (sensor_id), q WHERE test_set",
+)
 _DRIFT = T.PREDICTIONS + ", p AS (SELECT * FROM predictions WHERE model = 'drift' AND horizon = 1)"
 add("prediction_frame", "input_time@t sensor_id prediction_time@t y_pred_delta@d y_pred_total@d", lambda s, d: P.prediction_frame(_drift(s, d).withColumn("delta", F.col("y_pred") - F.col("value")), "delta", 60), _DRIFT, "SELECT date AS input_time, sensor_id, date + INTERVAL 1 HOUR AS prediction_time, y_pred - value AS y_pred_delta, y_pred - value + value AS y_pred_total FROM p")
 add("infer_horizon", "horizon_min@i", lambda s, d: P.infer_horizon(_drift(s, d, 3)), T.PREDICTIONS, "SELECT round(median(epoch(prediction_time - date) / 60)) AS horizon_min FROM predictions WHERE model = 'drift' AND horizon = 3")

@@ -240,3 +240,20 @@ def test_residual_workflow_corrects_a_bias(spark):
     found = {r.variant: r.mae for r in jobs.residual_workflow(df, ["value"], max_iter=20, step_size=0.5).collect()}
     assert found["raw"] == pytest.approx(5.0)
     assert found["corrected"] < 1.0
+
+
+def test_states_of_all_transformers_are_stored_together(spark, tmp_path):
+    df = features.create_target(tables.readings_split(spark, SF), 1)
+    edges, train, test = tables.edges(spark, df), df.filter("not test_set"), df.filter("test_set")
+    states = jobs.fit_all_states(train, edges, minutes_per_row=60)
+    jobs.save_states(states, str(tmp_path / "s"))
+    again = jobs.load_states(spark, str(tmp_path / "s"))
+    assert again.keys() == states.keys() == {"ordinal", "congestion", "outlier", "mean", "labels", "upstream"}
+    out = jobs.apply_states(test, again)
+    assert plain(out) == plain(jobs.apply_states(test, states))
+    for c in ("sensor_uid", "sensor_mean", "is_congested", "is_outlier", "target_scaled", "up1_shift_speed"):
+        assert c in out.columns
+    shifted = {tuple(r) for r in out.select("sensor_id", "date", "up1_shift_speed").collect()}
+    assert shifted == {tuple(r) for r in predict.concat_parts([jobs.graph.upstream_shifted(test, states["upstream"])]).select("sensor_id", "date", "up1_shift_speed").collect()}
+    assert "target_scaled" not in jobs.apply_states(test.drop("target"), again).columns
+    assert jobs.fit_states(train).keys() == {"ordinal", "congestion", "outlier"}
