@@ -382,6 +382,12 @@ add(
     "seq2seq_windows", "sensor_id start@t x y", lambda s, d: _hist(_hist(P.seq2seq_windows(T.readings(s, d),3, 2), "x"), "y"), T.READINGS + ", r AS (SELECT * FROM readings), h AS (SELECT *, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a, array_agg(value) OVER (PARTITION BY sensor_id ORDER BY date ROWS BETWEEN 3 FOLLOWING AND 4 FOLLOWING) AS b FROM r)",
     "SELECT sensor_id, date AS start, array_to_string(list_transform(a, lambda v: printf('%.4f', v)), ',') AS x, array_to_string(list_transform(b, lambda v: printf('%.4f', v)), ',') AS y FROM h WHERE len(a) = 3 AND len(b) = 2",
 )
+for _name, _op in {
+    "seq_windows": lambda df: _hist(P.seq_windows(df, 4, 2, hours=48), "history"),
+    "seq2seq_windows": lambda df: _hist(_hist(P.seq2seq_windows(df, 3, 2, hours=48), "x"), "y"),
+}.items():
+    QUERIES[f"{_name}_chunked"] = lambda s, d, op=_op, name=_name: _shown(op(T.readings(s, d)), SPECS[name])
+    SPECS[f"{_name}_chunked"], ORACLE_SQL[f"{_name}_chunked"] = SPECS[_name], ORACLE_SQL[_name]
 add(
     "window_split_counts", "split n_windows@i", lambda s, d: P.window_split_counts(P.seq_windows(T.readings(s, d), 4, 2), S.target_splits(T.readings_split(s, d))), T.SPLIT + _TARGET_SPLITS + ", h AS (SELECT row_number() OVER w - 1 AS i, lead(date, 2) OVER w AS tt FROM readings" + _W + ")",
     "SELECT split, count(*) AS n_windows FROM h JOIN splits ON splits.date = h.tt WHERE i >= 3 GROUP BY 1",
@@ -546,6 +552,8 @@ _LARGE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rolling_context": X.rolling_context,
     "ewma_mean_slope": X.ewma_mean_slope,
     "seq_windows": lambda df: _hist(P.seq_windows(df, 4, 2), "history"),
+    "seq_windows_chunked": lambda df: _hist(P.seq_windows(df, 4, 2, hours=8760), "history"),
+    "seq2seq_windows_chunked": lambda df: _hist(_hist(P.seq2seq_windows(df, 3, 2, hours=8760), "x"), "y"),
 }
 
 
