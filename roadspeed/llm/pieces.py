@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters from which a document is giant, those of one chunk, and chunks of one block.
-GIANT, CHUNK, BLOCK = 50_000, 16_384, 64
+#: Characters from which a document is giant (two chunks or more), those of one chunk, and chunks of one block.
+GIANT, CHUNK, BLOCK = 32_768, 16_384, 64
 SPACE = "▁"
 #: Fixed value: what the public library takes off the lowest score for a character without a piece.
 _UNKNOWN_PENALTY = 10.0
@@ -92,6 +92,7 @@ class Pieces:
         self.reach = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.pair_codes = np.array(sorted(ord(x[0]) << 21 | ord(x[1]) for x in self.pairs), np.int64)
         self.left_alone: dict[tuple[str, str], bool] = {}
         self.stretches: dict[str, tuple[int, ...]] = {}
 
@@ -142,6 +143,15 @@ class Pieces:
         """Whether no token can cross a place."""
         return not 0 < at < len(text) or text[at - 1 : at + 1] not in self.pairs
 
+    def stretches_of(self, text: str) -> list[str]:
+        """A text cut at all places that no token can cross."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        near = np.searchsorted(self.pair_codes, pairs)
+        held = np.append(self.pair_codes, -1)[near] == pairs
+        places = [0, *(np.flatnonzero(~held) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in pairwise(places)]
+
     def cover(self, text: str, at: int) -> list[tuple[int, str]]:
         """The states of a cut: end and piece of the tokens that hold the character before it; one without a piece where none can cross."""
         if self.safe(text, at):
@@ -232,10 +242,8 @@ class Pieces:
         for piece in self.path(text, at, before, first, "" if safe else last):
             out += self.number(piece)
         if safe:
-            while first < final:
-                after = next(i for i in range(first + 1, final + 1) if self.safe(text, i))
-                out += self.stretch(text[first:after])
-                first = after
+            for stretch in self.stretches_of(text[first:final]) if first < final else ():
+                out += self.stretches.get(stretch) or self.stretch(stretch)
             for piece in self.path(text, final, "", to, last):
                 out += self.number(piece)
         return out
@@ -328,12 +336,21 @@ def scan(giants: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, lead, n, part in p.chunks(p.sp.normalize(text.as_py()), chunk):
-                    matrix = p.transfer(part, lead, n)
-                    row = {"key": key, "chunk": k, "block": k // BLOCK, "lead": lead, "n": n, "part": part, "rows": len(matrix), "matrix": matrix.ravel().tolist()}
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                    yield pa.RecordBatch.from_pylist([{"key": key, "chunk": k, "block": k // BLOCK, "lead": lead, "n": n, "part": part}], schema=arrow)
 
-    arrow = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("block", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()), ("part", pa.string()), ("rows", pa.int64()), ("matrix", pa.list_(pa.float64()))])
-    parts = cut(giants.select("key", "text").mapInArrow(split, "key string, chunk long, block long, lead long, n long, part string, rows long, matrix array<double>"))
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(path)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                matrix = p.transfer(*(row.column(name)[0].as_py() for name in ("part", "lead", "n")))
+                numbers = pa.array([len(matrix)], pa.int64()), pa.array([matrix.ravel().tolist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*row.columns, *numbers], [*row.schema.names, "rows", "matrix"])
+
+    columns = "key string, chunk long, block long, lead long, n long, part string"
+    arrow = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("block", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()), ("part", pa.string())])
+    dealt = giants.select("key", "text").mapInArrow(split, columns).repartition("key", "chunk")  # the chunks of one document are work for many tasks
+    parts = cut(dealt.mapInArrow(transfer, f"{columns}, rows long, matrix array<double>"))
     light = parts.select("key", "block", "chunk", "rows", "matrix")
     blocks = light.groupBy("key", "block").applyInPandas(_product, "key string, block long, rows long, matrix array<double>")
     ends = blocks.groupBy("key").applyInPandas(_block_states, "key string, block long, start long, end long")

@@ -147,3 +147,29 @@ def test_query_takes_the_scan_for_all_but_short_documents(spark):
     for r in rows:
         assert list(r.ids) == sp.encode(r.text or "")
         assert r.round_trip
+
+
+def test_stretches_are_cut_at_safe_places():
+    p = pieces.Pieces(PROTO)
+    for text in (p.sp.normalize(text_of(5, 200)), "a", "😀", "zz"):
+        found, at = p.stretches_of(text), 0
+        assert "".join(found) == text
+        ends = set(np.cumsum([len(x) for x in found]).tolist())
+        assert ends == {i for i in range(1, len(text) + 1) if p.safe(text, i)}
+
+
+def test_chunks_of_one_document_are_many_tasks(spark):
+    p = pieces.Pieces(PROTO)
+    text = text_of(7, 20_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        found = pieces.scan(spark.createDataFrame([("k", text)], "key string, text string"), chunk=2_000).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in set(tracker.getJobIdsForGroup(None)) - stages]
+    tasks = [s.numTasks for j in jobs if j for i in j.stageIds if (s := tracker.getStageInfo(i))]
+    assert list(found.ids) == p.sp.encode(text)
+    assert found.n_chunks == len(list(p.chunks(p.sp.normalize(text), 2_000)))
+    assert max(tasks) >= 4
