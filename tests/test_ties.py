@@ -27,6 +27,19 @@ def same(spark, path, name):
     return len(expected)
 
 
+@pytest.fixture(scope="module")
+def ties(spark, tmp_path_factory):
+    """Sixteen readings an hour of 42.69125 or 69.92875 in the mean, doubles on a tie of the fourth decimal: 42.6912 and 69.9287 by the SQL."""
+    mean = lambda h, u: (68306, 111886, 70000)[(h + u) % 3]
+    rows = [(h, u, (mean(h, u) // 16 + (i < mean(h, u) % 16)) / 100) for h in range(60) for u in range(8) for i in range(16)]
+    return write(spark, str(tmp_path_factory.mktemp("ties")), rows)
+
+
+@pytest.mark.parametrize("name", ["read_readings", "seq_windows", "seq2seq_windows", "seq_windows_chunked", "seq2seq_windows_chunked", "to_wide_arrays", "to_wide_dense"])
+def test_means_on_ties(spark, ties, name):
+    assert same(spark, ties, name)
+
+
 @pytest.mark.parametrize(("value", "n"), [(lambda h: 50.0 + h * 7 % 5 / 10, 0), (lambda h: 50.0 + h % 24, 0), (lambda h: 50.0 + h * 37 % 101, 120)])
 def test_selection_differs(spark, tmp_path, value, n):
     assert same(spark, write(spark, str(tmp_path), [(h, 0, value(h)) for h in range(120)]), "keep_correlated") == n
