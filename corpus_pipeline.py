@@ -34,7 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays, see ``simhash.keep_first``."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays, see ``simhash.keep_first``.
+
+    Candidates come from operator 6's popcount grid and, beyond its three bits, from MinHash cells; whole sets decide.
+    """
     small_batches(spark)
     return near.keep_one(docs)
 

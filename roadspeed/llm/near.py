@@ -1,13 +1,14 @@
 """SimHash near-duplicates by Jaccard similarity, for the pipeline.
 
 A text is the set of hashes of its five-word shingles; fewer words are one shingle. Texts of equal sets are one node. Links
-are pairs of sets with a Jaccard similarity of 0.8 or more, whose fingerprints differ in some 10 of 64 bits. No grid over
-popcounts can hold such a distance (see the README), so the cells come from MinHash: the minima of 24 x 4 hash functions
+are pairs of sets with a Jaccard similarity of 0.8 or more. Candidates come from operator 6's popcount grid over the
+fingerprints of the sets, with its three bits (``grid_pairs``). Pairs at 0.8 differ in some 10 of 64 bits, and no grid over
+popcounts can hold such a distance (see the README), so cells of MinHash add those beyond: the minima of 24 x 4 hash functions
 give each node 24 cells; two sets of similarity s share none with probability (1 - s^4)^24: 3e-6 at 0.8, less above. Inside
-the cells work the popcount bound and the bits of the fingerprints, and the exact comparison of whole sets decides.
+the cells work the popcount bound and the bits of the fingerprints. The exact comparison of whole sets decides for both.
 
-First each node is compared with one node of each of its cells, that with the most company: what is a copy of one text meets
-that text. Then the nodes of a cell that are still apart are compared in numpy, inside tasks that hold ``CELL`` nodes or two
+First each node is compared with what the grid links it to, and with one node of each of its cells, that with the most company:
+what is a copy of one text meets that text. Then the nodes of a cell that are still apart are compared in numpy, inside tasks that hold ``CELL`` nodes or two
 times as many: by the popcount bound and the bits (``DISTANCE``, five deviations beyond those of 0.8), then by their
 ``SKETCH`` smallest hashes. These are the whole set of most texts, so the similarity is known; for longer sets it is estimated
 (``LIKELY``: at 0.8 all but 2e-4 look so similar). Only what passes reaches the exact comparison, so a large group of near
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import CELL, components, deal_cells, embedding, keep_first, majority, manhattan, row_of, small
+from .simhash import CELL, components, deal_cells, embedding, keep_first, link, majority, manhattan, row_of, small
 from .simhash import shingle_hashes as hashes_of
 
 SHINGLE = 5
@@ -167,6 +168,16 @@ def _likely(distance: int):
     return run
 
 
+def grid_pairs(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs x, y of nodes that connect those within operator 6's three bits: its popcount grid over the different fingerprints. nodes: node, fp."""
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    edges = link(firsts.select(F.col("fp").alias("node"), "fp"), cell=cell)
+    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("node").alias(f"_{x}"))
+    near = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("_u").alias("x"), F.col("_v").alias("y"))
+    same = nodes.select("fp", "node").join(firsts.select("fp", F.col("node").alias("x")), "fp").filter("x <> node")
+    return near.unionByName(same.select("x", F.col("node").alias("y")))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """node (the digest of the set), row of every document row, and node, component of nodes that are linked.
 
@@ -180,7 +191,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     shared = cut(cells.join(full, "cell"))
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     hubs = shared.join(company, "node").groupBy("cell").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    first = cut(_ordered(shared.join(hubs, "cell").select(F.col("hub").alias("x"), F.col("node").alias("y"))))
+    met = shared.join(hubs, "cell").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    first = cut(_ordered(grid_pairs(nodes, cell).unionByName(met)))
     linked = _similar(first, texts, nodes, similarity)
     rooted = shared.join(components(linked), "node", "left").select("cell", "node", "n", F.coalesce("component", "node").alias("root"))
     sizes = rooted.groupBy("cell", "root").agg(F.count("*").alias("_n"))
