@@ -1,10 +1,13 @@
-"""Sequence windows as slices of arrays of chunks: equal to plain loops for any chunk, in one exchange of rows."""
+"""Sequence windows in chunks of time: equal to plain loops for any chunk, in one exchange of rows."""
 
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from roadspeed import queries
 from roadspeed.operators import predict
 
 START = datetime(2024, 1, 5)
@@ -79,3 +82,37 @@ def test_rows_are_shuffled_once(stored):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") == 1
     assert plan.count("FileScan parquet") == 1
+
+
+def test_no_sensor_beside_one_named_like_it(spark):
+    """A missing sensor and one named as the null byte are two series, though both have rows in every chunk."""
+    rows = [(s, START + timedelta(hours=7 * i + k), float(i + 100 * k)) for k, s in enumerate((None, "\x00")) for i in range(40)]
+    df = spark.createDataFrame(rows, "sensor_id string, date timestamp, value double")
+    found = [(r.sensor_id, r.date, r.target_time, list(r.history), r.target) for r in predict.seq_windows(df, 5, 2, hours=24).collect()]
+    assert sorted(found, key=key) == sorted(loop(rows, 5, 2, 1), key=key)
+
+
+@pytest.mark.parametrize("op", [lambda df: predict.seq_windows(df, 60, 3, hours=720), lambda df: predict.seq2seq_windows(df, 5, 3, hours=720)])
+def test_no_arrays_of_chunks(stored, op):
+    """Windows are frames of rows that are sorted once: no chunk is gathered into an array, and none is joined with what its neighbours hold."""
+    out = op(stored[0])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan and "Join" not in plan and "Generate" not in plan
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize(("length", "horizon", "stride", "hours"), [(1, 0, 1, 24), (1, 0, 3, 24), (2, 9, 7, 6), (8, 1, 5, 1)])
+def test_windows_over_many_short_chunks(stored, length, horizon, stride, hours):
+    df, rows = stored
+    found = [(r.sensor_id, r.date, r.target_time, list(r.history), r.target) for r in predict.seq_windows(df, length, horizon, stride, hours=hours).collect()]
+    assert sorted(found, key=key) == sorted(loop(rows, length, horizon, stride), key=key)
+
+
+def test_text_of_values(spark):
+    """The queries' text of a value is that of %.4f, by either way."""
+    rng = np.random.default_rng(5)
+    values = [0.0, -0.0, 0.001, -0.001, 0.00005, -0.00004, 0.0012345, 1.00005, 1.0, 1e6, 1e6 + 0.5, 123456.78905, 1e15, -1e20, float("nan"), float("inf"), None, 2.5, 0.3]
+    values += [float(x) for x in np.exp(rng.uniform(-9, 16, 3000)) * rng.choice([-1, 1], 3000)] + [k / 1e4 for k in range(1, 3000, 7)] + [k + 0.00005 for k in range(300)]
+    df = spark.createDataFrame([([v],) for v in values], "v array<double>").withColumn("at", F.monotonically_increasing_id()).orderBy("at")
+    assert [r.v for r in queries._hist(df, "v").collect()] == [r.t for r in df.select(F.format_string("%.4f", F.get("v", F.lit(0))).alias("t")).collect()]
