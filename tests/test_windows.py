@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from roadspeed import queries
