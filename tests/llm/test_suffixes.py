@@ -1,13 +1,16 @@
 """Repeated substrings against brute force; the suffix array and the common prefixes against sorted suffixes."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadspeed.llm import suffixes
+from roadspeed.operators.base import shared_dir
 
 
 def brute(texts, length):
@@ -128,3 +131,54 @@ def test_ranges_that_are_sorted():
     assert len(kept) < sum(row[2] for row in rows)
     for key, first, n, _, part in suffixes.likely_runs(rows, 400):
         assert part == rows[key[0]][5][first : first + n + 399]
+
+
+def disk(spark):
+    """Bytes of shuffles and of the shared folder, which is where the operator keeps what it has worked out."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tops = [*env.blockManager().diskBlockManager().localDirsString(), shared_dir(spark).removeprefix("file:")]
+    return sum(os.path.getsize(os.path.join(d, f)) for top in tops for d, _, names in os.walk(top) for f in names)
+
+
+def test_disk(spark):
+    """Texts without repeats are not shuffled, and units are kept in fewer bytes than the texts."""
+    r = random.Random(13)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=8_000)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t + (texts[0][:500] if i < 9 else "")) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = disk(spark)
+    assert suffixes.remove_repeats(df).filter("n_removed > 0").count() == 9
+    assert disk(spark) - before < sum(map(len, texts))
+
+
+def test_rows_sent_to_one_anchor():
+    """A task sends two rows of equal units to their anchor at most, and a bounded number of different units of one anchor; none is lost."""
+    r = random.Random(14)
+    some = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    line, passage = some(200), some(900)
+    texts = [some(500) + line + some(500) for _ in range(60)] + [some(300) + passage + some(300) for _ in range(40)] + [some(1_500)] * 30
+    keys = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts)], ["key", "text"])
+    rows = [x for b in suffixes._unit_rows(400, 10)(iter([batch])) for x in b.to_pylist()]
+    counted = [x for x in rows if x["state"] < 2]
+    assert max(Counter(x["whole"] for x in counted).values()) == 2
+    assert max(Counter(x["deal"] for x in counted).values()) <= 22
+    assert all(x["deal"] == x["anchor"] for x in counted)
+    assert max(Counter(x["deal"] for x in rows if x["state"] > 1).values()) == 1
+    windows = {(k, i) for k, t in zip(keys, texts, strict=True) for i in range(len(t) - 399)}
+    assert {(x["key"], x["first"] + i) for x in rows for i in range(x["n"])} == windows
+    twice = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    of = dict(zip(keys, texts, strict=True))
+    for x in rows:
+        if x["state"] == 3:
+            assert all(twice[of[x["key"]][i : i + 400]] > 1 for i in range(x["first"], x["first"] + x["n"]))
+
+
+def test_rows_by_keys(spark):
+    docs = spark.range(5_000).selectExpr("id", "unhex(md5(cast(id % 4000 as string))) AS key")
+    some, none = suffixes.by_keys(docs, docs.filter("id % 50 = 7").select("key"))
+    found, rest = {x.id for x in some.collect()}, {x.id for x in none.collect()}
+    asked = {i for i in range(5_000) if i % 4_000 % 50 == 7}
+    assert asked <= found and len(found) < 400
+    assert not found & rest and found | rest == set(range(5_000))
+    some, none = suffixes.by_keys(docs, docs.filter("id < 0").select("key"))
+    assert some.isEmpty() and none.count() == 5_000
