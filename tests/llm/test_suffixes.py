@@ -182,3 +182,26 @@ def test_rows_by_keys(spark):
     assert not found & rest and found | rest == set(range(5_000))
     some, none = suffixes.by_keys(docs, docs.filter("id < 0").select("key"))
     assert some.isEmpty() and none.count() == 5_000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_equal_ends(seed):
+    """Strings with equal ends, of which those that follow begin alike: suffixes are tied beyond the ends, but not one byte later."""
+    r = random.Random(seed)
+    some = lambda n: bytes(r.choices(b"abcdefgh", k=n))
+    end, head = some(70), some(19) + b"h"
+    second = head + end  # tied with the first at the depth of 128, as both follow 70 equal bytes: 70 + 1 + 57
+    third = second[:57] + bytes([second[57] - 1]) + some(30)
+    strings = [some(9) + b"a" + end, second, third, some(100), some(100), some(100)]
+    counts = np.array([len(s) - 49 for s in strings])
+    windows = [s[i : i + 50] for s, n in zip(strings, counts, strict=True) for i in range(n)]
+    times = Counter(windows)
+    assert suffixes.repeated_windows(strings, counts, 50).tolist() == [times[w] > 1 for w in windows]
+    joined = np.frombuffer(b"\x00".join(strings) + bytes(60), np.uint8)
+    starts = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
+    place = np.concatenate([s + np.arange(n) for s, n in zip(starts, counts, strict=True)])
+    order = suffixes.suffix_array(joined[:-59], max(map(len, strings)) + 1)
+    before, prefix = suffixes.common_prefixes(joined, order[np.isin(order, place)], starts, counts, 50)
+    for p in place[before[place] >= 0].tolist():
+        same = (joined[p : p + 50] == joined[before[p] : before[p] + 50]) & (joined[p : p + 50] != 0)
+        assert prefix[p] == (50 if same.all() else int(same.argmin())), p
